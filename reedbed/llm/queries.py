@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reedbed.functions.calendar import pheno_year
 from reedbed.llm.bpe import encode_corpus
+from reedbed.llm.garble import find_garbled
 from reedbed.llm.nearest_time import nearest_in_time
 from reedbed.llm.packing import pack
 from reedbed.llm.quantiles import combine, percentiles, summarise
@@ -58,7 +59,15 @@ def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), capacity=CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_percentiles, p4_seasons, p4_combined, p7_ids, p8_packed)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_garbled(table(spark, folder, "documents")).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return find_garbled(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_percentiles, p4_seasons, p4_combined, p7_ids, p8_packed, p9_found, p9_restored)}
 
 _PAIRS = """
 WITH s AS (SELECT DISTINCT scan_id, location_id, acquired_at, upper(trim(satellite)) AS family FROM sensor_obs
