@@ -238,4 +238,4 @@ def flag_readings(
             found.append(pd.DataFrame({row_id: rid[hit], "band": band, "reason": np.array(["", "impossible", "stuck", "spike"], dtype=object)[flags[hit]]}))
         return pd.concat(found)
 
-    return keyed.groupBy("bucket").applyInPandas(work, f"{row_id} bigint, band string, reason string")
+    return keyed.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(work, f"{row_id} bigint, band string, reason string")
