@@ -37,8 +37,8 @@ def nearest_in_time(
     cell = F.floor(F.col("t") / span).cast("int")
     first, last = F.floor((F.col("t") - tolerance) / span).cast("int"), F.floor((F.col("t") + tolerance) / span).cast("int")
     bucket = F.pmod(F.xxhash64("e", "c"), F.lit(tasks)).cast("int").alias("bucket")
-    asking = a.withColumn("c", cell).select(bucket, "e", "c", "t", "i")
-    asked = b.withColumn("c", F.explode(F.sequence(first, last))).select(bucket, "e", "c", "t", "i")
+    asking = a.withColumn("c", cell).select(bucket, "e", "c", "t", "i").repartition(tasks, "bucket")
+    asked = b.withColumn("c", F.explode(F.sequence(first, last))).select(bucket, "e", "c", "t", "i").repartition(tasks, "bucket")
 
     def match(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         x, y = x.drop_duplicates(["e", "c", "i"]), y.drop_duplicates(["e", "c", "i"])
