@@ -62,9 +62,12 @@ def _seasonal_residual(series: np.ndarray, day: np.ndarray, value: np.ndarray, g
 
 
 def _chart(z: np.ndarray, length: np.ndarray, scale0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Standardised departure and scale of each reading. z: time x series, series sorted by length, longest first."""
+    """Departure of each reading from the level before it, and the number of suspected readings in a row on its side so far.
+
+    z: time x series, series sorted by length, longest first.
+    """
     steps, width = z.shape
-    out, scales = np.zeros_like(z), np.zeros_like(z)
+    out, counts = np.zeros_like(z), np.zeros_like(z)
     head = np.where(np.arange(min(steps, 9))[:, None] < length[None, :], z[:9], np.nan)
     level = np.nanmedian(head, axis=0)
     scale, floor = scale0.copy(), 0.5 * scale0
@@ -76,12 +79,13 @@ def _chart(z: np.ndarray, length: np.ndarray, scale0: np.ndarray) -> tuple[np.nd
         v, s = z[t, :m], scale[:m]
         d = v - level[:m]
         u = d / s
-        out[t, :m], scales[t, :m] = u, s
+        out[t, :m] = d
         clipped = np.clip(u, -CLIP, CLIP)
         far = np.abs(u) > CLIP
         sign = np.sign(u)
         run[:m] = np.where(far, np.where(sign == side[:m], run[:m] + 1, 1), 0)
         side[:m] = np.where(far, sign, 0)
+        counts[t, :m] = run[:m]
         level[:m] += LEVEL_WEIGHT * clipped * s * np.where(far, 0.5, 1.0)
         var = (1 - SCALE_WEIGHT) * s**2 + SCALE_WEIGHT * (np.minimum(np.abs(clipped), 2.5) * s) ** 2 * 1.06
         scale[:m] = np.clip(np.sqrt(var), floor[:m], 3 * scale0[:m])
@@ -91,7 +95,7 @@ def _chart(z: np.ndarray, length: np.ndarray, scale0: np.ndarray) -> tuple[np.nd
             level[i] = np.median(np.stack([v[i], last1[i], last2[i]]), axis=0)
             run[i] = 0
         last2[:m], last1[:m] = last1[:m], v
-    return out, scales
+    return out, counts
 
 
 def _runs(series: np.ndarray, value: np.ndarray, usable: np.ndarray) -> np.ndarray:
@@ -154,12 +158,13 @@ def judge(series: np.ndarray, day: np.ndarray, values: list[np.ndarray], spike:
         z = np.zeros((int(n.max()), total))
         row = n[g] - 1 - t if back else t
         z[row, place[g]] = resid
-        u, s = _chart(z, n[by_length], ordinary[by_length])
-        both.append((u * s)[row, place[g]])
-    ahead, behind = both
+        d, counts = _chart(z, n[by_length], ordinary[by_length])
+        both.append((d[row, place[g]], counts[row, place[g]]))
+    (ahead, run_before), (behind, run_after) = both
     off = np.where(np.sign(ahead) == np.sign(behind), np.minimum(np.abs(ahead), np.abs(behind)), 0.0) / ordinary[g]
     out = (off > spike) & (n[g] >= 5)
-    short = out & (_runs(g, np.where(out, np.sign(ahead), 0.0), out) <= 2)
+    # The run that a reading belongs to, as the counters of both directions see it: the third of five is no spike.
+    short = out & (run_before + run_after - 1 <= 2) & (_runs(g, np.where(out, np.sign(ahead), 0.0), out) <= 2)
     start = 0
     for f, r in zip(flags, ready, strict=True):
         if r:
