@@ -8,7 +8,7 @@ from V and its own present cells. Missing cells are read from U V' and decoded t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,7 @@ FIRST_YEAR, LAST_YEAR = 1986, 2025
 PLAIN = ("coef", "coef_median", "coef_025", "coef_975", "coef_sd", "rmse", "n_obs", "n_summer_obs", "year")
 CONTEXT = ("own_mean", "season_rest", "gap_year")
 CELLS = (*PLAIN, *(f"is_{c}" for c in CLASSES), *CONTEXT, *(f"like_{c}" for c in CLASSES))
-RANK, RIDGE, SWEEPS = 6, 0.05, 6
+RANK, RIDGE, SWEEPS, WEIGHT_MAX = 6, 0.05, 6, 1000.0
 
 
 def _rows(coefficient: DataFrame) -> DataFrame:
@@ -58,7 +58,10 @@ def _with_context(rows: DataFrame) -> DataFrame:
     by_season = rows.where("location_id is not null and year is not null").groupBy("location_id", "year").agg(
         F.count(F.lit(1)).alias("t_n"), F.count("coef").alias("t_held"), F.sum("coef").alias("t_sum"), *[F.max(of(k).cast("int")).alias(f"t_{k}") for k in CLASSES]
     )
-    return join_key_stats(join_key_stats(rows, by_location, ["location_id"], "l_n"), by_season, ["location_id", "year"], "t_n")
+    seasons = by_season.groupBy("location_id").agg(F.collect_list(F.struct("year", "t_sum", "t_held")).alias("seasons"), F.sum("t_n").alias("s_n"))
+    known = join_key_stats(join_key_stats(rows, by_location, ["location_id"], "l_n"), by_season, ["location_id", "year"], "t_n")
+    undated = join_key_stats(known.where("year is null"), seasons, ["location_id"], "s_n")  # at most 40 seasons each
+    return undated.drop("s_n").unionByName(known.where("year is not null"), allowMissingColumns=True)
 
 
 def _encoded(rows: DataFrame) -> DataFrame:
@@ -76,13 +79,17 @@ def _encoded(rows: DataFrame) -> DataFrame:
         own = own.when(c("cls") == k, mean[k])
         gaps = gaps.when(c("cls") == k, span.bitwiseAND(F.bitwise_not(F.coalesce(c(f"y_{k}"), F.lit(0).cast("long")))))
     others = c("t_held") - F.when(c("coef").isNotNull(), 1).otherwise(0)
+    open_ = F.transform(F.split(F.reverse(F.lpad(F.bin(gaps), LAST_YEAR - FIRST_YEAR + 1, "0")), ""), lambda b: b.cast("int"))
     rest = F.when(c("year").isNotNull() & (others == len(CLASSES) - 1), 1 - (F.coalesce(c("t_sum"), F.lit(0.0)) - F.coalesce(c("coef"), F.lit(0.0))))
     near = {k: F.when(c("coef").isNotNull() & mean[k].isNotNull(), F.exp(-F.pow((c("coef") - mean[k]) / 0.05, 2) / 2)) for k in CLASSES}
     # A class that another record of the same season already has is no candidate.
     taken = {k: F.when((F.coalesce(c(f"t_{k}"), F.lit(0)) == 1) & ~(F.coalesce(c("cls"), F.lit("")) == k), 0.0).otherwise(1.0) for k in CLASSES}
+    # Of the open seasons the one whose other classes leave just this coefficient.
+    fits = F.filter("seasons", lambda s: (s["t_held"] == len(CLASSES) - 1) & (F.abs(1 - s["t_sum"] - c("coef")) < 0.002) & (F.get(open_, s["year"] - FIRST_YEAR) == 1))
+    match = F.array_min(F.transform(fits, lambda s: F.struct(F.abs(1 - s["t_sum"] - c("coef")).alias("d"), s["year"].alias("y"))))["y"]
     cells = [c("coef"), *[c(n) for n in PLAIN[1:-1]], full_year]
     cells += [F.when(c("cls").isNotNull(), (c("cls") == k).cast("double")) for k in CLASSES]
-    cells += [own, rest, full_year]
+    cells += [own, rest, F.when(c("year").isNull(), match.cast("double")).otherwise(full_year)]
     cells += [near[k] * taken[k] for k in CLASSES]
     return rows.select(
         "coef_row_id", "location_id", "coef", "cls", "year", "l_coef", "l_veg", "l_pheno_year",
@@ -98,7 +105,7 @@ def _open_years(gaps: np.ndarray) -> np.ndarray:
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     x = pdf[[f"x{i}" for i in range(len(CELLS))]].to_numpy(float, copy=True)
-    rows = np.flatnonzero(pdf["gaps"].notna().to_numpy())
+    rows = np.flatnonzero(pdf["gaps"].notna().to_numpy() & np.isnan(x[:, CELLS.index("gap_year")]))
     if len(rows):
         open_ = _open_years(pdf["gaps"].to_numpy(float)[rows].astype(np.int64))
         n = open_.sum(axis=1)
@@ -107,8 +114,8 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     return x
 
 
-def _records(x: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """U for given V, one solve for each pattern of present cells."""
+def _records(x: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """U for given V and weights of the cells, one solve for each pattern of present cells."""
     here = ~np.isnan(x)
     code = here @ (1 << np.arange(x.shape[1], dtype=np.int64))
     u = np.zeros((len(x), v.shape[1]))
@@ -116,12 +123,33 @@ def _records(x: np.ndarray, v: np.ndarray) -> np.ndarray:
         rows = np.flatnonzero(code == pattern)
         on = here[rows[0]]
         vo = v[on]
-        u[rows] = np.linalg.solve(vo.T @ vo + RIDGE * np.eye(v.shape[1]), vo.T @ x[rows][:, on].T).T
+        wo = w[on][:, None] * vo
+        u[rows] = np.linalg.solve(vo.T @ wo + RIDGE * np.eye(v.shape[1]), wo.T @ x[rows][:, on].T).T
     return u
 
 
-def _fit(cells: DataFrame, sweeps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, scales and V. Each sweep reads the table once and returns len(CELLS) x (RANK^2 + RANK) sums."""
+def _summed(inputs: DataFrame, part: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray | None:
+    """Sum over all rows of an array computed from batches: partial sums in the tasks, a fixed number of values at the driver."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                s = part(pdf)
+                total = s if total is None else total + s
+        if total is not None:
+            yield pd.DataFrame({"s": [total]})
+
+    parts = inputs.mapInPandas(sums, "s array<double>").select(F.posexplode("s").alias("i", "s"))
+    total = {r["i"]: r["s"] for r in parts.groupBy("i").agg(F.sum("s").alias("s")).collect()}
+    return np.array([total[i] for i in range(len(total))]) if total else None
+
+
+def _fit(cells: DataFrame, sweeps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Means, scales, V and the weights of the cells (inverse residual variances, so that a telling cell outweighs a noisy one).
+
+    V starts from the leading axes of the pairwise-complete second moments; each sweep then reads the table once.
+    """
     width = len(CELLS)
     at = lambda i: F.col(f"x{i}")
     row = cells.agg(*[F.avg(at(i)).alias(f"m{i}") for i in range(width)], *[F.stddev_pop(at(i)).alias(f"s{i}") for i in range(width)]).first()
@@ -129,31 +157,34 @@ def _fit(cells: DataFrame, sweeps: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     scale = np.array([row[f"s{i}"] or 0.0 for i in range(width)])
     scale[scale < 1e-9] = 1.0
     inputs = cells.select("gaps", *[f"x{i}" for i in range(width)])
-    v = np.random.default_rng(42).normal(size=(width, RANK)) / np.sqrt(RANK)
-    for _ in range(sweeps):
-
-        def sums(batches: Iterator[pd.DataFrame], v: np.ndarray = v) -> Iterator[pd.DataFrame]:
-            a, b = np.zeros((width, RANK, RANK)), np.zeros((width, RANK))
-            n = 0
-            for pdf in batches:
-                x = (_matrix(pdf) - mean) / scale
-                u = _records(x, v)
-                here = ~np.isnan(x)
-                outer = (u[:, :, None] * u[:, None, :]).reshape(len(u), -1)
-                a += (here.T.astype(float) @ outer).reshape(a.shape)
-                b += np.where(here, x, 0.0).T @ u
-                n += len(u)
-            if n:
-                yield pd.DataFrame({"s": [np.concatenate([a.ravel(), b.ravel()])]})
-
-        parts = inputs.mapInPandas(sums, "s array<double>").select(F.posexplode("s").alias("i", "s"))
-        total = {r["i"]: r["s"] for r in parts.groupBy("i").agg(F.sum("s").alias("s")).collect()}  # a fixed number of rows
-        if not total:
-            break
-        flat = np.array([total[i] for i in range(len(total))])
-        a, b = flat[: width * RANK * RANK].reshape(width, RANK, RANK), flat[width * RANK * RANK :].reshape(width, RANK)
-        v = np.linalg.solve(a + RIDGE * np.eye(RANK), b[:, :, None])[:, :, 0]
-    return mean, scale, v
+    v, w = np.zeros((width, RANK)), np.ones(width)
+
+    def moments(pdf: pd.DataFrame) -> np.ndarray:
+        x = (_matrix(pdf) - mean) / scale
+        here = (~np.isnan(x)).astype(float)
+        x = np.nan_to_num(x)
+        return np.concatenate([(x.T @ x).ravel(), (here.T @ here).ravel()])
+
+    flat = _summed(inputs, moments)
+    if flat is None:
+        return mean, scale, v, w
+    values, vectors = np.linalg.eigh(flat[: width * width].reshape(width, width) / np.maximum(flat[width * width :].reshape(width, width), 1))
+    v = vectors[:, ::-1][:, :RANK] * np.sqrt(np.maximum(values[::-1][:RANK], 1e-3))
+    for sweep in range(sweeps):
+
+        def normal(pdf: pd.DataFrame, v: np.ndarray = v, w: np.ndarray = w) -> np.ndarray:
+            x = (_matrix(pdf) - mean) / scale
+            u = _records(x, v, w)
+            here = ~np.isnan(x)
+            outer = (u[:, :, None] * u[:, None, :]).reshape(len(u), -1)
+            return np.concatenate([(here.T.astype(float) @ outer).ravel(), (np.nan_to_num(x).T @ u).ravel(), np.nansum((x - u @ v.T) ** 2, axis=0), here.sum(axis=0)])
+
+        flat = _summed(inputs, normal)
+        a, b, squares, n = np.split(flat, np.cumsum([width * RANK * RANK, width * RANK, width]))
+        if sweep >= 2:
+            w = np.clip(1 / np.maximum(squares / np.maximum(n, 1), 1e-12), 1.0, WEIGHT_MAX)
+        v = np.linalg.solve(a.reshape(width, RANK, RANK) + RIDGE * np.eye(RANK), b.reshape(width, RANK, 1))[:, :, 0]
+    return mean, scale, v, w
 
 
 def fill_missing(coefficient: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
@@ -167,14 +198,14 @@ def fill_missing(coefficient: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     location are filled from all other records (supported: false); an empty table gives an empty table.
     """
     cells = materialise(_encoded(_with_context(_rows(coefficient))), "cells")
-    mean, scale, v = _fit(cells, sweeps)
+    mean, scale, v, w = _fit(cells, sweeps)
     at = {name: i for i, name in enumerate(CELLS)}
     first_class = at[f"is_{CLASSES[0]}"]
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = (_matrix(pdf) - mean) / scale
-            fitted = _records(x, v) @ v.T * scale + mean
+            fitted = _records(x, v, w) @ v.T * scale + mean
             coef, year = pdf["coef"].to_numpy(float), pdf["year"].to_numpy(float)
             no_coef, no_veg, no_year = np.isnan(coef), pdf["cls"].isna().to_numpy(), np.isnan(year)
             coef = np.where(no_coef, np.clip(fitted[:, at["coef"]], 0, 1), coef)

@@ -64,19 +64,21 @@ def fcls(e: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tup
     return x, float(np.sqrt((resid**2).mean())) if len(resid) else np.nan
 
 
-def reweighted(e: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, steps: int = REWEIGHT_STEPS, tol: float = REWEIGHT_TOL) -> tuple[np.ndarray, float]:
-    """FCLS repeated with each endmember scaled by 1 / (|fraction| + 1e-6), kept within 0.1 to 10, until fractions settle."""
+def reweighted(e: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, steps: int = REWEIGHT_STEPS, tol: float = REWEIGHT_TOL, pull: float = 1e-4) -> tuple[np.ndarray, float]:
+    """FCLS with a light pull of each fraction towards 0, repeated with the pull weighted by 1 / (|fraction| + 1e-6), kept within 0.1 to 10, until
+    fractions settle: small fractions are driven out, large ones hardly moved."""
     x, rmse = fcls(e, y, weights)
+    ok = np.isfinite(y) & np.isfinite(e).all(axis=1)
+    size = np.sqrt(pull * (e[ok] ** 2).sum() / max(e.shape[1], 1)) if ok.any() else 0.0
     for _ in range(steps):
         scale = np.clip(1 / (np.abs(x) + 1e-6), REWEIGHT_LOW, REWEIGHT_HIGH)
-        z, _ = fcls(e / scale, y, weights)
-        z = z / scale
-        z = z / z.sum() if z.sum() > 0 else x
+        rows = None if weights is None else np.append(weights, np.ones(e.shape[1]))
+        z, _ = fcls(np.vstack([e, size * np.diag(scale)]), np.append(y, np.zeros(e.shape[1])), rows)
         done = np.abs(z - x).max() < tol
         x = z
         if done:
             break
-    resid = (y - e @ x)[np.isfinite(y)]
+    resid = (y - e @ x)[ok]
     return x, float(np.sqrt((resid**2).mean())) if len(resid) else rmse
 
 
