@@ -50,7 +50,7 @@ def _split(blocks: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame |
     for i, g in enumerate(groups):
         condition = condition & F.col(g).eqNullSafe(F.col(f"_k{i}"))
     single = blocks.join(named, condition, "left_anti")
-    many = blocks.join(named, condition).select("_g", "vals")
+    many = materialise(blocks.join(named, condition).select("_g", "vals"), "hot")  # read again in every round
     sizes = {r["_g"]: r["n"] for r in many.groupBy("_g").agg(F.sum(F.size("vals")).alias("n")).collect()}
     return single, many, keys, sizes
 
