@@ -145,7 +145,7 @@ def percentiles(df: DataFrame, groups: list[str], value: str, row_id: str, quant
             for q in quantiles.values():
                 a, b = (values[g, r] for r in ends(q, size))
                 h = (size - 1) * q
-                row.append(a if a == b else a + (h - np.floor(h)) * (b - a))
+                row.append(a if a == b else float(a + (h - np.floor(h)) * (b - a)))
             rows.append((*keys[g], size, *row))
         result = result.unionByName(df.sparkSession.createDataFrame(rows, result.schema))
     return result.withColumn("rank_error", F.lit(0.0))
