@@ -95,7 +95,6 @@ def with_(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
-_E = 1e-9
 #: The index formulas in SQL, written from their definitions.
 SQL_INDICES = {
     "dvi": "nir - red", "nddi": "(red - nir) / nullif(red + nir + 1e-9, 0)", "evi": "2.5 * (nir - red) / nullif(nir + 6 * red - 7.5 * blue + 1, 0)",
