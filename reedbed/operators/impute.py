@@ -55,13 +55,13 @@ def _with_context(rows: DataFrame) -> DataFrame:
         *[F.count(F.when(of(k), c("coef"))).alias(f"n_{k}") for k in CLASSES],
         *[F.bit_or(F.when(of(k), bit)).alias(f"y_{k}") for k in CLASSES],
     )
-    by_season = rows.where("location_id is not null and year is not null").groupBy("location_id", "year").agg(
+    by_season = materialise(rows.where("location_id is not null and year is not null").groupBy("location_id", "year").agg(
         F.count(F.lit(1)).alias("t_n"), F.count("coef").alias("t_held"), F.sum("coef").alias("t_sum"), *[F.max(of(k).cast("int")).alias(f"t_{k}") for k in CLASSES]
-    )
+    ), "seasons")  # read by both joins below
     seasons = by_season.groupBy("location_id").agg(F.collect_list(F.struct("year", "t_sum", "t_held")).alias("seasons"), F.sum("t_n").alias("s_n"))
-    known = join_key_stats(join_key_stats(rows, by_location, ["location_id"], "l_n"), by_season, ["location_id", "year"], "t_n")
-    undated = join_key_stats(known.where("year is null"), seasons, ["location_id"], "s_n")  # at most 40 seasons each
-    return undated.drop("s_n").unionByName(known.where("year is not null"), allowMissingColumns=True)
+    undated = join_key_stats(rows.where("year is null"), seasons, ["location_id"], "s_n").drop("s_n")  # at most 40 seasons each
+    rows = undated.unionByName(rows.where("year is not null"), allowMissingColumns=True)
+    return join_key_stats(join_key_stats(rows, by_location, ["location_id"], "l_n"), by_season, ["location_id", "year"], "t_n")
 
 
 def _encoded(rows: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def fill_missing(coefficient: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     in a season of the location's span in which the class has no record if there is one. Repeated rows count once; records with a null
     location are filled from all other records (supported: false); an empty table gives an empty table.
     """
-    cells = materialise(_encoded(_with_context(_rows(coefficient))), "cells")
+    cells = materialise(_encoded(_with_context(materialise(_rows(coefficient), "records"))), "cells")
     mean, scale, v, w = _fit(cells, sweeps)
     at = {name: i for i, name in enumerate(CELLS)}
     first_class = at[f"is_{CLASSES[0]}"]
