@@ -99,7 +99,7 @@ def radius_pairs(
     spark = df.sparkSession
     points = df.select(F.col(key).cast("string").alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
     points = points.where("id is not null and lat between -90 and 90 and lon between -180 and 360 and not (lat = 0 and lon = 0)")
-    points = points.groupBy("id").agg(F.min(F.struct("lat", "lon")).alias("p")).select("id", "p.lat", "p.lon")
+    points = materialise(points.groupBy("id").agg(F.min(F.struct("lat", "lon")).alias("p")).select("id", "p.lat", "p.lon"), "points")
     pivots = spark.sparkContext.broadcast(choose_pivots(points, radius_m, points_per_cell))
 
     def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
