@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from reedbed.functions.numeric import ratio
 from reedbed.operators.harmonise import haversine_km
 from reedbed.operators.relational import lag_join
+from reedbed.session import materialise
 
 
 def student_t_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -124,34 +126,145 @@ def signal_to_noise(df: DataFrame, key: str, columns: list[str], eps: float = 1e
     return span.join(noise, "index_name").withColumn("snr", F.col("signal") / (F.col("noise") + eps))
 
 
-#: Pairs of all locations are formed only up to this number of them; beyond it the caller chooses (capped_locations), as the
-#: statistics are quadratic by definition.
-MAX_PAIR_LOCATIONS = 2000
+#: Locations of a block: pairs are worked off one block of locations against another, so a task holds at most about PAIR_BLOCK ** 2 of them.
+PAIR_BLOCK = 1000
+#: Values of pairs that are fetched to read off the last ranks, and parts that an interval of values is split into before.
+RANK_FETCH, RANK_PARTS = 100_000, 2048
+
+
+def _sides(places: DataFrame, value: str, key: str) -> tuple[DataFrame, DataFrame, int]:
+    """_i, _j, k, lat, lon, v of the locations with a position and a value as first and as second of all pairs of blocks, each pair once (_i <= _j); number of tasks."""
+    p = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias("k"), "lat", "lon", F.col(value).alias("v"))
+    n = p.count()
+    blocks = max(1, -(-n // PAIR_BLOCK), min(8, n // 50))
+    own = p.withColumn("_b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    first = own.select(F.col("_b").alias("_i"), F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1))).alias("_j"), "k", "lat", "lon", "v")
+    second = own.select(F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"), "k", "lat", "lon", "v")
+    return first, second, min(blocks * (blocks + 1) // 2, 1000)
 
 
 def location_pairs(places: DataFrame, value: str, key: str = "location_id") -> DataFrame:
-    """a, b, va, vb, km of all pairs of at most MAX_PAIR_LOCATIONS locations with a position and a value; more are an error."""
-    p = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col(value).isNotNull()).select(key, "lat", "lon", value)
-    if p.limit(MAX_PAIR_LOCATIONS + 1).count() > MAX_PAIR_LOCATIONS:
-        raise ValueError(f"more than {MAX_PAIR_LOCATIONS} locations: choose some with capped_locations")
-    side = lambda end: p.select(*[F.col(c).alias(f"{n}{end}") for c, n in ((key, "k"), ("lat", "lat"), ("lon", "lon"), (value, "v"))])
-    pairs = side("a").join(F.broadcast(side("b")), F.col("ka") < F.col("kb"))
-    return pairs.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "va", "vb", haversine_km(F.col("lata"), F.col("lona"), F.col("latb"), F.col("lonb")).alias("km"))
-
-
-def semivariogram(pairs: DataFrame) -> DataFrame:
-    """bin, km (middle), gamma (median half squared difference), n: distance bins at quantiles, the last border excluded."""
-    n = pairs.count()
-    bins = min(10, max(3, n // 5))
-    cuts = pairs.agg(F.percentile("km", F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("q")).first()["q"]
-    if not cuts:
-        return pairs.sparkSession.createDataFrame([], "bin int, km double, gamma double, n bigint")
-    number = F.lit(None).cast("int")
-    for i in reversed(range(bins)):
-        number = F.when((F.col("km") >= cuts[i]) & (F.col("km") < cuts[i + 1]), i + 1).otherwise(number)
-    middle = F.element_at(F.array(*[F.lit((cuts[i] + cuts[i + 1]) / 2) for i in range(bins)]), F.col("bin"))
-    g = pairs.withColumn("bin", number).where("bin is not null").groupBy("bin").agg(F.median(F.pow(F.col("va") - F.col("vb"), F.lit(2.0)) / 2).alias("gamma"), F.count(F.lit(1)).alias("n"))
-    return g.select("bin", middle.alias("km"), "gamma", "n")
+    """a, b, va, vb, km of all pairs of locations with a position and a value."""
+    first, second, tasks = _sides(places, value, key)
+    side = lambda df, end: df.select("_i", "_j", *[F.col(c).alias(f"{c}{end}") for c in ("k", "lat", "lon", "v")]).repartition(tasks, "_i", "_j")
+    pairs = side(first, "a").join(side(second, "b"), ["_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col("ka") < F.col("kb")))
+    swap = F.col("ka") > F.col("kb")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return pairs.select(pick("ka", "kb").alias("a"), pick("kb", "ka").alias("b"), pick("va", "vb").alias("va"), pick("vb", "va").alias("vb"), haversine_km(F.col("lata"), F.col("lona"), F.col("latb"), F.col("lonb")).alias("km"))
+
+
+def _kilometres(x: pd.DataFrame, y: pd.DataFrame) -> np.ndarray:
+    (a, o), (b, q) = ((np.radians(t["lat"].to_numpy(float)), np.radians(t["lon"].to_numpy(float))) for t in (x, y))
+    h = np.sin((a[:, None] - b) / 2) ** 2 + np.cos(a)[:, None] * np.cos(b) * np.sin((o[:, None] - q) / 2) ** 2
+    return 2 * 6371 * np.arcsin(np.sqrt(np.minimum(h, 1)))
+
+
+class PairBlocks:
+    """All pairs of locations in blocks against blocks; only what a task makes of its block leaves it."""
+
+    def __init__(self, places: DataFrame, value: str, key: str = "location_id"):
+        self.places = materialise(places.select(key, "lat", "lon", value), "locations")
+        self.value, self.key = value, key
+        first, second, tasks = _sides(self.places, value, key)
+        self.rows = first.withColumn("_side", F.lit(0)).unionByName(second.withColumn("_side", F.lit(1))).repartition(tasks, "_i", "_j")
+
+    def map(self, work: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+        """What work makes of the locations of two blocks, their distances and a mask of the pairs that count."""
+
+        def block(pdf: pd.DataFrame) -> pd.DataFrame:
+            x, y = (pdf[pdf["_side"] == s].sort_values("k") for s in (0, 1))
+            once = np.ones((len(x), len(y)), dtype=bool)
+            return work(x, y, _kilometres(x, y), np.triu(once, 1) if pdf["_i"].iloc[0] == pdf["_j"].iloc[0] else once)
+
+        return self.rows.groupBy("_i", "_j").applyInPandas(block, schema)
+
+    def percentiles(self, values: Callable[..., tuple[np.ndarray, np.ndarray]], shares: Callable[[int, int], list[float]]) -> dict[int, tuple[int, list[float]]]:
+        """Number and exact percentiles (linear between ranks) of values of at least 0 by group of pairs; values gives groups and values of a block's pairs, shares the percentiles of a group and its number.
+
+        Values are compared as the integers of their bits, which have the same order: intervals around the ranks are split and counted until few values are left in them.
+        """
+
+        def sorted_bits(x: pd.DataFrame, y: pd.DataFrame, km: np.ndarray, once: np.ndarray) -> dict[int, np.ndarray]:
+            group, v = values(x, y, km, once)
+            bits = (v + 0.0).view(np.int64)
+            return {int(g): np.sort(bits[group == g]) for g in np.unique(group)}
+
+        def extent(*block) -> pd.DataFrame:
+            return pd.DataFrame([(g, len(b), b[0], b[-1]) for g, b in sorted_bits(*block).items()], columns=["g", "n", "lo", "hi"])
+
+        ends = self.map(extent, "g int, n bigint, lo bigint, hi bigint").groupBy("g").agg(F.sum("n"), F.min("lo"), F.max("hi")).collect()
+        sizes = {g: n for g, n, _, _ in ends}
+        places = {g: [(n - 1) * q for q in shares(g, n)] for g, n in sizes.items()}
+        ranks = {g: sorted({r for p in places[g] for r in (math.floor(p), math.ceil(p))}) for g in sizes}
+        found: dict[tuple[int, int], int] = {}
+        open_ = [(g, lo, hi + 1, 0, n, ranks[g]) for g, n, lo, hi in ends if ranks[g]]  # values, numbers below and within, ranks
+        while open_:
+            if sum(o[4] for o in open_) <= RANK_FETCH:
+
+                def within(*block, spans=[o[:3] for o in open_]) -> pd.DataFrame:
+                    bits, out = sorted_bits(*block), []
+                    for t, (g, lo, hi) in enumerate(spans):
+                        b = bits.get(g, np.zeros(0, np.int64))
+                        out += [(t, int(v)) for v in b[np.searchsorted(b, lo) : np.searchsorted(b, hi)]]
+                    return pd.DataFrame(out, columns=["t", "bits"])
+
+                got = self.map(within, "t int, bits bigint").toPandas()  # at most RANK_FETCH rows
+                by = {t: np.sort(x["bits"].to_numpy()) for t, x in got.groupby("t")}
+                found |= {(o[0], r): by[t][r - o[3]] for t, o in enumerate(open_) for r in o[5]}
+                break
+
+            def counted(*block, spans=[o[:3] for o in open_]) -> pd.DataFrame:
+                bits, out = sorted_bits(*block), []
+                for t, (g, lo, hi) in enumerate(spans):
+                    b = bits.get(g, np.zeros(0, np.int64))
+                    part, n = np.unique((b[np.searchsorted(b, lo) : np.searchsorted(b, hi)] - lo) // -((lo - hi) // RANK_PARTS), return_counts=True)
+                    out += zip([t] * len(part), part.tolist(), n.tolist())
+                return pd.DataFrame(out, columns=["t", "part", "n"])
+
+            counts = self.map(counted, "t int, part bigint, n bigint").groupBy("t", "part").agg(F.sum("n").alias("n")).toPandas().sort_values(["t", "part"])  # intervals x RANK_PARTS
+            narrower = []
+            for t, c in counts.groupby("t"):
+                g, lo, hi, below, _, wanted = open_[t]
+                width, part, upto = -((lo - hi) // RANK_PARTS), c["part"].to_numpy(), below + np.cumsum(c["n"].to_numpy())
+                at = np.searchsorted(upto, wanted, side="right")
+                for k in np.unique(at):
+                    own = [r for r, a in zip(wanted, at, strict=True) if a == k]
+                    a = lo + int(part[k]) * width
+                    if width == 1:
+                        found |= {(g, r): a for r in own}
+                    else:
+                        narrower.append((g, a, min(a + width, hi), int(upto[k] - c["n"].iloc[k]), int(c["n"].iloc[k]), own))
+            open_ = narrower
+        value = lambda g, r: float(np.int64(found[g, r]).view(np.float64))
+        between = lambda g, p: value(g, math.floor(p)) if p == math.floor(p) else (math.ceil(p) - p) * value(g, math.floor(p)) + (p - math.floor(p)) * value(g, math.ceil(p))
+        return {g: (sizes[g], [between(g, p) for p in places[g]]) for g in sizes}
+
+    def lags(self) -> DataFrame:
+        """k, v, lag, w: of each location its value, the mean of all others by inverse distance (at least 1 m), and the sum of these weights."""
+
+        def sums(x: pd.DataFrame, y: pd.DataFrame, km: np.ndarray, once: np.ndarray) -> pd.DataFrame:
+            w = np.where(once, 1 / np.maximum(km, 1e-3), 0.0)
+            both = [pd.DataFrame({"k": s["k"], "v": s["v"], "w": m.sum(axis=1), "wo": m @ o["v"].to_numpy(float)}) for s, o, m in ((x, y, w), (y, x, w.T))]
+            return pd.concat(both).query("w > 0")
+
+        per = self.map(sums, f"k {dict(self.places.dtypes)[self.key]}, v double, w double, wo double")
+        return per.groupBy("k").agg(F.first("v").alias("v"), (F.sum("wo") / F.sum("w")).alias("lag"), F.sum("w").alias("w"))
+
+
+def semivariogram(blocks: PairBlocks) -> list[tuple[int, float, float, int]]:
+    """bin, km (middle), gamma (median half squared difference), n: at most ten distance bins at quantiles, the last border excluded."""
+    number = lambda n: min(10, max(3, n // 5))
+    got = blocks.percentiles(lambda x, y, km, once: (np.zeros(once.sum(), np.int64), km[once]), lambda g, n: [i / number(n) for i in range(number(n) + 1)])
+    if not got:
+        return []
+    cuts = np.array(got[0][1])
+
+    def halves(x: pd.DataFrame, y: pd.DataFrame, km: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        once = once & (km >= cuts[0]) & (km < cuts[-1])
+        return np.searchsorted(cuts, km[once], side="right"), (x["v"].to_numpy(float)[:, None] - y["v"].to_numpy(float))[once] ** 2 / 2
+
+    gammas = blocks.percentiles(halves, lambda g, n: [0.5])
+    return [(g, float(cuts[g - 1] + cuts[g]) / 2, q[0], n) for g, (n, q) in sorted(gammas.items())]
 
 
 def variogram_range(bins: list[tuple[float, float]], total_var: float, max_km: float, fallback_km: float = 5.0) -> float:
@@ -188,7 +301,11 @@ def moran(pairs: DataFrame) -> DataFrame:
     """One row: i, expected, n. Weights are inverse distances, each location's own summing to 1; pairs at distance 0 count as 1 m."""
     w = 1 / F.greatest(F.col("km"), F.lit(1e-3))
     both = pairs.select(F.col("a").alias("k"), F.col("va").alias("v"), F.col("vb").alias("o"), w.alias("w")).unionByName(pairs.select(F.col("b").alias("k"), F.col("vb").alias("v"), F.col("va").alias("o"), w.alias("w")))
-    per = both.groupBy("k").agg(F.first("v").alias("v"), (F.sum(F.col("w") * F.col("o")) / F.sum("w")).alias("lag"))
+    return moran_of_lags(both.groupBy("k").agg(F.first("v").alias("v"), (F.sum(F.col("w") * F.col("o")) / F.sum("w")).alias("lag")))
+
+
+def moran_of_lags(per: DataFrame) -> DataFrame:
+    """moran from v and lag of each location."""
     s = per.agg(F.avg("v").alias("m"))
     c = per.crossJoin(F.broadcast(s)).withColumn("d", F.col("v") - F.col("m"))
     total = c.agg(F.sum(F.col("d") * (F.col("lag") - F.col("m"))).alias("top"), F.sum(F.col("d") * F.col("d")).alias("low"), F.count(F.lit(1)).alias("n"))
@@ -196,7 +313,7 @@ def moran(pairs: DataFrame) -> DataFrame:
 
 
 def moran_p(lat: np.ndarray, lon: np.ndarray, values: np.ndarray, draws: int = 199, seed: int = 42) -> tuple[float, float]:
-    """Moran's I and its one-sided permutation p-value, for at most MAX_PAIR_LOCATIONS locations."""
+    """Moran's I and its one-sided permutation p-value, of a matrix of all pairs; moran_test does the same in blocks."""
     a, o = np.radians(lat), np.radians(lon)
     h = np.sin((a[:, None] - a) / 2) ** 2 + np.cos(a)[:, None] * np.cos(a) * np.sin((o[:, None] - o) / 2) ** 2
     km = np.maximum(2 * 6371 * np.arcsin(np.sqrt(np.minimum(h, 1))), 1e-3)
@@ -208,16 +325,42 @@ def moran_p(lat: np.ndarray, lon: np.ndarray, values: np.ndarray, draws: int = 1
     return float(observed), float((1 + sum(stat(rng.permutation(values)) >= observed for _ in range(draws))) / (draws + 1))
 
 
-def block_km(lat: np.ndarray, lon: np.ndarray, values: np.ndarray, alpha: float = 0.05, fallback_km: float = 5.0) -> float:
-    """Size of resampling blocks: the fallback if values are spatially autocorrelated, else 0."""
-    if len(values) < 5 or np.var(values) == 0:
-        return 0.0
-    return fallback_km if moran_p(lat, lon, values)[1] < alpha else 0.0
+def moran_test(blocks: PairBlocks, draws: int = 199, seed: int = 42) -> tuple[float, float]:
+    """moran_p of locations in order of their keys: each block adds its part to the statistic of every permutation.
 
-
-def effective_n(pairs: DataFrame, range_km: float, n: int) -> float:
+    Tasks get keys, values and sums of weights of all locations (three numbers a location) and permute the values themselves.
+    """
+    per = blocks.lags().select("k", "v", "w").orderBy("k").toPandas()
+    if len(per) < 2:
+        return np.nan, np.nan
+    sent = blocks.places.sparkSession.sparkContext.broadcast((per["k"].to_numpy(), per["v"].to_numpy(float) - per["v"].mean(), per["w"].to_numpy(float)))
+
+    def parts(x: pd.DataFrame, y: pd.DataFrame, km: np.ndarray, once: np.ndarray) -> pd.DataFrame:
+        keys, z, total = sent.value
+        i, j = (np.searchsorted(keys, s["k"].to_numpy()) for s in (x, y))
+        rng, zx, zy = np.random.default_rng(seed), [z[i]], [z[j]]
+        for _ in range(draws):
+            p = rng.permutation(z)
+            zx.append(p[i])
+            zy.append(p[j])
+        zx, zy = np.column_stack(zx), np.column_stack(zy)
+        w = np.where(once, 1 / np.maximum(km, 1e-3), 0.0)
+        w = w / total[i][:, None] + w / total[j]
+        return pd.DataFrame({"draw": range(draws + 1), "s": (zx * (w @ zy)).sum(axis=0)})
+
+    sums = blocks.map(parts, "draw int, s double").groupBy("draw").agg(F.sum("s").alias("s")).orderBy("draw").toPandas()["s"].to_numpy()
+    return float(sums[0] / (sent.value[1] ** 2).sum()), float((1 + (sums[1:] >= sums[0]).sum()) / (draws + 1))
+
+
+def block_km(p: float, n: int, variance: float, alpha: float = 0.05, fallback_km: float = 5.0) -> float:
+    """Size of resampling blocks: the fallback if values are spatially autocorrelated (p of moran_test), else 0."""
+    return fallback_km if n >= 5 and variance > 0 and p < alpha else 0.0
+
+
+def effective_n(blocks: PairBlocks, range_km: float, n: int) -> float:
     """n / (1 + (n - 1) x mean correlation) under exponential decay."""
-    mean = pairs.agg(F.avg(F.exp(-F.col("km") / range_km)).alias("m")).first()["m"]
+    part = lambda x, y, km, once: pd.DataFrame({"s": [np.exp(-km[once] / range_km).sum()], "n": [int(once.sum())]})
+    mean = blocks.map(part, "s double, n bigint").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m")).first()["m"]
     return n / (1 + (n - 1) * (mean or 0.0))
 
 

@@ -12,6 +12,7 @@ from reedbed.operators import filters, harmonise, relational as rel, resample, s
 from reedbed.plans.expression_queries import _PPI, _SOIL, sr
 from reedbed.plans.relational_queries import _BINS, _FILL, _SCALER, _SERIES, BANDS, class_years, rounded, water_years
 from reedbed.plans.views import SQL_COEFS, SQL_INDICES, SQL_LIBRARY, SQL_OBS, SQL_PLACES, SQL_WATER, coefs, library, obs, places, with_
+from reedbed.session import materialise
 
 QUERIES, SQL = {}, {}
 CLASSES = ["barren", "herbs", "populus", "tamarix"]
@@ -114,29 +115,27 @@ def _number():
 
 def _sites(spark: SparkSession, d: str) -> DataFrame:
     o = obs(spark, d).where("lat is not null and lon is not null")
-    s = o.groupBy("location_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.avg("nir").alias("v")).where("v is not null")
-    return filters.capped_locations(s, "location_id", _number(), 300)
+    return o.groupBy("location_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.avg("nir").alias("v")).where("v is not null")
 
 
 @query(with_(SQL_OBS) + _SITES + f"SELECT a, b, {sr('km', 'km')} FROM pairs")
 def pairs_distance(spark: SparkSession, d: str) -> DataFrame:
-    return stats.location_pairs(_sites(spark, d), "v").select("a", "b", r6(F.col("km")).alias("km"))
+    return stats.location_pairs(materialise(_sites(spark, d), "sites"), "v").select("a", "b", r6(F.col("km")).alias("km"))
 
 
 @query(with_(SQL_OBS) + _SITES + f""", k AS (SELECT least(10, greatest(3, count(*) // 5)) AS bins FROM pairs), c AS (SELECT i, bins, (SELECT quantile_cont(km, i::DOUBLE / bins) FROM pairs) AS lo FROM k, (SELECT unnest(generate_series(0, 10)) AS i) WHERE i <= bins),
 e AS (SELECT i + 1 AS bin, lo, lead(lo) OVER (ORDER BY i) AS hi FROM c)
 SELECT CAST(bin AS INTEGER) AS bin, {sr('(lo + hi) / 2', 'km')}, {sr('median(pow(va - vb, 2) / 2) * 1e4', 'gamma')}, count(*) AS n FROM e JOIN pairs ON km >= lo AND km < hi GROUP BY bin, lo, hi""".replace("(SELECT quantile_cont(km, i::DOUBLE / bins) FROM pairs)", "list_extract((SELECT quantile_cont(km, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]) FROM pairs), i + 1)"))
 def semivariogram(spark: SparkSession, d: str) -> DataFrame:
-    g = stats.semivariogram(stats.location_pairs(_sites(spark, d), "v"))
+    g = spark.createDataFrame(stats.semivariogram(stats.PairBlocks(_sites(spark, d), "v")), "bin int, km double, gamma double, n bigint")
     return g.select("bin", r6(F.col("km")).alias("km"), r6(F.col("gamma") * 1e4).alias("gamma"), "n")
 
 
 @query()
 def variogram_range(spark: SparkSession, d: str) -> DataFrame:
-    sites = _sites(spark, d)
-    pairs = stats.location_pairs(sites, "v")
-    bins = [(r["km"], r["gamma"]) for r in stats.semivariogram(pairs).collect()]  # at most ten rows
-    s = sites.agg(F.var_samp("v").alias("v"), F.count("v").alias("n")).first()
+    pairs = stats.PairBlocks(_sites(spark, d), "v")
+    bins = [(km, gamma) for _, km, gamma, _ in stats.semivariogram(pairs)]
+    s = pairs.places.agg(F.var_samp("v").alias("v"), F.count("v").alias("n")).first()
     rng = stats.variogram_range(bins, s["v"] or 0.0, 500.0)
     return spark.createDataFrame([(rng, stats.effective_n(pairs, rng, s["n"]))], "range_km double, n_eff double")
 
@@ -145,14 +144,15 @@ def variogram_range(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT k, any_value(v) AS v, sum(w*o)/sum(w) AS lag FROM w GROUP BY 1), m AS (SELECT avg(v) AS m FROM g)
 SELECT {sr('sum((v-m)*(lag-m))/sum((v-m)*(v-m))', 'i')}, {sr('-1.0/(count(*)-1)', 'expected')}, count(*) AS n FROM g, m""")
 def moran_i(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stats.moran(stats.location_pairs(_sites(spark, d), "v")), "i", "expected")
+    return rounded(stats.moran_of_lags(stats.PairBlocks(_sites(spark, d), "v").lags()), "i", "expected")
 
 
 @query()
 def moran_blocks(spark: SparkSession, d: str) -> DataFrame:
-    s = _sites(spark, d).toPandas()  # at most 300 rows
-    i, p = stats.moran_p(s["lat"].to_numpy(), s["lon"].to_numpy(), s["v"].to_numpy())
-    return spark.createDataFrame([(i, p, stats.block_km(s["lat"].to_numpy(), s["lon"].to_numpy(), s["v"].to_numpy()))], "i double, p double, block_km double")
+    pairs = stats.PairBlocks(_sites(spark, d), "v")
+    s = pairs.places.agg(F.var_pop("v").alias("v"), F.count("v").alias("n")).first()
+    i, p = stats.moran_test(pairs)
+    return spark.createDataFrame([(i, p, stats.block_km(p, s["n"], s["v"] or 0.0))], "i double, p double, block_km double")
 
 
 @query(with_(SQL_PLACES) + """, m AS (SELECT avg(lat) AS m FROM places) SELECT CASE WHEN lat IS NOT NULL THEN CAST(CAST(floor(lat / (5/111.32)) AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(floor(lon / (5/(111.32*cos(radians(m))))) AS BIGINT) AS VARCHAR) END AS block, count(*) AS n FROM places, m GROUP BY 1""")
