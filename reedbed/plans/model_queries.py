@@ -276,7 +276,7 @@ def iwlmm(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def mc_uncertainty(spark: SparkSession, d: str) -> DataFrame:
-    return unmix.unmix(_season_vectors(spark, d), _class_vectors(spark, d), _KEYS, solver="fcls", draws=20)
+    return unmix.unmix(_season_vectors(spark, d), _class_vectors(spark, d), _KEYS, solver="fcls", draws=50)
 
 
 @query()
@@ -382,7 +382,7 @@ bt AS (SELECT rep, py, veg, s / al AS value FROM vv JOIN al USING (rep) UNION AL
 
 @query(with_(SQL_COEFS) + _BOOT + f" SELECT py, veg, {sr('avg(value)', 'mean')}, {sr('stddev_samp(value)', 'sd')}, {sr('quantile_cont(value, 0.025)', 'coef_025')}, {sr('quantile_cont(value, 0.975)', 'coef_975')}, count(value) AS n FROM bt GROUP BY 1, 2")
 def boot_compile(spark: SparkSession, d: str) -> DataFrame:
-    reps = resample.location_bootstrap(coefs(spark, d), _number(), 20)
+    reps = resample.location_bootstrap(coefs(spark, d), _number(), 100)
     return rounded(resample.compiled(reps, ["py", "veg"]), "mean", "sd", "coef_025", "coef_975")
 
 
@@ -394,14 +394,14 @@ def aggregate_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def hier_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     o = obs(spark, d).select("location_id", "veg", "nir")
-    return resample.hierarchical_bootstrap(o, ["veg"], "location_id", "nir", _number(), 100)
+    return resample.hierarchical_bootstrap(o, ["veg"], "location_id", "nir", _number(), 1000)
 
 
 @query()
 def index_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     o = obs(spark, d).where(filters.in_months((7, 8, 9))).select("obs_id", "location_id", "py", "doy_cal", ix.spectral_indices()["ndvi"].alias("ndvi"))
     t = stats.detrend_cubic(o, [], "doy_cal", "ndvi")
-    return resample.hierarchical_bootstrap(t, ["py"], "location_id", "detrended", _number(), 50)
+    return resample.hierarchical_bootstrap(t, ["py"], "location_id", "detrended", _number(), 1000)
 
 
 _PRED = ", pred AS (SELECT o.location_id, o.py, o.veg, o.coef, p.veg AS actual FROM one o JOIN places p USING (location_id) WHERE p.veg IS NOT NULL)"

@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from reedbed.operators import stats
+from reedbed.operators import resample, stats, unmix
 from reedbed.plans import model_queries
 
 BANDS = ("blue", "green", "red", "nir", "swir1", "swir2")
@@ -45,3 +45,17 @@ def test_spatial_queries_take_all_locations(spark, tmp_path):
     spark.createDataFrame(rows, "obs_id bigint, location_id string, date date, satellite string, lat double, lon double, vegetation string, " + ", ".join(f"{b} double" for b in BANDS)).write.parquet(str(tmp_path / "observation.parquet"))
     assert model_queries.pairs_distance(spark, str(tmp_path)).count() == 330 * 329 // 2
     assert model_queries.moran_i(spark, str(tmp_path)).first()["n"] == 330
+
+
+def test_queries_draw_the_replicates_of_the_reference(spark, monkeypatch):
+    seen = {}
+    for name in ("obs", "coefs", "_season_vectors", "_class_vectors"):
+        monkeypatch.setattr(model_queries, name, lambda s, d: spark.createDataFrame([], "obs_id int, location_id string, py int, doy_cal int, date date, veg string, " + ", ".join(f"{b} double" for b in BANDS)))
+    monkeypatch.setattr(resample, "compiled", lambda reps, keys: reps)
+    monkeypatch.setattr(model_queries, "rounded", lambda df, *columns: df)
+    monkeypatch.setattr(resample, "location_bootstrap", lambda df, number, n: seen.update(boot_compile=n))
+    monkeypatch.setattr(unmix, "unmix", lambda *a, draws=0, **k: seen.update(mc_uncertainty=draws))
+    monkeypatch.setattr(resample, "hierarchical_bootstrap", lambda df, groups, key, value, number, n: seen.update({{"nir": "hier_bootstrap", "detrended": "index_bootstrap"}[value]: n}))
+    for name in ("boot_compile", "mc_uncertainty", "hier_bootstrap", "index_bootstrap"):
+        model_queries.QUERIES[name](spark, "")
+    assert seen == {"boot_compile": 100, "mc_uncertainty": 50, "hier_bootstrap": 1000, "index_bootstrap": 1000}
