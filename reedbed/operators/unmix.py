@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from reedbed.operators.soil import barren_floor
 from reedbed.operators.traces import cosine, unit
+from reedbed.session import materialise
 
 SPARSE_PENALTY, ACTIVE_MAX, SUM_WEIGHT = 0.01, 2, 100.0
 REWEIGHT_LOW, REWEIGHT_HIGH, REWEIGHT_STEPS, REWEIGHT_TOL = 0.1, 10.0, 5, 1e-4
 COMBINATIONS_MAX = 500
+#: Vectors of a block of the greedy choice: a task compares one block of a class with another.
+GREEDY_BLOCK = 2000
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -211,25 +214,74 @@ def greedy_endmembers(x: np.ndarray, k: int, weights: np.ndarray | None = None)
     return chosen
 
 
-def endmember_library(vectors: DataFrame, counts: dict[str, int], key: str, label: str = "cls", bound: int = 2_000) -> DataFrame:
-    """cls, variant_id, key, n_samples: the greedy endmembers of each class.
+def endmember_library(vectors: DataFrame, counts: dict[str, int], key: str, label: str = "cls") -> DataFrame:
+    """cls, variant_id, key, n_samples: the greedy endmembers of each class, as greedy_endmembers chooses them from all its vectors in order of their keys."""
+    kind, spark = dict(vectors.dtypes)[key], vectors.sparkSession
+    v = materialise(vectors.select(F.col(label).cast("string").alias("cls"), F.col(key).alias("key"), F.col("x").cast("array<double>").alias("x")).where("cls is not null"), "vectors")
+    sizes = {r["cls"]: r["n"] for r in v.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a class
+    numbers = {c: max(1, min(counts.get(c, 1), n // 4)) for c, n in sizes.items()}
+    chosen = _greedy(v, sizes, numbers, kind)
+    rows = [(c, f"{c}_opt_{i + 1}", k, sizes[c] // len(keys)) for c, keys in sorted(chosen.items()) for i, (k, _) in enumerate(keys)]
+    return spark.createDataFrame(rows, f"cls string, variant_id string, {key} {kind}, n_samples bigint")
 
-    The choice is quadratic in the vectors of a class: it is made from at most ``bound`` of them, the first in hash order (a documented, fixed sample).
-    """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    chosen = vectors.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= bound)
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        cls = str(pdf[label].iloc[0])
-        k = max(1, min(counts.get(cls, 1), len(pdf) // 4))
-        rows = greedy_endmembers(np.array(pdf["x"].tolist(), float), k)
-        return pd.DataFrame({"cls": cls, "variant_id": [f"{cls}_opt_{i + 1}" for i in range(len(rows))], key: pdf[key].to_numpy()[rows], "n_samples": len(pdf) // len(rows)})
+def _greedy(v: DataFrame, sizes: dict[str, int], numbers: dict[str, int], kind: str) -> dict[str, list[tuple]]:
+    """Keys and vectors of the endmembers of each class of v (cls, key, x).
 
-    kind = dict(vectors.dtypes)[key]
-    return chosen.groupBy(label).applyInPandas(work, f"cls string, variant_id string, {key} {kind}, n_samples bigint")
+    The first is the nearest to the column medians; for each further one every vector is a candidate and every vector counts: blocks of a class are compared with blocks, only sums of gains leave a task.
+    Of equal gains (ten digits) the smallest key counts.
+    """
+    long = v.select("cls", F.posexplode("x").alias("pos", "v")).where("v is not null and not isnan(v)")
+    med = {}
+    for r in long.groupBy("cls", "pos").agg(F.median("v").alias("m")).collect():  # classes x features
+        med.setdefault(r["cls"], {})[r["pos"]] = r["m"]
+    length = v.agg(F.max(F.size("x"))).first()[0]
+    med = {c: np.array([med.get(c, {}).get(i, 0.0) for i in range(length)]) for c in sizes}
+
+    def matrix(pdf: pd.DataFrame, m: np.ndarray) -> np.ndarray:
+        x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), -1)
+        return np.where(np.isfinite(x), x, m) - m
+
+    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for c, g in pdf.groupby("cls"):
+                yield pd.DataFrame({"cls": c, "key": g["key"], "d": (matrix(g, med[c]) ** 2).sum(axis=1)})
+
+    def fetched(best: DataFrame) -> list[tuple]:
+        keys = [(r["cls"], r["b"]["key"]) for r in best.collect()]  # one a class
+        at = v.join(F.broadcast(v.sparkSession.createDataFrame(keys, f"cls string, key {kind}")), ["cls", "key"]).dropDuplicates(["cls", "key"])
+        return [(r["cls"], (r["key"], np.array([np.nan if u is None else u for u in r["x"]], float))) for r in at.collect()]
+
+    near = v.mapInPandas(distances, f"cls string, key {kind}, d double").groupBy("cls").agg(F.min(F.struct("d", "key")).alias("b"))
+    chosen: dict[str, list[tuple]] = {c: [x] for c, x in fetched(near)}
+    while growing := [c for c in chosen if len(chosen[c]) < numbers[c]]:
+        blocks = {c: -(-sizes[c] // GREEDY_BLOCK) for c in growing}
+        ends = {c: np.array([np.where(np.isfinite(x), x, med[c]) - med[c] for _, x in chosen[c]]) for c in growing}
+        of = F.create_map(*[F.lit(u) for pair in blocks.items() for u in pair])[F.col("cls")]
+        own = v.where(F.col("cls").isin(growing)).withColumn("_n", of).withColumn("_b", F.pmod(F.xxhash64("key"), F.col("_n")).cast("int"))
+        first = own.select("cls", F.col("_b").alias("_i"), F.explode(F.sequence(F.col("_b"), F.col("_n") - 1)).alias("_j"), F.lit(0).alias("_side"), "key", "x")
+        second = own.select("cls", F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"), F.lit(1).alias("_side"), "key", "x").where("_i < _j")
+        tasks = min(sum(n * (n + 1) // 2 for n in blocks.values()), 1000)
+
+        def gains(pdf: pd.DataFrame) -> pd.DataFrame:
+            c = pdf["cls"].iloc[0]
+            square = lambda a, b: np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T, 0)
+            pair = [g.reset_index(drop=True) for g in (pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1])]
+            keys, x = [g["key"] for g in pair], [matrix(g, med[c]) if len(g) else g for g in pair]
+            if pdf["_i"].iloc[0] == pdf["_j"].iloc[0]:
+                return pd.DataFrame({"cls": c, "key": keys[0], "gain": np.maximum(square(x[0], ends[c]).min(axis=1) - square(x[0], x[0]), 0).sum(axis=1)})
+            if not len(x[0]) or not len(x[1]):
+                return pd.DataFrame({"cls": [], "key": [], "gain": []})
+            d, left = square(x[0], x[1]), [square(a, ends[c]).min(axis=1) for a in x]
+            parts = [(keys[0], np.maximum(left[1] - d, 0).sum(axis=1)), (keys[1], np.maximum(left[0][:, None] - d, 0).sum(axis=0))]
+            return pd.concat([pd.DataFrame({"cls": c, "key": k, "gain": g}) for k, g in parts])
+
+        rows = first.unionByName(second).repartition(tasks, "cls", "_i", "_j").groupBy("cls", "_i", "_j").applyInPandas(gains, f"cls string, key {kind}, gain double")
+        taken = v.sparkSession.createDataFrame([(c, k) for c in growing for k, _ in chosen[c]], f"cls string, key {kind}")
+        total = rows.groupBy("cls", "key").agg(F.sum("gain").alias("gain")).join(F.broadcast(taken), ["cls", "key"], "left_anti")
+        for c, x in fetched(total.groupBy("cls").agg(F.min(F.struct((-F.format_string("%.9e", "gain").cast("double")).alias("g"), "key")).alias("b"))):
+            chosen[c].append(x)
+    return chosen
 
 
 def library_size(training: dict[str, np.ndarray], held: dict[str, np.ndarray], k_max: int, penalty: float = 0.005) -> dict[str, int]:

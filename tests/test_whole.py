@@ -59,3 +59,13 @@ def test_queries_draw_the_replicates_of_the_reference(spark, monkeypatch):
     for name in ("boot_compile", "mc_uncertainty", "hier_bootstrap", "index_bootstrap"):
         model_queries.QUERIES[name](spark, "")
     assert seen == {"boot_compile": 100, "mc_uncertainty": 50, "hier_bootstrap": 1000, "index_bootstrap": 1000}
+
+
+def test_greedy_library_takes_all_vectors(spark, monkeypatch):
+    monkeypatch.setattr(unmix, "GREEDY_BLOCK", 700)
+    x = np.random.default_rng(7).normal(size=(2500, 3)) ** 3
+    x[5, 1] = np.nan
+    df = spark.createDataFrame([(i, "a", r.tolist()) for i, r in enumerate(x)] + [(9000 + i, "b", [float(i), 0.0, 0.0]) for i in range(9)], "vec_id int, cls string, x array<double>")
+    got = unmix.endmember_library(df, {"a": 4, "b": 1}, "vec_id").orderBy("variant_id").collect()
+    assert [r["vec_id"] for r in got] == [*unmix.greedy_endmembers(x, 4), 9004]
+    assert [r["n_samples"] for r in got] == [625] * 4 + [9]
