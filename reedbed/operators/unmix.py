@@ -300,6 +300,68 @@ def library_size(training: dict[str, np.ndarray], held: dict[str, np.ndarray], k
     return dict(zip(classes, best, strict=True))
 
 
+def fcls_rows(e: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Fractions as of fcls for all rows of y at once (rows with a missing feature one by one)."""
+    out = np.zeros((len(y), e.shape[1]))
+    whole = np.isfinite(y).all(axis=1) & np.isfinite(e).all()
+    for i in np.flatnonzero(~whole):
+        out[i] = fcls(e, y[i])[0]
+    delta = SUM_WEIGHT * np.sqrt((e**2).mean())
+    delta = delta if delta >= 1e-8 else 1.0
+    gram, target = e.T @ e + delta**2, y[whole] @ e + delta**2
+    x, free, n = np.zeros(target.shape), np.zeros(target.shape, dtype=bool), e.shape[1]
+    tol = 1e-10 * np.maximum(np.abs(target).max(axis=1), 1e-30)
+    for _ in range(10 * n + 10):
+        slope = np.where(free, -np.inf, target - x @ gram)
+        todo = np.flatnonzero(slope.max(axis=1) > tol)
+        if not len(todo):
+            break
+        free[todo, slope[todo].argmax(axis=1)] = True
+        while len(todo):
+            f = free[todo]
+            z = np.linalg.solve(np.where(f[:, :, None] & f[:, None, :], gram, 0.0) + (~f)[:, :, None] * np.eye(n), np.where(f, target[todo], 0.0)[:, :, None])[:, :, 0]
+            bad = f & (z <= 0)
+            step = np.where(bad, x[todo] / np.maximum(x[todo] - z, 1e-300), np.inf).min(axis=1)
+            moved = x[todo] + np.minimum(step, 1.0)[:, None] * (z - x[todo])
+            over = bad.any(axis=1)
+            free[todo] = np.where(over[:, None], f & (moved > 1e-14), f)
+            x[todo] = np.where(over[:, None], np.where(free[todo], moved, 0.0), z)
+            todo = todo[over]
+    total = x.sum(axis=1, keepdims=True)
+    out[whole] = np.where(total > 0, x / np.where(total > 0, total, 1.0), 1 / n)
+    return out
+
+
+def library_size(vectors: DataFrame, k_max: int, bare: str, penalty: float = 0.005) -> dict[str, int]:
+    """Endmembers by class with the best min(held-out, training) share of the true class less the penalty for each endmember.
+
+    vectors: cls, key, x, held. All vectors are scored in tasks against the broadcast candidates; only sums by configuration and class come back.
+    """
+    v = materialise(vectors, "search")
+    training = v.where("not held")
+    sizes = {r["cls"]: r["n"] for r in training.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = sorted(sizes)
+    options = [range(1, max(1, min(k_max, sizes[c] // 4)) + 1) for c in classes]
+    picks = _greedy(training.select("cls", "key", "x"), sizes, {c: max(o) for c, o in zip(classes, options, strict=True)}, dict(v.dtypes)["key"])
+    grid = list(product(*options))
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            y = np.array(pdf["x"].tolist(), float)
+            for g, counts in enumerate(grid):
+                owner = np.array([c for c, k in zip(classes, counts, strict=True) for _ in range(k)])
+                e = np.column_stack([x for c, k in zip(classes, counts, strict=True) for _, x in picks[c][:k]])
+                share = (fcls_rows(e, y) * (owner == pdf["cls"].to_numpy()[:, None])).sum(axis=1)
+                own = pd.DataFrame({"g": g, "held": pdf["held"], "cls": pdf["cls"], "s": share})
+                yield own.groupby(["g", "held", "cls"])["s"].agg(["sum", "count"]).reset_index()
+
+    sums = v.where(F.col("cls") != bare).where(F.col("cls").isin(classes)).repartition(v.sparkSession.sparkContext.defaultParallelism).mapInPandas(hits, "g int, held boolean, cls string, sum double, count bigint")
+    means = sums.groupBy("g", "held", "cls").agg((F.sum("sum") / F.sum("count")).alias("m")).groupBy("g", "held").agg(F.avg("m").alias("m"))
+    score = {(r["g"], r["held"]): r["m"] for r in means.collect()}  # two numbers a configuration
+    best = max(range(len(grid)), key=lambda g: (min(score.get((g, True), 0.0), score.get((g, False), 0.0)) - penalty * sum(grid[g]), [-x for x in grid[g]]))
+    return dict(zip(classes, grid[best], strict=True))
+
+
 def bundle_stats(vectors: DataFrame, label: str = "cls") -> DataFrame:
     """cls, pos, mean, var (at least 1e-12) of the features of each class."""
     long = vectors.select(label, F.posexplode("x").alias("pos", "v"))

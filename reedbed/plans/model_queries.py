@@ -287,10 +287,8 @@ def greedy_library(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def library_search(spark: SparkSession, d: str) -> DataFrame:
-    rows = library(spark, d).where("cls < 4").orderBy(F.xxhash64("vec_id"), "vec_id").limit(400).toPandas()  # a bounded sample, as the search is quadratic
-    names = dict(enumerate(CLASSES))
-    half = lambda k: {names[c]: np.array(g["x"].tolist(), float)[k::2] for c, g in rows.groupby("cls")}
-    return spark.createDataFrame(sorted(unmix.library_size(half(0), half(1), 2).items()), "cls string, k int")
+    v = library(spark, d).where("cls is not null").select(F.col("cls").cast("string").alias("cls"), F.col("vec_id").alias("key"), "x", (F.pmod(F.xxhash64("vec_id"), F.lit(2)) == 1).alias("held"))
+    return spark.createDataFrame(sorted(unmix.library_size(v, 2, "0").items()), "cls string, k int")
 
 
 @query()

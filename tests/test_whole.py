@@ -69,3 +69,12 @@ def test_greedy_library_takes_all_vectors(spark, monkeypatch):
     got = unmix.endmember_library(df, {"a": 4, "b": 1}, "vec_id").orderBy("variant_id").collect()
     assert [r["vec_id"] for r in got] == [*unmix.greedy_endmembers(x, 4), 9004]
     assert [r["n_samples"] for r in got] == [625] * 4 + [9]
+
+
+def test_library_search_scores_all_classes(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    e, y = rng.uniform(0, 1, (9, 5)), rng.uniform(0, 1, (60, 9))
+    assert np.allclose(unmix.fcls_rows(e, y), [unmix.fcls(e, r)[0] for r in y], atol=1e-6)
+    rows = [(i, i % 5, (rng.normal(size=8) * 0.1 + 3 * np.eye(8)[i % 5]).tolist()) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert [r["cls"] for r in model_queries.library_search(spark, str(tmp_path)).orderBy("cls").collect()] == list("01234")
