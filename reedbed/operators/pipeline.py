@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reedbed.functions.indices import with_indices
-from reedbed.operators import filters, harmonise, relational as rel, resample, soil, stats, traces, unmix
+from reedbed.functions.labels import CLASSES, location_code
+from reedbed.operators import filters, harmonise, relational as rel, soil, stats, traces, unmix
+from reedbed.session import materialise
 
 METHODS = ("linear", "whittaker", "none")
 
@@ -58,29 +62,122 @@ def prepare(readings: DataFrame, bias: DataFrame | None, places: DataFrame | Non
     return filters.known_class(rows) if training else rows
 
 
-def class_fractions(prepared: DataFrame, indices: list[str], fit_on: DataFrame | None = None, solver: str = "sparse", variants: int = 1) -> DataFrame:
-    """location_id, py, veg, coef, capped: fractions of each trace from a library and a feature model trained on the traces with one class.
+def prepare_inference(readings: DataFrame, bias: DataFrame | None, outlier_columns: list[str], cap: int | None = None, seed: int = 42) -> DataFrame:
+    """Readings for the model: location_id is dropped and made again from the coordinates, then as ``prepare``, classes kept as they are.
 
-    Traces need 8 readings. The model is trained on ``fit_on`` (default: the same rows); bare ground is capped by the summer peak of the phenology index.
+    Readings without a position are left out. ``cap``: so many locations at most, by a seeded hash (default: all); the model's own normalisation is applied later, by ``FractionModel.represent``.
     """
-
-    def vectors(rows: DataFrame) -> DataFrame:
-        enough = filters.at_least(rows, ["location_id", "py"], 8)
-        filled = rel.fill_bins(rel.bin_means(enough, indices), enough.select("location_id", "py").distinct(), indices)
-        return traces.trace_vectors(traces.scaled(filled, scales(rows)))
-
-    def scales(rows: DataFrame) -> DataFrame:
-        base = fit_on if fit_on is not None else rows
-        return traces.index_scales(rel.fill_bins(rel.bin_means(base, indices)))
-
-    train_rows = fit_on if fit_on is not None else prepared
-    train = vectors(train_rows).withColumn("x", traces.unit(F.col("x"))).join(resample.only_class(filters.known_class(train_rows), ["location_id", "py"]), ["location_id", "py"])
-    train = train.withColumn("key", F.concat_ws("/", "location_id", "py")).withColumnRenamed("actual", "cls").persist()
-    basis = traces.feature_model(train, "cls")["basis"]
-    chosen = unmix.endmember_library(train, {c: variants for c in ("barren", "herbs", "populus", "tamarix")}, "key")
-    rows = chosen.join(train.select("key", "x"), "key").select("cls", "variant_id", "x").orderBy("cls", "variant_id").collect()  # a few endmembers a class
-    library = [(r["cls"], r["variant_id"], np.array(r["x"], float)) for r in rows]
-    coefs = unmix.unmix(vectors(prepared), library, "location_id string, py int", basis=basis, solver=solver)
+    rows = readings.drop("location_id").withColumn("location_id", location_code(F.col("lat"), F.col("lon"))).where("location_id is not null")
+    if cap is not None:
+        rows = filters.capped_locations(rows, "location_id", F.pmod(F.xxhash64("location_id"), F.lit(10007)), cap, seed)
+    return prepare(rows, bias, None, outlier_columns, training=False)
+
+
+def season_vectors(rows: DataFrame, indices: list[str], at_least: int = 8, interpolate: bool = True) -> DataFrame:
+    """location_id, py, x of seasons with enough readings: bins x indices, indices in order of their names; gaps filled linearly, or left null."""
+    enough = filters.at_least(rows, ["location_id", "py"], at_least)
+    filled = rel.fill_bins(rel.bin_means(enough, indices), enough.select("location_id", "py").distinct(), indices)
+    if not interpolate:
+        filled = filled.withColumn("value", F.when(F.col("observed"), F.col("value")))
+    return traces.trace_vectors(filled)
+
+
+@dataclass
+class FractionModel:
+    """What a fit keeps: the representation (scales of the indices, kept features, axes) and the library in it."""
+
+    indices: list[str]
+    means: list[float]
+    sds: list[float]
+    kept: list[int]
+    basis: np.ndarray | None
+    axis_weights: np.ndarray | None
+    feature_weights: list[float]
+    library: unmix.Library
+    samples: dict[str, int]
+
+    def represent(self, vectors: DataFrame, missing_as_zero: bool = True) -> DataFrame:
+        """Vectors of season_vectors as the model sees them: unit length, z-scores of their index, features without weight pruned. The same for endmembers and observations."""
+        return vectors.withColumn("x", traces.pruned(_scores(F.col("x"), self.means, self.sds, missing_as_zero), self.kept))
+
+    def fractions(self, vectors: DataFrame, solver: str = "sparse", **options) -> DataFrame:
+        """unmix of vectors of season_vectors, projected if the model has axes."""
+        return unmix.unmix(self.represent(vectors), self.library, "location_id string, py int", basis=self.basis, weights=self.axis_weights, solver=solver, **options)
+
+    def params(self) -> dict:
+        """Plain values, for save_params."""
+        plain = lambda a: None if a is None else np.asarray(a).tolist()
+        out = {f.name: getattr(self, f.name) for f in fields(self)}
+        return out | {"basis": plain(self.basis), "axis_weights": plain(self.axis_weights), "library": [[c, v, plain(x)] for c, v, x in self.library]}
+
+    @classmethod
+    def from_params(cls, stored: dict) -> FractionModel:
+        array = lambda a: None if a is None else np.array(a, float)
+        return cls(**(stored | {"basis": array(stored["basis"]), "axis_weights": array(stored["axis_weights"]), "library": [(c, v, array(x)) for c, v, x in stored["library"]]}))
+
+    def prototypes(self, spark: SparkSession, last_bin: int = 36) -> DataFrame:
+        """cls, variant_id, n_samples, index_name, bin, value, weight: the library in long form; pruned features are absent."""
+        names = sorted(self.indices)
+        rows = [(c, v, self.samples.get(c, 0), names[i // last_bin], i % last_bin + 1, float(x[j]), self.feature_weights[i]) for c, v, x in self.library for j, i in enumerate(self.kept)]
+        return spark.createDataFrame(rows, "cls string, variant_id string, n_samples bigint, index_name string, bin int, value double, weight double")
+
+
+def _scores(x: Column, means: list[float], sds: list[float], missing_as_zero: bool = True, last_bin: int = 36) -> Column:
+    at = lambda values, i: F.get(F.lit(values), (i / last_bin).cast("int"))
+    z = F.transform(traces.unit(x), lambda v, i: (v - at(means, i)) / at(sds, i))
+    return F.transform(z, lambda v: F.coalesce(F.when(~F.isnan(v), v), F.lit(0.0))) if missing_as_zero else z
+
+
+def fit_fractions(rows: DataFrame, indices: list[str], classes: tuple[str, ...] = CLASSES, project: bool = True, k_max: int = 1, at_least: int = 10) -> FractionModel:
+    """Model of the seasons of labelled, prepared rows: unit vectors, z-scores, feature weights and axes, library.
+
+    A season has its most frequent class (of equal ones the first); fewer than ``at_least`` such seasons are an error. With k_max above 1 half of the locations (by hash) are held out to choose
+    the number of endmembers of each class (library_size); the library is then extracted from all seasons.
+    """
+    names = sorted(indices)
+    labels = traces.trace_class(rows.where(F.col("veg").isin(*classes)), ["location_id", "py"])
+    labelled = materialise(season_vectors(rows, names).join(labels, ["location_id", "py"]).withColumn("x", traces.unit(F.col("x"))), "traces")
+    if labelled.limit(at_least).count() < at_least:
+        raise ValueError(f"fewer than {at_least} labelled seasons")
+    long = labelled.select(F.posexplode("x").alias("i", "v")).groupBy((F.col("i") / 36).cast("int").alias("i")).agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
+    scales = {r["i"]: (r["m"], max(r["s"], 1e-8) if r["s"] else 1.0) for r in long.collect()}  # a row an index
+    means, sds = ([float(scales[i][k]) for i in range(len(names))] for k in (0, 1))
+    width = 36 * len(names)
+    z = materialise(labelled.withColumn("x", _scores(F.col("x"), means, sds)).withColumn("key", F.concat_ws("/", "location_id", "py")), "scores")
+    model = FractionModel(names, means, sds, list(range(width)), None, None, [1.0] * width, [], {})
+    if project:
+        axes = traces.feature_model(z, "cls")
+        model.feature_weights = [float(w) for w in axes["weights"]]
+        model.kept = [i for i, w in enumerate(model.feature_weights) if w > 0]
+        model.basis, model.axis_weights = axes["basis"][model.kept], axes["axis_share"]
+        z = z.withColumn("x", traces.pruned(F.col("x"), model.kept))
+    counts = dict.fromkeys(classes, 1)
+    if k_max > 1:
+        split = z.select("cls", "key", "x", (F.pmod(F.xxhash64("location_id"), F.lit(2)) == 1).alias("held"))
+        counts = unmix.library_size(split, k_max, unmix.BARE)
+    chosen = materialise(unmix.endmember_library(z, counts, "key"), "library")
+    found = chosen.join(z.select("key", "x"), "key").dropDuplicates(["variant_id"]).orderBy("cls", "variant_id").collect()  # a few endmembers a class
+    model.library = [(r["cls"], r["variant_id"], np.array(r["x"], float)) for r in found]
+    model.samples = {r["cls"]: int(r["n_samples"]) for r in found}
+    return model
+
+
+def held_out_residuals(model: FractionModel, vectors: DataFrame, labels: DataFrame, solver: str = "sparse", bound: int = 500) -> dict[str, np.ndarray]:
+    """By class the predicted less the true fractions of labelled seasons, classes in sorted order: at most ``bound`` seasons a class, in hash order."""
+    order = Window.partitionBy("cls").orderBy(F.xxhash64("location_id", "py"), "location_id", "py")
+    some = labels.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= bound).drop("_r")
+    got = model.fractions(vectors.join(some.select("location_id", "py"), ["location_id", "py"], "left_semi"), solver).groupBy("location_id", "py").pivot("cls", sorted({c for c, _, _ in model.library})).agg(F.sum("coef"))
+    rows = got.join(some, ["location_id", "py"]).toPandas()  # at most bound rows a class
+    classes = [c for c in rows.columns if c not in ("location_id", "py", "cls")]
+    x = rows[classes].to_numpy(float) - (rows["cls"].to_numpy()[:, None] == np.array(classes, dtype=object)).astype(float)
+    return {c: x[(rows["cls"] == c).to_numpy()] for c in classes}
+
+
+def class_fractions(prepared: DataFrame, model: FractionModel, solver: str = "sparse", **options) -> DataFrame:
+    """location_id, py, veg, coef, capped: fractions of each season with enough readings; bare ground is capped by the summer peak of the phenology index.
+
+    options: those of unmix (draws, bundles, oob, ...)."""
+    coefs = model.fractions(season_vectors(prepared, model.indices), solver, **options)
     summed = coefs.groupBy("location_id", "py", F.col("cls").alias("veg")).agg(F.sum("coef").alias("coef"))
     peaks = prepared.groupBy("location_id", "py").agg(F.max(F.when(filters.in_months((6, 7, 8, 9)), F.col("ppi"))).alias("peak"))
     return unmix.barren_cap(summed, peaks, ["location_id", "py"])

@@ -75,10 +75,15 @@ def weight_summary(weights: DataFrame) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean"), "index_name")))  # one row an index
 
 
-def pruned(x: Column, weights: list[float]) -> Column:
-    """Features with a weight above 0."""
-    keep = [i for i, w in enumerate(weights) if w > 0]
-    return F.transform(F.array(*[F.lit(i) for i in keep]), lambda i: F.get(x, i))
+def pruned(x: Column, kept: list[int]) -> Column:
+    """Features at the kept positions."""
+    return F.transform(F.lit(kept), lambda i: F.get(x, i))
+
+
+def trace_class(rows: DataFrame, keys: list[str], label: str = "veg") -> DataFrame:
+    """keys, cls: the most frequent label of each trace, of equally frequent ones the first in order; traces without a label have no row."""
+    counts = rows.where(F.col(label).isNotNull()).groupBy(*keys, F.col(label).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*keys).agg(F.min_by("cls", F.struct(-F.col("n"), F.col("cls"))).alias("cls"))
 
 
 def gram_matrix(df: DataFrame, x: str, width: int) -> tuple[np.ndarray, int]:

@@ -1,6 +1,6 @@
 """Unmixing of vectors into class fractions with a small library of class endmembers.
 
-The library and the candidate models travel to the tasks as small arrays; rows are solved in Arrow batches.
+The library travels to the tasks as small arrays; an Arrow batch of vectors is solved at once by stacked normal equations.
 """
 
 from __future__ import annotations
@@ -19,162 +19,331 @@ from reedbed.session import materialise
 
 SPARSE_PENALTY, ACTIVE_MAX, SUM_WEIGHT = 0.01, 2, 100.0
 REWEIGHT_LOW, REWEIGHT_HIGH, REWEIGHT_STEPS, REWEIGHT_TOL = 0.1, 10.0, 5, 1e-4
-COMBINATIONS_MAX = 500
+FEATURE_STEPS = 3
+COMBINATIONS_MAX, COARSE = 500, 3
+BARE = "barren"
 #: Vectors of a block of the greedy choice: a task compares one block of a class with another.
 GREEDY_BLOCK = 2000
+#: Numbers that one step of the Monte Carlo repeats holds.
+DRAW_CELLS = 4_000_000
+
+#: class, variant, vector
+Library = list[tuple[str, str, np.ndarray]]
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least squares with coefficients of at least 0, by active sets (Lawson and Hanson)."""
-    n = a.shape[1]
-    gram, target = a.T @ a, a.T @ b
-    x, free = np.zeros(n), np.zeros(n, dtype=bool)
-    tol = 1e-10 * max(np.abs(target).max(initial=0.0), 1e-30)
+    return nnls_rows((a.T @ a)[None], (a.T @ b)[None])[0]
+
+
+def nnls_rows(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """nnls of many problems of one size by their normal equations: gram (n or 1) x k x k, target n x k."""
+    rows, n = target.shape
+    gram = np.broadcast_to(gram, (rows, n, n))
+    x, free = np.zeros(target.shape), np.zeros(target.shape, dtype=bool)
+    tol = 1e-10 * np.maximum(np.abs(target).max(axis=1, initial=0.0), 1e-30)
+    going = np.arange(rows)
     for _ in range(10 * n + 10):
-        slope = target - gram @ x
-        slope[free] = -np.inf
-        if free.all() or slope.max() <= tol:
+        slope = np.where(free[going], -np.inf, target[going] - np.einsum("rk,rkj->rj", x[going], gram[going]))
+        open_ = slope.max(axis=1) > tol[going]
+        going, slope = going[open_], slope[open_]
+        if not len(going):
             break
-        free[slope.argmax()] = True
-        while True:
-            z = np.zeros(n)
-            z[free] = np.linalg.lstsq(gram[np.ix_(free, free)], target[free], rcond=None)[0]
-            if (z[free] > 0).all():
-                x = z
-                break
-            bad = free & (z <= 0)
-            step = (x[bad] / np.maximum(x[bad] - z[bad], 1e-300)).min()
-            x = x + step * (z - x)
-            free &= x > 1e-14
-            x[~free] = 0
+        free[going, slope.argmax(axis=1)] = True
+        todo = going
+        while len(todo):
+            f = free[todo]
+            inner = np.where(f[:, :, None] & f[:, None, :], gram[todo], 0.0) + (~f)[:, :, None] * np.eye(n)
+            z = _solved(inner, np.where(f, target[todo], 0.0))
+            bad = f & (z <= 0)
+            step = np.where(bad, x[todo] / np.maximum(x[todo] - z, 1e-300), np.inf).min(axis=1)
+            moved = x[todo] + np.minimum(step, 1.0)[:, None] * (z - x[todo])
+            over = bad.any(axis=1)
+            free[todo] = np.where(over[:, None], f & (moved > 1e-14), f)
+            x[todo] = np.where(over[:, None], np.where(free[todo], moved, 0.0), z)
+            todo = todo[over]
     return x
 
 
-def fcls(e: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Fractions (at least 0, sum 1) of endmembers (columns of e) in y, and the rmse on unweighted residuals.
+def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solutions of stacked systems; of singular ones (equal endmembers) the shortest."""
+    try:
+        z = np.linalg.solve(a, b[:, :, None])[:, :, 0]
+        if np.isfinite(z).all():
+            return z
+    except np.linalg.LinAlgError:
+        pass
+    return (np.linalg.pinv(a, hermitian=True) @ b[:, :, None])[:, :, 0]
+
+
+def solve_rows(e: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, pull: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Fractions (at least 0, sum 1) of endmembers in each row of y, and the rmse on unweighted residuals.
 
-    The sum is a heavily weighted extra row, then enforced; missing features carry no weight; all-zero fractions become equal ones.
+    e: features x endmembers, or one such matrix a row; weights: by feature, or by row and feature. The sum is a heavily weighted extra row, then enforced; missing features
+    carry no weight; all-zero fractions become equal ones. pull (rows x endmembers): weights of extra rows that draw each fraction to 0.
     """
-    w = np.ones(len(y)) if weights is None else np.maximum(weights, 0)
-    ok = np.isfinite(y) & np.isfinite(e).all(axis=1)
-    w = np.where(ok, w, 0.0)
-    ew, yw = np.where(ok[:, None], e, 0.0) * w[:, None], np.where(ok, y, 0.0) * w
-    delta = SUM_WEIGHT * np.sqrt((ew**2).mean()) if ew.size else 1.0
-    delta = delta if delta >= 1e-8 else 1.0
-    x = nnls(np.vstack([ew, np.full(e.shape[1], delta)]), np.append(yw, delta))
-    x = x / x.sum() if x.sum() > 0 else np.full(e.shape[1], 1 / e.shape[1])
-    resid = (y - e @ x)[ok]
-    return x, float(np.sqrt((resid**2).mean())) if len(resid) else np.nan
+    n, k = len(y), e.shape[-1]
+    whole = np.isfinite(e).all(axis=-1)
+    ok = np.isfinite(y) & whole
+    w = np.ones(y.shape[1]) if weights is None else np.maximum(np.nan_to_num(weights), 0)
+    e0, y0 = np.where(whole[..., None], e, 0.0), np.where(ok, y, 0.0)
+    square = np.broadcast_to(ok * w**2, y.shape)
+    if e.ndim == 3:
+        gram, target = np.einsum("rf,rfi,rfj->rij", square, e0, e0, optimize=True), np.einsum("rf,rfi->ri", square * y0, e0)
+    else:
+        same = (square == square[:1]).all() if n else True
+        outer = (e0[:, :, None] * e0[:, None, :]).reshape(len(e0), k * k)
+        gram, target = ((square[:1] if same else square) @ outer).reshape(-1, k, k), (square * y0) @ e0
+    cells = (y.shape[1] + (0 if pull is None else k)) * k
+    if pull is not None:
+        gram = gram + (pull**2)[:, :, None] * np.eye(k)
+    delta = SUM_WEIGHT**2 * np.trace(gram, axis1=1, axis2=2) / max(cells, 1)
+    delta = np.where(delta >= 1e-16, delta, 1.0)
+    x = nnls_rows(gram + delta[:, None, None], target + delta[:, None])
+    total = x.sum(axis=1, keepdims=True)
+    x = np.where(total > 0, x / np.where(total > 0, total, 1.0), 1 / k)
+    fit = np.einsum("rfk,rk->rf", e0, x) if e.ndim == 3 else x @ e0.T
+    m = ok.sum(axis=1)
+    rss = (np.where(ok, y0 - fit, 0.0) ** 2).sum(axis=1)
+    return x, np.where(m > 0, np.sqrt(rss / np.maximum(m, 1)), np.nan)
+
+
+def fcls(e: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """solve_rows of one vector."""
+    x, rmse = solve_rows(e, y[None], weights)
+    return x[0], float(rmse[0])
+
+
+def fcls_rows(e: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Fractions as of fcls for all rows of y at once."""
+    return solve_rows(e, y)[0]
 
 
-def reweighted(e: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, steps: int = REWEIGHT_STEPS, tol: float = REWEIGHT_TOL, pull: float = 1e-4) -> tuple[np.ndarray, float]:
+def reweighted_rows(e: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, steps: int = REWEIGHT_STEPS, tol: float = REWEIGHT_TOL, pull: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """FCLS with a light pull of each fraction towards 0, repeated with the pull weighted by 1 / (|fraction| + 1e-6), kept within 0.1 to 10, until
     fractions settle: small fractions are driven out, large ones hardly moved."""
-    x, rmse = fcls(e, y, weights)
+    x, rmse = solve_rows(e, y, weights)
     ok = np.isfinite(y) & np.isfinite(e).all(axis=1)
-    size = np.sqrt(pull * (e[ok] ** 2).sum() / max(e.shape[1], 1)) if ok.any() else 0.0
+    size = np.sqrt(pull * (ok @ (np.nan_to_num(e) ** 2).sum(axis=1)) / max(e.shape[1], 1))
+    going = np.arange(len(y))
     for _ in range(steps):
-        scale = np.clip(1 / (np.abs(x) + 1e-6), REWEIGHT_LOW, REWEIGHT_HIGH)
-        rows = None if weights is None else np.append(weights, np.ones(e.shape[1]))
-        z, _ = fcls(np.vstack([e, size * np.diag(scale)]), np.append(y, np.zeros(e.shape[1])), rows)
-        done = np.abs(z - x).max() < tol
-        x = z
-        if done:
+        scale = np.clip(1 / (np.abs(x[going]) + 1e-6), REWEIGHT_LOW, REWEIGHT_HIGH)
+        z, r = solve_rows(e, y[going], weights, size[going, None] * scale)
+        moving = np.abs(z - x[going]).max(axis=1) >= tol
+        x[going], rmse[going] = z, r
+        going = going[moving]
+        if not len(going):
             break
-    resid = (y - e @ x)[ok]
-    return x, float(np.sqrt((resid**2).mean())) if len(resid) else rmse
+    return x, rmse
+
+
+def reweighted(e: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """reweighted_rows of one vector."""
+    x, rmse = reweighted_rows(e, y[None], weights)
+    return x[0], float(rmse[0])
+
+
+def feature_reweighted_rows(e: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, steps: int = FEATURE_STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """FCLS repeated with weights of features: 1 / (|fraction| + 1e-6) of the endmembers, dealt to the features in turn, times the given ones and kept within 0.1 to 10."""
+    x, rmse = solve_rows(e, y, weights)
+    turn = np.arange(y.shape[1]) % e.shape[1]
+    for _ in range(steps):
+        w = 1 / (np.abs(x[:, turn]) + 1e-6)
+        x, rmse = solve_rows(e, y, np.clip(w if weights is None else w * weights, REWEIGHT_LOW, REWEIGHT_HIGH))
+    return x, rmse
 
 
 def sparsified(x: np.ndarray, classes: list[str], k: int = ACTIVE_MAX) -> np.ndarray:
-    """The k largest vegetated fractions and bare ground, scaled to sum 1."""
-    veg = [i for i, c in enumerate(classes) if c != "barren"]
-    drop = sorted(veg, key=lambda i: (-x[i], classes[i]))[k:]
-    out = x.copy()
-    out[drop] = 0
-    return out / out.sum() if out.sum() > 0 else out
+    """The k largest vegetated fractions and bare ground, scaled to sum 1. x: one vector or rows."""
+    rows = np.atleast_2d(x)
+    veg = sorted((i for i, c in enumerate(classes) if c != BARE), key=lambda i: classes[i])
+    out = rows.copy()
+    if len(veg) > k:
+        order = np.argsort(-rows[:, veg], axis=1, kind="stable")[:, k:]
+        np.put_along_axis(out, np.array(veg)[order], 0.0, axis=1)
+    total = out.sum(axis=1, keepdims=True)
+    out = np.where(total > 0, out / np.where(total > 0, total, 1.0), out)
+    return out if x.ndim == 2 else out[0]
+
+
+SOLVERS = ("fcls", "sparse", "iwlmm", "iwlmm_sparse", "iwlmm_features", "iwlmm_features_sparse")
 
 
-def candidate_models(library: list[tuple[str, str, np.ndarray]], k: int = ACTIVE_MAX) -> list[list[int]]:
-    """Every choice of one variant each of bare ground and of 1 to k vegetated classes; numbers of library rows.
+def _solver(solver: str):
+    if solver.startswith("iwlmm_features"):
+        return feature_reweighted_rows
+    return reweighted_rows if solver.startswith("iwlmm") else solve_rows
 
-    A subset of classes with more than COMBINATIONS_MAX choices uses the three leading variants of each class.
+
+def class_subsets(classes: list[str], active: int | None) -> list[list[str]]:
+    """Bare ground, if there is any, with every choice of 1 to ``active`` (none: all) vegetated classes."""
+    bare, veg = [c for c in classes if c == BARE], sorted(c for c in classes if c != BARE)
+    most = len(veg) if active is None else min(active, len(veg))
+    return [bare + list(s) for n in range(1, most + 1) for s in combinations(veg, n)] or [bare]
+
+
+def search_models(y: np.ndarray, library: Library, weights: np.ndarray | None = None, solver: str = "fcls", penalty: float = SPARSE_PENALTY, active: int | None = ACTIVE_MAX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of y the fractions of the best model (rows x library, zeros elsewhere), its rmse and its members; rmse NaN where no model fits.
+
+    A model is one variant each of a subset of classes (class_subsets); its score is the rmse plus ``penalty`` for each active fraction beyond two. Subsets with at most COMBINATIONS_MAX
+    choices are tried whole. Of others the variants of each class are ranked by their cosine with the row; all choices among the COARSE most similar ones are tried, then from the
+    best of them one class after the other is given each of its other variants, until no change lowers the score (coordinate descent over all variants).
     """
-    by = {}
+    vectors, by = np.stack([v for _, _, v in library]).astype(float), {}
     for i, (cls, _, _) in enumerate(library):
         by.setdefault(cls, []).append(i)
-    veg = sorted(c for c in by if c != "barren")
-    out = []
-    for n in range(1, min(k, len(veg)) + 1):
-        for subset in combinations(veg, n):
-            groups = ([by["barren"]] if "barren" in by else []) + [by[c] for c in subset]
-            if np.prod([len(g) for g in groups]) > COMBINATIONS_MAX:
-                groups = [g[:3] for g in groups]
-            out += [list(c) for c in product(*groups)]
-    return out or [[i] for i in range(len(library))]
-
-
-def search_models(y: np.ndarray, library: list[tuple[str, str, np.ndarray]], models: list[list[int]], weights: np.ndarray | None, solver: str) -> tuple[np.ndarray, float, list[int]]:
-    """The model with the smallest rmse plus sparsity penalty: fractions, rmse, library rows."""
-    best = None
-    for model in models:
-        e = np.column_stack([library[i][2] for i in model])
-        x, rmse = fcls(e, y, weights)
-        score = rmse + SPARSE_PENALTY * max(0, int((x > 1e-6).sum()) - ACTIVE_MAX)
-        if np.isfinite(score) and (best is None or score < best[0] - 1e-15):
-            best = (score, x, rmse, model)
-    if best is None:
-        return np.zeros(0), np.nan, []
-    _, x, rmse, model = best
-    if solver.startswith("iwlmm"):
-        x, rmse = reweighted(np.column_stack([library[i][2] for i in model]), y, weights)
+    fit, n = _solver(solver), len(y)
+    score, rmse, x, member = np.full(n, np.inf), np.full(n, np.nan), np.zeros((n, len(library))), np.zeros((n, len(library)), dtype=bool)
+
+    def offered(model: tuple[int, ...], rows: np.ndarray) -> np.ndarray:
+        """Scores of one model for some rows; the best of all models are kept."""
+        at = list(model)
+        z, r = fit(vectors[at].T, y[rows], weights)
+        s = r + penalty * np.maximum(0, (z > 1e-6).sum(axis=1) - ACTIVE_MAX)
+        s = np.where(np.isfinite(s), s, np.inf)
+        better = s < score[rows] - 1e-15
+        hit = rows[better]
+        score[hit], rmse[hit], x[hit], member[hit] = s[better], r[better], 0.0, False
+        x[np.ix_(hit, at)], member[np.ix_(hit, at)] = z[better], True
+        return s
+
+    def each(models: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Scores of one model a row."""
+        out = np.empty(len(rows))
+        kinds, which = np.unique(models, axis=0, return_inverse=True)
+        which = which.reshape(-1)
+        for i, model in enumerate(kinds):
+            own = np.flatnonzero(which == i)
+            out[own] = offered(tuple(model), rows[own])
+        return out
+
+    every = np.arange(n)
+    ranked: dict[str, np.ndarray] = {}
+    for subset in class_subsets(list(by), active):
+        groups = [by[c] for c in subset]
+        if np.prod([len(g) for g in groups], dtype=float) <= COMBINATIONS_MAX:
+            for model in product(*groups):
+                offered(model, every)
+            continue
+        for c in subset:
+            if c not in ranked:
+                ranked[c] = np.array(by[c])[np.argsort(-_similarity(y, vectors[by[c]], weights), axis=1, kind="stable")]
+        at, low = np.zeros((n, len(subset)), dtype=int), np.full(n, np.inf)
+        for pick in product(*[range(min(COARSE, len(g))) for g in groups]):
+            trial = np.column_stack([ranked[c][:, p] for c, p in zip(subset, pick, strict=True)])
+            s = each(trial, every)
+            at[s < low], low = trial[s < low], np.minimum(s, low)
+        going = every[np.isfinite(low)]
+        while len(going):
+            moved = np.zeros(n, dtype=bool)
+            for j, g in enumerate(groups):
+                for v in g:
+                    rows = going[at[going, j] != v]
+                    if len(rows):
+                        trial = at[rows].copy()
+                        trial[:, j] = v
+                        s = each(trial, rows)
+                        better = s < low[rows] * (1 - 1e-12)
+                        at[rows[better]], low[rows[better]], moved[rows[better]] = trial[better], s[better], True
+            going = np.flatnonzero(moved)
     if solver.endswith("sparse"):
-        x = sparsified(x, [library[i][0] for i in model])
-    return x, rmse, model
+        x = sparsified(x, [c for c, _, _ in library])
+    return x, rmse, member
 
 
-SOLVERS = ("fcls", "sparse", "iwlmm", "iwlmm_sparse")
+def _similarity(y: np.ndarray, variants: np.ndarray, weights: np.ndarray | None) -> np.ndarray:
+    """Cosine of each row with each variant (rows x variants); rows are weighted by the roots of the weights, missing values count as 0."""
+    w = 1.0 if weights is None else np.sqrt(np.maximum(weights, 0))
+    a, b = np.nan_to_num(y) * w, np.nan_to_num(variants)
+    size = lambda m: np.maximum(np.linalg.norm(m, axis=1), 1e-12)
+    return (a @ b.T) / size(a)[:, None] / size(b)
 
 
-def unmix(df: DataFrame, library: list[tuple[str, str, np.ndarray]], keys: str, x: str = "x", weights: np.ndarray | None = None, basis: np.ndarray | None = None, solver: str = "fcls",
-          draws: int = 0, seed: int = 42) -> DataFrame:
-    """keys, cls, variant_id, coef, rmse (and sd, low, high from ``draws`` noisy repeats) of each vector.
+def _repeats(y: np.ndarray, x: np.ndarray, member: np.ndarray, rmse: np.ndarray, library: Library, weights: np.ndarray | None, draws: int, seed: int, scale: float, bundles: bool, oob: dict[str, np.ndarray] | None):
+    """sd, low and high (rows x classes) of ``draws`` solutions of noisy copies of each row with its own model.
 
-    library: (class, variant, vector). With a basis both sides are projected first, missing features as 0, the observation scaled up by
-    the share of the basis that falls on missing ones. A vector without a finite value or of length below 1e-9 has no rows. The seed of the repeats
-    follows from the row itself, so results do not depend on partitioning.
+    Noise: N(0, rmse x scale) on the features. bundles: endmembers of classes with at least three variants are drawn from mean and variance of the variants of the class and brought to unit length.
+    oob: by class the residuals (rows x classes in sorted order) of fractions of held-out vectors; one of the largest class is added to each solution. Seeds follow from the row itself.
+    """
+    owner = np.array([c for c, _, _ in library])
+    classes = sorted(set(owner))
+    vectors = np.stack([v for _, _, v in library]).astype(float)
+    kind = np.array([classes.index(c) for c in owner])
+    spread = {c: (vectors[owner == c].mean(axis=0), np.sqrt(np.maximum(vectors[owner == c].var(axis=0, ddof=1), 1e-12))) for c in classes if bundles and (owner == c).sum() >= 3}
+    out = np.full((3, len(y), len(classes)), np.nan)
+    models, which = np.unique(member, axis=0, return_inverse=True)
+    which = which.reshape(-1)
+    for m, model in enumerate(models):
+        at = np.flatnonzero(model)
+        rows = np.flatnonzero((which == m) & np.isfinite(rmse))
+        step = max(1, DRAW_CELLS // max(1, draws * y.shape[1] * (len(at) if spread else 1)))
+        for part in np.split(rows, range(step, len(rows), step)) if len(at) else []:
+            rngs = [np.random.default_rng([seed, *np.frombuffer(np.round(np.nan_to_num(r), 9).tobytes(), dtype=np.uint32)]) for r in y[part]]
+            noisy = np.stack([r + g.normal(0, max(s, 0.0), (draws, y.shape[1])) for r, s, g in zip(y[part], rmse[part] * scale, rngs, strict=True)])
+            e = vectors[at].T
+            if any(owner[i] in spread for i in at):
+                e = np.broadcast_to(e, (len(part), draws, *e.shape)).copy()
+                for j, i in enumerate(at):
+                    if owner[i] in spread:
+                        mean, sd = spread[owner[i]]
+                        drawn = np.stack([mean + sd * g.normal(size=(draws, len(mean))) for g in rngs])
+                        length = np.linalg.norm(drawn, axis=2, keepdims=True)
+                        e[:, :, :, j] = np.where(length < 1e-9, mean, drawn / np.maximum(length, 1e-9))
+                e = e.reshape(-1, *e.shape[2:])
+            z, _ = solve_rows(e, noisy.reshape(-1, y.shape[1]), weights)
+            full = np.zeros((len(z), len(classes)))
+            for j, i in enumerate(at):
+                full[:, kind[i]] += z[:, j]
+            full = full.reshape(len(part), draws, -1)
+            if oob:
+                largest = np.array([classes[k] for k in np.stack([x[part][:, kind == k].sum(axis=1) for k in range(len(classes))], 1).argmax(axis=1)])
+                for r, c in enumerate(largest):
+                    if len(oob.get(c, ())):
+                        moved = np.maximum(full[r] + oob[c][rngs[r].integers(len(oob[c]), size=draws)], 0.0)
+                        total = moved.sum(axis=1, keepdims=True)
+                        full[r] = np.where(total > 1e-9, moved / np.maximum(total, 1e-9), moved)
+            out[0][part] = full.std(axis=1, ddof=1)
+            out[1][part], out[2][part] = np.quantile(full, [0.025, 0.975], axis=1)
+    return out
+
+
+def unmix(df: DataFrame, library: Library, keys: str, x: str = "x", weights: np.ndarray | None = None, basis: np.ndarray | None = None, solver: str = "fcls", draws: int = 0, seed: int = 42,
+          penalty: float = SPARSE_PENALTY, active: int | None = None, noise: float = 1.0, bundles: bool = False, oob: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """keys, cls, variant_id, coef, rmse (and sd, low, high from ``draws`` noisy repeats) of each vector: one row for each class, coef 0 and no variant for the classes outside the best model.
+
+    library: (class, variant, vector); the vectors must be in the representation of the observations. With a basis both sides are projected first, missing features as 0 and each axis of the
+    observation times the share of its loadings that falls on present features; ``weights`` then are those of the axes. active: vegetated classes of a model at most (default: two for sparse solvers, else all).
+    A vector without a finite value, of another width than the library or of length below 1e-9 has no rows. The seed of the repeats follows from the row itself, so results do not depend on partitioning.
     """
     if solver not in SOLVERS:
         raise ValueError(f"unknown solver {solver}")
-    raw = library
+    width = len(library[0][2])
     if basis is not None:
-        library = [(c, v, np.nan_to_num(e) @ basis) for c, v, e in raw]
-    models = candidate_models(library)
+        library = [(c, v, np.nan_to_num(e) @ basis) for c, v, e in library]
+    active = active if active is not None else ACTIVE_MAX if solver.endswith("sparse") and penalty > 0 else None
     names = [k.strip().split(" ")[0] for k in keys.split(",")]
-    load = np.abs(basis).sum(axis=1) if basis is not None else None
+    classes = sorted({c for c, _, _ in library})
+    load = np.abs(basis) if basis is not None else None
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for row, vec in zip(pdf[names].itertuples(index=False), pdf[x], strict=True):
-                y = np.array([np.nan if v is None else v for v in vec], dtype=float)
-                ok = np.isfinite(y)
-                if not ok.any() or np.linalg.norm(y[ok]) < 1e-9:
-                    continue
-                if basis is not None:
-                    share = load[ok].sum() / max(load.sum(), 1e-30)
-                    y = np.where(ok, y, 0.0) @ basis / max(share, 1e-9)
-                w, rmse, model = search_models(y, library, models, weights, solver)
-                if not model:
-                    continue
-                boot = None
-                if draws:
-                    rng = np.random.default_rng([seed, *np.frombuffer(np.round(np.nan_to_num(y), 9).tobytes(), dtype=np.uint32)])
-                    e = np.column_stack([library[i][2] for i in model])
-                    boot = np.array([fcls(e, y + rng.normal(0, max(rmse, 0.0), len(y)), weights)[0] for _ in range(draws)])
-                for j, i in enumerate(model):
-                    spread = (boot[:, j].std(ddof=1), *np.quantile(boot[:, j], [0.025, 0.975])) if boot is not None else (None, None, None)
-                    out.append((*row, library[i][0], library[i][1], float(w[j]), rmse, *spread))
-            yield pd.DataFrame(out, columns=[*names, "cls", "variant_id", "coef", "rmse", "sd", "low", "high"])
+            fits = np.array([v is not None and len(v) == width for v in pdf[x]], dtype=bool)
+            pdf = pdf[fits]
+            y = np.array([np.asarray(v, dtype=float) for v in pdf[x]]).reshape(len(pdf), width)
+            ok = np.isfinite(y)
+            use = (np.where(ok, y, 0.0) ** 2).sum(axis=1) >= 1e-18
+            pdf, y, ok = pdf[use], np.where(ok, y, np.nan)[use], ok[use]
+            if basis is not None:
+                y = np.where(ok, y, 0.0) @ basis * (ok @ load) / np.maximum(load.sum(axis=0), 1e-30)
+            z, rmse, member = search_models(y, library, weights, solver, penalty, active)
+            spread = _repeats(y, z, member, rmse, library, weights, draws, seed, noise, bundles, oob) if draws else None
+            for k, cls in enumerate(classes):
+                at = [i for i, (c, _, _) in enumerate(library) if c == cls]
+                ids = np.array([*[library[i][1] for i in at], None], dtype=object)
+                of = np.where(member[:, at].any(axis=1), member[:, at].argmax(axis=1), len(at))
+                out = pdf[names].assign(cls=cls, variant_id=ids[of], coef=z[:, at].sum(axis=1), rmse=rmse)
+                out = out.assign(**{n: spread[i][:, k] if spread is not None else None for i, n in enumerate(("sd", "low", "high"))})
+                yield out[np.isfinite(rmse)]
 
     return df.select(*names, x).mapInPandas(work, f"{keys}, cls string, variant_id string, coef double, rmse double, sd double, low double, high double")
 
@@ -284,54 +453,6 @@ def _greedy(v: DataFrame, sizes: dict[str, int], numbers: dict[str, int], kind:
     return chosen
 
 
-def library_size(training: dict[str, np.ndarray], held: dict[str, np.ndarray], k_max: int, penalty: float = 0.005) -> dict[str, int]:
-    """Endmembers by class with the best min(held-out, training) share of the true class less the penalty for each endmember."""
-    classes = sorted(training)
-    options = [range(1, max(1, min(k_max, len(training[c]) // 4)) + 1) for c in classes]
-    picks = {c: greedy_endmembers(training[c], max(o)) for c, o in zip(classes, options, strict=True)}
-
-    def score(sample: dict[str, np.ndarray], counts: tuple[int, ...]) -> float:
-        e = np.column_stack([training[c][i] for c, k in zip(classes, counts, strict=True) for i in picks[c][:k]])
-        owner = [c for c, k in zip(classes, counts, strict=True) for _ in range(k)]
-        hits = [np.mean([sum(v for v, o in zip(fcls(e, y)[0], owner, strict=True) if o == c) for y in sample[c][:50]]) for c in classes if c != "barren" and len(sample.get(c, []))]
-        return float(np.mean(hits)) if hits else 0.0
-
-    best = max(product(*options), key=lambda k: (min(score(held, k), score(training, k)) - penalty * sum(k), [-x for x in k]))
-    return dict(zip(classes, best, strict=True))
-
-
-def fcls_rows(e: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Fractions as of fcls for all rows of y at once (rows with a missing feature one by one)."""
-    out = np.zeros((len(y), e.shape[1]))
-    whole = np.isfinite(y).all(axis=1) & np.isfinite(e).all()
-    for i in np.flatnonzero(~whole):
-        out[i] = fcls(e, y[i])[0]
-    delta = SUM_WEIGHT * np.sqrt((e**2).mean())
-    delta = delta if delta >= 1e-8 else 1.0
-    gram, target = e.T @ e + delta**2, y[whole] @ e + delta**2
-    x, free, n = np.zeros(target.shape), np.zeros(target.shape, dtype=bool), e.shape[1]
-    tol = 1e-10 * np.maximum(np.abs(target).max(axis=1), 1e-30)
-    for _ in range(10 * n + 10):
-        slope = np.where(free, -np.inf, target - x @ gram)
-        todo = np.flatnonzero(slope.max(axis=1) > tol)
-        if not len(todo):
-            break
-        free[todo, slope[todo].argmax(axis=1)] = True
-        while len(todo):
-            f = free[todo]
-            z = np.linalg.solve(np.where(f[:, :, None] & f[:, None, :], gram, 0.0) + (~f)[:, :, None] * np.eye(n), np.where(f, target[todo], 0.0)[:, :, None])[:, :, 0]
-            bad = f & (z <= 0)
-            step = np.where(bad, x[todo] / np.maximum(x[todo] - z, 1e-300), np.inf).min(axis=1)
-            moved = x[todo] + np.minimum(step, 1.0)[:, None] * (z - x[todo])
-            over = bad.any(axis=1)
-            free[todo] = np.where(over[:, None], f & (moved > 1e-14), f)
-            x[todo] = np.where(over[:, None], np.where(free[todo], moved, 0.0), z)
-            todo = todo[over]
-    total = x.sum(axis=1, keepdims=True)
-    out[whole] = np.where(total > 0, x / np.where(total > 0, total, 1.0), 1 / n)
-    return out
-
-
 def library_size(vectors: DataFrame, k_max: int, bare: str, penalty: float = 0.005) -> dict[str, int]:
     """Endmembers by class with the best min(held-out, training) share of the true class less the penalty for each endmember.
 

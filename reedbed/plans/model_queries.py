@@ -253,15 +253,26 @@ def fcls2(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(SQL_OBS) + _TWO + f", s AS (SELECT *, row_number() OVER (PARTITION BY location_id, py ORDER BY rmse, veg) AS k FROM r) SELECT location_id, py, veg, {sr('wv', 'coef')}, {sr('rmse', 'rmse')} FROM s WHERE k = 1")
 def model_search(spark: SparkSession, d: str) -> DataFrame:
-    vectors = _class_vectors(spark, d)
-    models = [v for v in vectors if v[0] != "barren"]
-    found = None
-    for m in models:  # three models of two endmembers each
-        two = [v for v in vectors if v[0] == "barren"] + [m]
-        one = unmix.unmix(_season_vectors(spark, d), two, _KEYS).where("cls <> 'barren'")
-        found = one if found is None else found.unionByName(one)
-    best = found.groupBy("location_id", "py").agg(F.min_by(F.struct("cls", "coef", "rmse"), F.struct("rmse", "cls")).alias("b"))
-    return best.select("location_id", "py", F.col("b.cls").alias("veg"), r6(F.col("b.coef")).alias("coef"), r6(F.col("b.rmse")).alias("rmse"))
+    """Bare ground with the one vegetated class that fits best."""
+    got = unmix.unmix(_season_vectors(spark, d), _class_vectors(spark, d), _KEYS, active=1).where("cls <> 'barren' and variant_id is not null")
+    return rounded(got.select("location_id", "py", F.col("cls").alias("veg"), "coef", "rmse"), "coef", "rmse")
+
+
+_HALF = "CASE WHEN date_part('month', date) BETWEEN 6 AND 9 THEN 'summer' ELSE 'other' END"
+_VARIANTS = _Y + f", lib AS (SELECT veg, {_HALF} AS half, " + ", ".join(f"median({b}) AS e_{b}" for b in BANDS) + f""" FROM obs WHERE veg IN ('barren','populus','tamarix') GROUP BY 1, 2),
+g AS (SELECT y.*, v.veg, b.half AS bh, v.half AS vh, 10000 * ({_DOT('b.e_', 'b.e_')} + {_DOT('v.e_', 'v.e_')}) / 12 AS dd, {_DOT('b.e_', 'b.e_')} AS bb, {_DOT('b.e_', 'v.e_')} AS bv, {_DOT('v.e_', 'v.e_')} AS vv, {_DOT('b.e_', 'y.')} AS yb, {_DOT('v.e_', 'y.')} AS yv,
+  {', '.join(f'b.e_{b} AS b_{b}, v.e_{b} AS v_{b}' for b in BANDS)} FROM y, lib b, lib v WHERE b.veg = 'barren' AND v.veg <> 'barren'),
+h AS (SELECT *, ((yb+dd)*(vv+dd) - (yv+dd)*(bv+dd)) AS xb, ((yv+dd)*(bb+dd) - (yb+dd)*(bv+dd)) AS xv FROM g), f AS (SELECT *, CASE WHEN xb < 0 THEN 0 WHEN xv < 0 THEN 1 ELSE xb / (xb + xv) END AS wb FROM h),
+r AS (SELECT *, 1 - wb AS wv, sqrt(({' + '.join(f'pow({b} - wb * b_{b} - (1 - wb) * v_{b}, 2)' for b in BANDS)}) / 6) AS rmse FROM f), s AS (SELECT location_id, py, min(rmse) AS rmse FROM r GROUP BY 1, 2)"""
+
+
+@query(with_(SQL_OBS) + _VARIANTS + f" SELECT location_id, py, {sr('rmse', 'rmse')} FROM s")
+def variant_search(spark: SparkSession, d: str) -> DataFrame:
+    """Smallest rmse over all pairs of a variant of bare ground and one of a vegetated class; a class has a summer variant and another."""
+    half = F.when(filters.in_months((6, 7, 8, 9)), "summer").otherwise("other").alias("half")
+    rows = obs(spark, d).where("veg in ('barren', 'populus', 'tamarix')").groupBy("veg", half).agg(*[F.median(b).alias(b) for b in BANDS]).orderBy("veg", "half").collect()  # six rows
+    lib = [(r["veg"], f"{r['veg']}_{r['half']}", np.array([r[b] for b in BANDS])) for r in rows]
+    return rounded(unmix.unmix(_season_vectors(spark, d), lib, _KEYS, active=1).where("cls = 'barren'").select("location_id", "py", "rmse"), "rmse")
 
 
 @query()
@@ -274,6 +285,11 @@ def iwlmm(spark: SparkSession, d: str) -> DataFrame:
     return unmix.unmix(_season_vectors(spark, d), _class_vectors(spark, d), _KEYS, solver="iwlmm_sparse")
 
 
+@query()
+def iwlmm_features(spark: SparkSession, d: str) -> DataFrame:
+    return unmix.unmix(_season_vectors(spark, d), _class_vectors(spark, d), _KEYS, solver="iwlmm_features_sparse")
+
+
 @query()
 def mc_uncertainty(spark: SparkSession, d: str) -> DataFrame:
     return unmix.unmix(_season_vectors(spark, d), _class_vectors(spark, d), _KEYS, solver="fcls", draws=50)
