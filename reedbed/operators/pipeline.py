@@ -123,8 +123,8 @@ class FractionModel:
 
 
 def _scores(x: Column, means: list[float], sds: list[float], missing_as_zero: bool = True, last_bin: int = 36) -> Column:
-    at = lambda values, i: F.get(F.lit(values), (i / last_bin).cast("int"))
-    z = F.transform(traces.unit(x), lambda v, i: (v - at(means, i)) / at(sds, i))
+    by_feature = lambda values: F.lit([v for v in values for _ in range(last_bin)])
+    z = F.zip_with(F.zip_with(traces.unit(x), by_feature(means), lambda v, m: v - m), by_feature(sds), lambda v, s: v / s)
     return F.transform(z, lambda v: F.coalesce(F.when(~F.isnan(v), v), F.lit(0.0))) if missing_as_zero else z
 
 

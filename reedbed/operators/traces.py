@@ -26,8 +26,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(x: Column) -> Column:
     """Divided by its length; unchanged if that is below 1e-9."""
-    n = norm(x)
-    return F.when(n < 1e-9, x).otherwise(F.transform(x, lambda v: v / n))
+    lengths = F.array_repeat(norm(x), F.size(x))  # the length is computed once, not for every feature
+    return F.zip_with(x, lengths, lambda v, n: F.when(n < 1e-9, v).otherwise(v / n))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -76,8 +76,11 @@ def weight_summary(weights: DataFrame) -> DataFrame:
 
 
 def pruned(x: Column, kept: list[int]) -> Column:
-    """Features at the kept positions."""
-    return F.transform(F.lit(kept), lambda i: F.get(x, i))
+    """Features at the kept positions, in order."""
+    keep = [False] * (max(kept, default=-1) + 1)
+    for i in kept:
+        keep[i] = True
+    return F.filter(x, lambda v, i: F.coalesce(F.get(F.lit(keep), i), F.lit(False)))
 
 
 def trace_class(rows: DataFrame, keys: list[str], label: str = "veg") -> DataFrame:
