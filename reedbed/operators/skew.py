@@ -5,48 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: No more than this many keys count as hot, so the table of hot keys can always be broadcast.
+from reedbed.session import materialise
+
+#: Tables of at most so many keys are broadcast; longer ones are joined by a shuffle (join_key_stats).
 MAX_HOT_KEYS = 65_536
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_block: int) -> DataFrame:
-    """Keys with more rows than a block, with the number of blocks each is split into.
-
-    The block size rises with the table so that at most ``MAX_HOT_KEYS`` keys can exceed it; the result has
-    at most that many rows whatever the input. Columns: ``keys`` and ``_blocks`` (int). Null keys form a group.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.select(F.count(F.lit(1)).alias("_total"))
-    size = F.greatest(F.lit(rows_per_block), F.ceil(F.col("_total") / MAX_HOT_KEYS))
-    return (
-        counts.where(F.col("_n") > rows_per_block)
-        .crossJoin(F.broadcast(total))  # one row
-        .where(F.col("_n") > size)
-        .select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_blocks"))
-    )
+    """Keys with more rows than a block, with the number of blocks each is split into: ``keys``, ``_n``, ``_blocks`` (int). Null keys form a group."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_block)
+    return counts.withColumn("_blocks", F.ceil(F.col("_n") / rows_per_block).cast("int"))
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality of all keys."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+def is_short(df: DataFrame, rows: int = MAX_HOT_KEYS) -> bool:
+    """Whether a table is short enough to be broadcast."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def with_block(df: DataFrame, keys: list[str], spread: Column, rows_per_block: int) -> DataFrame:
-    """Adds ``_block`` (int): 0 for ordinary keys, a hash of ``spread`` modulo the number of blocks for hot ones.
+    """Adds ``_block`` (int) and ``_many`` (whether the key has several): 0 for ordinary keys, a hash of ``spread`` modulo the number of blocks for keys with more rows than a block.
 
-    Equal values of ``spread`` (repeated deliveries) stay in one block.
+    Equal values of ``spread`` (repeated deliveries) stay in one block. The number of blocks travels under a hash of the key: of colliding keys the larger
+    number counts for both, which changes the split only.
     """
-    hot = hot_keys(df, keys, rows_per_block)
-    renamed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_blocks")
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & F.col(key).eqNullSafe(F.col(f"_hot_{key}"))
-    joined = df.join(F.broadcast(renamed), condition, "left")
+    hot = hot_keys(df, keys, rows_per_block).groupBy(F.xxhash64(*keys).alias("_h")).agg(F.max("_blocks").alias("_blocks"), F.sum("_n").alias("_n"))
+    hot = materialise(hot, "hot-keys")
+    hashed = df.withColumn("_h", F.xxhash64(*keys))
+    joined = hashed.join(F.broadcast(hot.drop("_n")), "_h", "left") if is_short(hot) else join_key_stats(hashed, hot, ["_h"], "_n").drop("_n")
     block = F.when(F.col("_blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("_blocks"))).cast("int")
-    return joined.withColumn("_block", block).drop("_blocks", *[f"_hot_{k}" for k in keys])
+    return joined.withColumn("_block", block).withColumn("_many", F.col("_blocks").isNotNull()).drop("_blocks", "_h")
 
 
 def join_key_stats(df: DataFrame, stats: DataFrame, keys: list[str], count: str, max_hot: int = 4096) -> DataFrame:
