@@ -1,9 +1,9 @@
 """Percentiles of very large numeric columns by group: distributed multi-select.
 
-The values of a group lie in sorted blocks. In every round the partitions propose the medians of what is still possible in their
-blocks, the weighted median of the proposals becomes the pivot, values below, equal to and above it are counted, and the ranges that
-cannot hold the wanted rank are discarded, until the value of that rank is found. All ranks of all groups go through the rounds together
-and a round moves only proposals and counts. A group that fits one block needs no round: its block holds the answer.
+The values of a group lie in parts. In every round the parts propose the medians of what is still possible in them, the weighted median of the proposals becomes
+the pivot, values below, equal to and above it are counted, and the ranges that cannot hold the wanted rank are discarded, until the value of
+that rank is found. Every group goes through these rounds: one of at most BLOCK values within a task (``select``), a larger one over tasks, which exchange
+only proposals and counts (``multi_select``); the state of the rounds is a table, nothing of it is at the driver but the number of open ranks.
 
 The results are exact. For results that shall be combined later (single days, years, partitions), ``summarise`` keeps m values of a group at
 equal distances of rank; ``combine`` merges such summaries with an error of at most 1/m of the rank.
@@ -15,107 +15,212 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from reedbed.operators.skew import with_block
+from reedbed.operators.skew import is_short, join_key_stats, with_block
 from reedbed.session import materialise
 
-#: Values of a block; groups with more are spread over several.
-BLOCK = 32_768
+#: Values of a block, one part of a large group; parts of a group within a task; values that the last round of a rank takes to one task.
+BLOCK, PART, LAST = 2048, 256, 512
+#: States of so many groups are broadcast, those of more are joined by a shuffle.
+SHORT_STATE = 4096
 
 
-def _sorted_blocks(df: DataFrame, groups: list[str], value: str, row_id: str, block: int) -> DataFrame:
-    """groups, _block, vals (ascending), hot: each row_id once. One shuffle, on the block, which is bounded for every group."""
+def _within(values: np.ndarray, start: np.ndarray, stop: np.ndarray, x: np.ndarray, right: bool) -> np.ndarray:
+    """searchsorted of each x in its own sorted stretch of values."""
+    lo, hi = start.copy(), stop.copy()
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) // 2
+        v = values[np.minimum(mid, len(values) - 1)]
+        up = (v <= x) if right else (v < x)
+        lo, hi = np.where(open_ & up, mid + 1, lo), np.where(open_ & ~up, mid, hi)
+    return lo
+
+
+def _weighted_medians(target: np.ndarray, value: np.ndarray, weight: np.ndarray, targets: int) -> np.ndarray:
+    """Weighted median of the proposals of each target; NaN without proposals."""
+    order = np.lexsort((value, target))
+    t, w = target[order], weight[order]
+    total = np.bincount(t, w, targets)
+    upto = np.cumsum(w) - (np.cumsum(total) - total)[t]
+    enough = np.flatnonzero(upto >= total[t] / 2)
+    out = np.full(targets, np.nan)
+    found, first = np.unique(t[enough], return_index=True)
+    out[found] = value[order][enough[first]]
+    return out
+
+
+def select(groups: list[np.ndarray], wanted: list[np.ndarray], part: int = PART) -> list[np.ndarray]:
+    """Values of the wanted ranks (from 0) of each group of values, by the rounds over parts of ``part`` values; all ranks of all groups at once."""
+    sizes = np.array([len(g) for g in groups], dtype=np.int64)
+    if not len(groups) or not sizes.sum():
+        return [np.full(len(w), np.nan) for w in wanted]
+    values = np.concatenate(groups).astype(float)
+    parts = -(-sizes // part)
+    first_part, first = np.cumsum(parts) - parts, np.cumsum(sizes) - sizes
+    at = np.arange(len(values)) - np.repeat(first, sizes)
+    block = np.repeat(first_part, sizes) + at // part
+    values = values[np.lexsort((values, block))]
+    stop = np.cumsum(np.bincount(block, minlength=int(parts.sum())))
+    start = stop - np.diff(np.append(0, stop))
+    counts = np.array([len(w) for w in wanted])
+    rank = np.concatenate([np.asarray(w, dtype=np.int64) for w in wanted])
+    of = np.repeat(np.arange(len(groups)), counts)
+    target = np.repeat(np.arange(len(rank)), parts[of])
+    own = first_part[of][target] + np.arange(len(target)) - np.repeat(np.cumsum(parts[of]) - parts[of], parts[of])
+    a, b, found = start[own], stop[own], np.full(len(rank), np.nan)
+    while len(target):
+        keep = a < b
+        target, a, b = target[keep], a[keep], b[keep]
+        pivot = _weighted_medians(target, values[np.minimum((a + b) // 2, len(values) - 1)], (b - a).astype(float), len(rank))
+        below, upto = _within(values, a, b, pivot[target], False), _within(values, a, b, pivot[target], True)
+        low, equal = np.bincount(target, below - a, len(rank)), np.bincount(target, upto - below, len(rank))
+        left, right = rank < low, rank >= low + equal
+        hit = np.zeros(len(rank), dtype=bool)
+        hit[target] = True
+        hit &= ~left & ~right
+        found[hit] = pivot[hit]
+        rank = np.where(right, rank - (low + equal).astype(np.int64), rank)
+        a, b = np.where(right[target], upto, a), np.where(left[target], below, b)
+        going = ~hit[target]
+        target, a, b = target[going], a[going], b[going]
+    return np.split(found, np.cumsum(counts)[:-1])
+
+
+def _selected(values: str, ranks: Column | str) -> Column:
+    """select for each row."""
+    return F.pandas_udf(lambda v, r: pd.Series(select(v.tolist(), r.tolist())), ArrayType(DoubleType()))(values, ranks)
+
+
+def _blocks(df: DataFrame, groups: list[str], value: str, row_id: str, block: int) -> DataFrame:
+    """groups, _block, _many (the group has several blocks), vals: each row_id once. One shuffle, on the block, which is bounded for every group."""
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(*groups, v.alias("_v"), F.col(row_id).alias("_id"))
     placed = with_block(rows, groups, F.col("_id"), block)
-    once = placed.repartition(*groups, "_block").groupBy(*groups, "_block", "_id").agg(F.min("_v").alias("_v"))
-    blocks = once.groupBy(*groups, "_block").agg(F.sort_array(F.collect_list("_v")).alias("vals"))
-    return materialise(blocks, "blocks")
-
-
-def _split(blocks: DataFrame, groups: list[str]) -> tuple[DataFrame, DataFrame | None, list[tuple], dict[int, int]]:
-    """Groups in one block; blocks of the others with the number of their group (_g); those groups' keys; their sizes.
-
-    The others are at most MAX_HOT_KEYS groups, see hot_keys."""
-    spark = blocks.sparkSession
-    counted = blocks.where("_block > 0").select(*groups).distinct().collect()
-    if not counted:
-        return blocks, None, [], {}
-    keys = [tuple(r) for r in counted]
-    schema = ", ".join(f"_k{i} {blocks.select(g).dtypes[0][1]}" for i, g in enumerate(groups)) + ", _g int"
-    named = F.broadcast(spark.createDataFrame([(*k, i) for i, k in enumerate(keys)], schema))
-    condition = F.lit(True)
-    for i, g in enumerate(groups):
-        condition = condition & F.col(g).eqNullSafe(F.col(f"_k{i}"))
-    single = blocks.join(named, condition, "left_anti")
-    many = materialise(blocks.join(named, condition).select("_g", "vals"), "hot")  # read again in every round
-    sizes = {r["_g"]: r["n"] for r in many.groupBy("_g").agg(F.sum(F.size("vals")).alias("n")).collect()}
-    return single, many, keys, sizes
-
-
-def _weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
-    order = np.argsort(values, kind="stable")
-    heap = np.cumsum(weights[order])
-    return float(values[order][np.searchsorted(heap, heap[-1] / 2)])
-
-
-def multi_select(blocks: DataFrame, wanted: dict[int, list[int]]) -> dict[tuple[int, int], float]:
-    """Values of the wanted ranks (from 0) of each numbered group. blocks: _g, vals ascending."""
-    targets = [(g, k) for g, ranks in wanted.items() for k in ranks]
-    group = np.array([g for g, _ in targets])
-    rank = np.array([k for _, k in targets])
-    low, high, pivot = np.full(len(targets), -np.inf), np.full(len(targets), np.inf), np.full(len(targets), np.nan)
-    found: dict[tuple[int, int], float] = {}
-    active = np.arange(len(targets))
-    blocks = blocks.select("_g", "vals")
-    while len(active):
-        by_group = {g: np.flatnonzero(group[active] == g) for g in np.unique(group[active])}
-        lo, hi, at = low[active], high[active], pivot[active]
-
-        def propose(batches: Iterator[pd.DataFrame], by_group=by_group, lo=lo, hi=hi, at=at) -> Iterator[pd.DataFrame]:
-            rows: dict[int, list[tuple]] = {}
-            for pdf in batches:
-                for g, vals in zip(pdf["_g"], pdf["vals"], strict=True):
-                    vals = np.asarray(vals)
-                    for t in by_group.get(g, ()):
-                        a, b = np.searchsorted(vals, lo[t], "right"), np.searchsorted(vals, hi[t], "left")
-                        if np.isnan(at[t]):
-                            below = equal = b  # the first round: the whole range is proposed as the lower side
-                        else:
-                            below, equal = np.searchsorted(vals, at[t], "left"), np.searchsorted(vals, at[t], "right")
-                        left = vals[(a + below) // 2] if a < below else np.nan
-                        right = vals[(equal + b) // 2] if equal < b else np.nan
-                        rows.setdefault(t, []).append((below, equal, left, max(0, below - a), right, max(0, b - equal)))
-            out = []
-            for t, parts in rows.items():
-                p = np.array(parts, dtype=float)
-                side = lambda v, w: (_weighted_median(p[p[:, w] > 0, v], p[p[:, w] > 0, w]), p[:, w].sum()) if (p[:, w] > 0).any() else (np.nan, 0.0)  # noqa: B023, E731
-                out.append((t, p[:, 0].sum(), p[:, 1].sum(), *side(2, 3), *side(4, 5)))
-            yield pd.DataFrame(out, columns=["t", "below", "equal", "left", "n_left", "right", "n_right"])
-
-        said = blocks.mapInPandas(propose, "t int, below double, equal double, left double, n_left double, right double, n_right double").toPandas()
-        going = []
-        for t, part in said.groupby("t"):
-            i = active[t]
-            if np.isnan(pivot[i]):
-                side = "left"
-            else:
-                below, equal = part["below"].sum(), part["equal"].sum()
-                if below <= rank[i] < equal:
-                    found[targets[i]] = float(pivot[i])
-                    continue
-                side = "left" if rank[i] < below else "right"
-                if side == "left":
-                    high[i] = pivot[i]
-                else:
-                    low[i] = pivot[i]
-            has = part[part[f"n_{side}"] > 0]
-            pivot[i] = _weighted_median(has[side].to_numpy(), has[f"n_{side}"].to_numpy())
-            going.append(i)
-        active = np.array(sorted(going), dtype=int)
-    return found
+    once = placed.repartition(*groups, "_block").groupBy(*groups, "_block", "_id").agg(F.min("_v").alias("_v"), F.min("_many").alias("_many"))
+    return once.groupBy(*groups, "_block").agg(F.sort_array(F.collect_list("_v")).alias("vals"), F.min("_many").alias("_many"))
+
+
+def _median_of(proposals: Column) -> Column:
+    """Weighted median of an array of (v, w), lowest v with half of the weight at or below it."""
+    real = F.array_sort(F.filter(proposals, lambda p: p["w"] > 0))
+    half = F.aggregate(real, F.lit(0.0), lambda s, p: s + p["w"]) / 2
+    start = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("double").alias("v"))
+    step = lambda s, p: F.struct((s["upto"] + p["w"]).alias("upto"), F.when(s["v"].isNull() & (s["upto"] + p["w"] >= half), p["v"]).otherwise(s["v"]).alias("v"))
+    return F.aggregate(real, start, step)["v"]
+
+
+def multi_select(blocks: DataFrame, wanted: DataFrame, last: int = LAST) -> DataFrame:
+    """key, rank, value. blocks: key (string), vals (ascending); wanted: key, rank (from 0, below the number of values), n (values of the key).
+
+    A round reads the blocks of open keys once: tasks send one proposal for either side and the counts of each open rank, and the next state is computed from
+    their sums. Ranks with at most ``last`` possible values left are settled by ``select`` over these.
+    """
+    none = F.lit(None).cast("double")
+    state = materialise(wanted.select("key", "rank", "n", F.lit(0).cast("bigint").alias("passed"), none.alias("lo"), none.alias("hi"), none.alias("pivot"), F.col("n").alias("left"), none.alias("value")), "ranks")
+    while True:
+        todo = state.where(F.col("value").isNull() & (F.col("left") > last))
+        packed = todo.groupBy("key").agg(F.collect_list(F.struct("rank", "lo", "hi", "pivot")).alias("open"), F.max("n").alias("_n"))
+        if packed.isEmpty():
+            break
+        said = _joined(blocks, packed).mapInPandas(_propose, "key string, rank bigint, below bigint, equal bigint, left double, n_left double, right double, n_right double")
+        sides = {s: F.collect_list(F.struct(F.col(s).alias("v"), F.col(f"n_{s}").alias("w"))) for s in ("left", "right")}
+        summed = said.groupBy("key", "rank").agg(F.sum("below").alias("below"), F.sum("equal").alias("equal"), *[sides[s].alias(f"p_{s}") for s in sides], *[F.sum(f"n_{s}").cast("bigint").alias(f"m_{s}") for s in sides])
+        j = todo.join(summed, ["key", "rank"])
+        first, hit = F.col("pivot").isNull(), (F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("equal"))
+        up = ~first & (F.col("rank") >= F.col("below") + F.col("equal"))
+        moved = j.select(
+            "key", "rank", "n",
+            F.when(up, F.col("below") + F.col("equal")).otherwise(F.col("passed")).alias("passed"),
+            F.when(up, F.col("pivot")).otherwise(F.col("lo")).alias("lo"),
+            F.when(~first & ~up & ~hit, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
+            F.when(up, _median_of(F.col("p_right"))).otherwise(_median_of(F.col("p_left"))).alias("pivot"),
+            F.when(up, F.col("m_right")).otherwise(F.col("m_left")).alias("left"),
+            F.when(~first & hit, F.col("pivot")).alias("value"),
+        )
+        state = materialise(moved.unionByName(state.where(F.col("value").isNotNull() | (F.col("left") <= last))), "ranks")
+    rest = state.where("value is null")
+    packed = rest.groupBy("key").agg(F.collect_list(F.struct("rank", "lo", "hi", "pivot")).alias("open"), F.max("n").alias("_n"))
+    held = _joined(blocks, packed).mapInPandas(_remaining, "key string, rank bigint, vals array<double>").groupBy("key", "rank").agg(F.flatten(F.collect_list("vals")).alias("vals"))
+    settled = rest.join(held, ["key", "rank"]).select("key", "rank", F.get(_selected("vals", F.array(F.col("rank") - F.col("passed"))), F.lit(0)).alias("value"))
+    return settled.unionByName(state.where("value is not null").select("key", "rank", "value"))
+
+
+def _joined(blocks: DataFrame, packed: DataFrame) -> DataFrame:
+    """Blocks of the keys that have open ranks, with these."""
+    if is_short(packed, SHORT_STATE):
+        return blocks.join(F.broadcast(packed.drop("_n")), "key")
+    return join_key_stats(blocks, packed, ["key"], "_n").where("open is not null").drop("_n")
+
+
+def _bounds(vals: np.ndarray, o: dict) -> tuple[int, int]:
+    a = 0 if o["lo"] is None else int(np.searchsorted(vals, o["lo"], "right"))
+    return a, len(vals) if o["hi"] is None else int(np.searchsorted(vals, o["hi"], "left"))
+
+
+def _propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts and the proposals of a task for each open rank: the weighted median of the medians of its blocks, left and right of the pivot."""
+    held: dict[tuple, list[tuple]] = {}
+
+    def said() -> pd.DataFrame:
+        targets = list(held)
+        rows = np.array([r for t in targets for r in held[t]], dtype=float)
+        of = np.repeat(np.arange(len(targets)), [len(held[t]) for t in targets])
+        out = pd.DataFrame({"key": [t[0] for t in targets], "rank": [t[1] for t in targets]})
+        for i, name in enumerate(("below", "equal")):
+            out[name] = np.bincount(of, rows[:, i], len(targets)).astype("int64")
+        for i, side in ((2, "left"), (4, "right")):
+            some = rows[:, i + 1] > 0
+            out[side] = _weighted_medians(of[some], rows[some, i], rows[some, i + 1], len(targets))
+            out[f"n_{side}"] = np.bincount(of, rows[:, i + 1], len(targets))
+        held.clear()
+        return out
+
+    for pdf in batches:
+        for key, vals, ranks in zip(pdf["key"], pdf["vals"], pdf["open"], strict=True):
+            vals = np.asarray(vals)
+            for o in ranks:
+                a, b = _bounds(vals, o)
+                p = o["pivot"]
+                below, equal = (b, b) if p is None else (int(np.searchsorted(vals, p, "left")), int(np.searchsorted(vals, p, "right")))
+                left = vals[(a + below) // 2] if a < below else np.nan
+                right = vals[(equal + b) // 2] if equal < b else np.nan
+                held.setdefault((key, o["rank"]), []).append((below, equal - below, left, max(0, below - a), right, max(0, b - equal)))
+        if len(held) > 20_000:
+            yield said()
+    if held:
+        yield said()
+
+
+def _remaining(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Values of each block that are still possible for the open ranks."""
+    for pdf in batches:
+        out = []
+        for key, vals, ranks in zip(pdf["key"], pdf["vals"], pdf["open"], strict=True):
+            vals = np.asarray(vals)
+            for o in ranks:
+                a, b = _bounds(vals, o)
+                if a < b:
+                    out.append((key, o["rank"], vals[a:b]))
+        yield pd.DataFrame(out, columns=["key", "rank", "vals"])
+
+
+def ranked(df: DataFrame, groups: list[str], value: str, row_id: str, ranks, block: int = BLOCK) -> DataFrame:
+    """groups, n, ranks (ascending, from 0) and found (their values) of each group; ranks: the array of wanted ranks as an expression of n."""
+    blocks = materialise(_blocks(df, groups, value, row_id, block), "blocks")
+    n = F.size("vals").cast("bigint")
+    single = blocks.where("not _many").select(*groups, n.alias("n"), "vals").withColumn("ranks", ranks(F.col("n"))).withColumn("found", _selected("vals", "ranks")).drop("vals")
+    split = blocks.where("_many")
+    if split.isEmpty():
+        return single
+    keyed = materialise(split.select(F.to_json(F.struct(*groups), {"ignoreNullFields": "false"}).alias("key"), *groups, "vals"), "split")
+    sizes = materialise(keyed.groupBy("key").agg(*[F.first(g).alias(g) for g in groups], F.sum(F.size("vals")).cast("bigint").alias("n")).withColumn("ranks", ranks(F.col("n"))), "sizes")
+    got = multi_select(keyed.select("key", "vals"), sizes.select("key", "n", F.explode(F.array_distinct("ranks")).alias("rank")))
+    found = got.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("m"))
+    several = sizes.join(found, "key").select(*groups, "n", "ranks", F.transform("ranks", lambda r: F.element_at("m", r)).alias("found"))
+    return single.unionByName(several)
 
 
 def percentiles(df: DataFrame, groups: list[str], value: str, row_id: str, quantiles: dict[str, float], block: int = BLOCK) -> DataFrame:
@@ -125,30 +230,15 @@ def percentiles(df: DataFrame, groups: list[str], value: str, row_id: str, quant
     key form a group; infinite values are values; an empty table gives no rows. Columns: groups, n, one for each quantile,
     rank_error (the bound on the error of rank as a share of n: 0).
     """
-    blocks = _sorted_blocks(df, groups, value, row_id, block)
-    single, many, keys, sizes = _split(blocks, groups)
-    n = F.size("vals")
-    at = lambda h: F.get("vals", h.cast("int"))
-
-    def of(q: float):
-        h = (n - 1) * F.lit(q)
-        lo, hi = at(F.floor(h)), at(F.ceil(h))
-        return F.when(lo == hi, lo).otherwise(lo + (h - F.floor(h)) * (hi - lo))
-
-    result = single.select(*groups, n.cast("bigint").alias("n"), *[of(q).alias(name) for name, q in quantiles.items()])
-    if many is not None:
-        ends = lambda q, size: (int(np.floor((size - 1) * q)), int(np.ceil((size - 1) * q)))
-        values = multi_select(many, {g: sorted({r for q in quantiles.values() for r in ends(q, size)}) for g, size in sizes.items()})
-        rows = []
-        for g, size in sizes.items():
-            row = []
-            for q in quantiles.values():
-                a, b = (values[g, r] for r in ends(q, size))
-                h = (size - 1) * q
-                row.append(a if a == b else float(a + (h - np.floor(h)) * (b - a)))
-            rows.append((*keys[g], size, *row))
-        result = result.unionByName(df.sparkSession.createDataFrame(rows, result.schema))
-    return result.withColumn("rank_error", F.lit(0.0))
+    ends = lambda n, q: ((n - 1) * F.lit(q), F.floor((n - 1) * F.lit(q)), F.ceil((n - 1) * F.lit(q)))
+    got = ranked(df, groups, value, row_id, lambda n: F.array(*[r.cast("bigint") for q in quantiles.values() for r in ends(n, q)[1:]]), block)
+
+    def of(i: int, q: float) -> Column:
+        h, lo, _ = ends(F.col("n"), q)
+        a, b = F.get("found", F.lit(2 * i)), F.get("found", F.lit(2 * i + 1))
+        return F.when(a == b, a).otherwise(a + (h - lo) * (b - a))
+
+    return got.select(*groups, "n", *[of(i, q).alias(name) for i, (name, q) in enumerate(quantiles.items())], F.lit(0.0).alias("rank_error"))
 
 
 def summarise(df: DataFrame, groups: list[str], value: str, row_id: str, points: int = 64, block: int = BLOCK) -> DataFrame:
@@ -157,20 +247,11 @@ def summarise(df: DataFrame, groups: list[str], value: str, row_id: str, points:
     Each kept value stands for the ranks from the previous one (excluded) to its own; ``weights`` are their numbers.
     Columns: groups, n, points (array), weights (array). Nulls and repeats as in ``percentiles``.
     """
-    blocks = _sorted_blocks(df, groups, value, row_id, block)
-    single, many, keys, sizes = _split(blocks, groups)
-    n = F.size("vals").cast("bigint")
-    kept = F.expr(f"filter(sequence(1L, bigint(size(vals))), r -> r * {points} div size(vals) > (r - 1) * {points} div size(vals))")
-    ranks = F.when(n <= points, F.sequence(F.lit(1).cast("bigint"), n)).otherwise(kept)
-    result = single.withColumn("r", ranks).select(
-        *groups, n.alias("n"), F.expr("transform(r, k -> vals[int(k) - 1])").alias("points"), F.expr("transform(r, (k, i) -> k - if(i = 0, 0L, r[i - 1]))").alias("weights")
-    )
-    if many is not None:
-        chosen = {g: sorted({-(-i * size // points) for i in range(1, points + 1)}) for g, size in sizes.items()}
-        values = multi_select(many, {g: [r - 1 for r in ranks] for g, ranks in chosen.items()})
-        rows = [(*keys[g], size, [values[g, r - 1] for r in chosen[g]], [b - a for a, b in zip([0, *chosen[g]], chosen[g], strict=False)]) for g, size in sizes.items()]
-        result = result.unionByName(df.sparkSession.createDataFrame(rows, result.schema))
-    return result
+    steps = lambda n: F.transform(F.sequence(F.lit(1), F.lit(points)), lambda i: F.ceil(i * n / points).cast("bigint") - 1)
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), n - 1)
+    got = ranked(df, groups, value, row_id, lambda n: F.when(n <= points, every(n)).otherwise(steps(n)), block)
+    weights = F.transform("ranks", lambda r, i: r - F.when(i == 0, F.lit(-1).cast("bigint")).otherwise(F.get("ranks", i - 1)))
+    return got.select(*groups, "n", F.col("found").alias("points"), weights.alias("weights"))
 
 
 def combine(summaries: DataFrame, groups: list[str], quantiles: dict[str, float], points: int = 64) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from reedbed.llm import bpe, garble, packing
+from reedbed.llm import bpe, garble, packing, quantiles
 from reedbed.llm.nearest_time import nearest_in_time
 from reedbed.llm.quantiles import combine, multi_select, percentiles, summarise
 
@@ -79,12 +79,34 @@ def test_combined_summaries_keep_their_bound(spark):
                 assert lo - 1e-9 <= q * len(v) + r["rank_error"] * len(v) and hi + 1e-9 >= q * len(v) - r["rank_error"] * len(v)
 
 
-def test_multi_select_ties_and_ranks(spark):
+def test_multi_select_ties_and_ranks(spark, monkeypatch):
     v = np.sort(np.random.default_rng(2).integers(0, 9, 700).astype(float))
-    parts = [(0, np.sort(p).tolist()) for p in np.array_split(np.random.default_rng(3).permutation(v), 9)]
-    blocks = spark.createDataFrame([*parts, (1, [5.0]), (1, [4.0, 6.0])], "_g int, vals array<double>")
-    found = multi_select(blocks, {0: [0, 100, 350, 699], 1: [0, 1, 2]})
-    assert [found[0, k] for k in (0, 100, 350, 699)] == [v[k] for k in (0, 100, 350, 699)] and [found[1, k] for k in range(3)] == [4.0, 5.0, 6.0]
+    parts = [("a", np.sort(p).tolist()) for p in np.array_split(np.random.default_rng(3).permutation(v), 9)]
+    blocks = spark.createDataFrame([*parts, ("b", [5.0]), ("b", [4.0, 6.0])], "key string, vals array<double>")
+    wanted = spark.createDataFrame([("a", k, 700) for k in (0, 100, 350, 699)] + [("b", k, 3) for k in range(3)], "key string, rank bigint, n bigint")
+    for last, short in ((0, 4096), (40, 4096), (10_000, 4096), (0, 0)):
+        monkeypatch.setattr(quantiles, "SHORT_STATE", short)
+        found = {(r["key"], r["rank"]): r["value"] for r in multi_select(blocks, wanted, last).collect()}
+        assert [found["a", k] for k in (0, 100, 350, 699)] == [v[k] for k in (0, 100, 350, 699)] and [found["b", k] for k in range(3)] == [4.0, 5.0, 6.0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.floats(allow_nan=False) | st.integers(-3, 3), min_size=1, max_size=60), min_size=1, max_size=5), st.integers(1, 9))
+def test_select_equals_sorting(groups, part):
+    values = [np.array(g, float) for g in groups]
+    got = quantiles.select(values, [np.arange(len(v)) for v in values], part)
+    assert all(np.array_equal(g, np.sort(v)) for g, v in zip(got, values, strict=True))
+
+
+def test_percentiles_null_keys_and_clashing_names(spark):
+    rows = [(i, None if i % 2 else "a", None if i % 3 else 7, float(i), "x") for i in range(90)]
+    df = spark.createDataFrame(rows, "i int, g string, y int, v double, vals string")
+    for block in (7, 1000):
+        got = {(r["g"], r["y"]): (r["n"], r["p50"]) for r in percentiles(df, ["g", "y"], "v", "i", Q, block=block).collect()}
+        for (g, y), (n, m) in got.items():
+            own = [v for _, a, b, v, _ in rows if (a, b) == (g, y)]
+            assert n == len(own) and m == np.median(own)
+        assert len(got) == 4
 
 
 def _reference():
