@@ -5,7 +5,9 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from reedbed.operators import control_chart
 from reedbed.operators.control_chart import flag_readings, judge
 from reedbed.operators.grid import regular_grid, ten_day_grid
 from reedbed.operators.impute import fill_missing, filled_cells
@@ -159,3 +161,41 @@ def test_skew_helpers(spark):
     stats = df.where("k is not null").groupBy("k").agg({"v": "count"}).withColumnRenamed("count(v)", "n")
     joined = join_key_stats(df, stats, ["k"], "n").toPandas()
     assert len(joined) == 4000 and (joined[joined.k == "hot"].n == 1334).all() and joined[joined.k.isna()].n.isna().all()
+
+
+def _uneven(spark, n=9000):
+    """A long source whose scatter grows fivefold half way, with spikes of twelve times the scatter of their time; a short source; repeated deliveries."""
+    rng = np.random.default_rng(11)
+    day = np.sort(rng.uniform(0, 6000, n))
+    sd = np.where(np.arange(n) < n // 2, 0.004, 0.02)
+    v = 0.4 + 0.08 * np.sin(2 * np.pi * day / 365.2425) + rng.normal(0, sd)
+    at = rng.choice(np.arange(50, n - 50, 40), 60, replace=False)
+    v[at] += 12 * sd[at] * rng.choice([-1, 1], 60)
+    start = dt.datetime(2000, 1, 1)
+    rows = [(i, "long", start + dt.timedelta(days=float(d)), float(x), float(x) if i % 7 else None) for i, (d, x) in enumerate(zip(day, v, strict=True))]
+    rows += [(n + i, "short", start + dt.timedelta(days=9 * i), float(x), 0.2) for i, x in enumerate(0.3 + rng.normal(0, 0.01, 80))] + rows[100:140]
+    return spark.createDataFrame(rows, "rid bigint, src string, at timestamp, nir double, red double"), at
+
+
+def test_flags_do_not_depend_on_the_cuts_of_a_long_source(spark, monkeypatch):
+    df, at = _uneven(spark)
+    flags = lambda n: {tuple(r) for r in flag_readings(df, "src", "at", "rid", ["nir", "red"], slice_rows=n).collect()}
+    whole, cut = flags(100_000), flags(4000)
+    assert whole == cut
+    spikes = {i for i, band, reason in whole if band == "nir" and reason == "spike"}
+    assert len(spikes & set(at.tolist())) >= 57 and len(spikes - set(at.tolist())) <= 2
+    quiet = set(at[at < 4500].tolist())
+    assert len(quiet & spikes) >= len(quiet) - 2  # the noisy half does not hide those of the quiet one
+    monkeypatch.setattr(control_chart, "is_short", lambda df, rows=0: False)  # the way without broadcasts
+    assert flags(4000) == whole
+
+
+def test_fit_from_sums_equals_fit_in_one_place(spark):
+    df, _ = _uneven(spark, 3000)
+    rows = df.where("src = 'long'").select("src", F.unix_micros("at").alias("t"), "rid", F.col("nir").alias("b0"), F.col("red").alias("b1"))
+    got = np.array(control_chart._fitted_sources(control_chart._sliced(rows, 700, 90), 2).first()["kept"]).reshape(2, control_chart.KEPT)
+    pdf = rows.dropDuplicates(["rid"]).orderBy("t", "rid").toPandas()
+    for band, column in enumerate(("b0", "b1")):
+        own = pdf[pdf[column].notna()]
+        want = control_chart._fitted(np.zeros(len(own), int), own["t"].to_numpy() / 86_400e6, own[column].to_numpy(float), 1)[0]
+        assert np.allclose(got[band], want, rtol=1e-9, atol=1e-12)
