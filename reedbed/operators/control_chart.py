@@ -382,15 +382,11 @@ def flag_readings(
         F.col(source).cast("string").alias("src"), F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(row_id).alias("rid"), *[F.col(b).cast("double").alias(f"b{i}") for i, b in enumerate(bands)]
     )
     long = materialise(hot_keys(rows, ["src"], slice_rows).select("src", "_n"), "long")
-    none = F.lit(None).cast("array<double>").alias("kept")
-    ordinary = [F.lit(0).alias("_slice"), F.lit(True).alias("_core"), none]
-    if long.isEmpty():
-        keyed = rows.select("*", *ordinary)
-    else:
-        few = is_short(long)
-        sliced = materialise(_sliced(rows.join(F.broadcast(long.select("src")) if few else long.select("src"), "src", "left_semi"), slice_rows, max(STUCK_RUN, slice_rows * LENT // SLICE)), "slices")
-        short = rows.join(F.broadcast(long.select("src")) if few else long.select("src"), "src", "left_anti")
-        keyed = short.select("*", *ordinary).unionByName(_with_kept(sliced, _fitted_sources(sliced, len(bands))))
+    ordinary, sliced = rows.select("*", F.lit(0).alias("_slice"), F.lit(True).alias("_core")), None
+    if not long.isEmpty():
+        names = F.broadcast(long.select("src")) if is_short(long) else long.select("src")
+        sliced = materialise(_sliced(rows.join(names, "src", "left_semi"), slice_rows, max(STUCK_RUN, slice_rows * LENT // SLICE)), "slices")
+        sliced, ordinary = _with_kept(sliced, _fitted_sources(sliced, len(bands))), ordinary.join(names, "src", "left_anti")
     tasks = max(1, -(-rows.count() // rows_per_task))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -402,9 +398,8 @@ def flag_readings(
         day = pdf["t"].to_numpy()[order] / 86_400e6
         core, rid = pdf["_core"].to_numpy(bool)[order], pdf["rid"].to_numpy()[order]
         given = np.full((len(first), len(bands), KEPT), np.nan)
-        for i, k in enumerate(pdf["kept"].to_numpy(object)[order[first]]):
-            if k is not None:
-                given[i] = np.asarray(k, float).reshape(len(bands), KEPT)
+        if "kept" in pdf:
+            given[:] = np.stack([np.asarray(k, float) for k in pdf["kept"].to_numpy(object)[order[first]]]).reshape(given.shape)
         found = []
         values = [pdf[f"b{i}"].to_numpy(float)[order] for i in range(len(bands))]
         for band, flags in zip(bands, judge(series, day, values, spike, given), strict=True):
@@ -412,5 +407,8 @@ def flag_readings(
             found.append(pd.DataFrame({row_id: rid[hit], "band": band, "reason": np.array(["", "impossible", "stuck", "spike"], dtype=object)[flags[hit]]}))
         return pd.concat(found)
 
-    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("src", "_slice"), F.lit(tasks)).cast("int"))
-    return keyed.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(work, f"{row_id} bigint, band string, reason string")
+    def flagged(part: DataFrame) -> DataFrame:
+        keyed = part.withColumn("bucket", F.pmod(F.xxhash64("src", "_slice"), F.lit(tasks)).cast("int"))
+        return keyed.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(work, f"{row_id} bigint, band string, reason string")
+
+    return flagged(ordinary) if sliced is None else flagged(ordinary).unionByName(flagged(sliced))

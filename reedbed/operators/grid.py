@@ -10,9 +10,11 @@ from reedbed.session import materialise
 
 #: Bins of a season; the last, incomplete bin is left out.
 BINS_PER_SEASON = 36
+#: Slots of a source that are carried forward together.
+CHUNK = 4096
 
 
-def regular_grid(df: DataFrame, source: str, slot: str, value: str, row_id: str, max_gap: int) -> DataFrame:
+def regular_grid(df: DataFrame, source: str, slot: str, value: str, row_id: str, max_gap: int, chunk: int = CHUNK) -> DataFrame:
     """One row for each source and slot from its first to its last slot with a reading.
 
     ``slot`` is an integer period number. Repeated deliveries (same ``row_id``) count once. Rows with a null source,
@@ -20,20 +22,24 @@ def regular_grid(df: DataFrame, source: str, slot: str, value: str, row_id: str,
     Columns: source, slot, n (readings, 0 in a missing slot), value (mean of the readings, null if missing),
     filled (the value, else the last one if at most ``max_gap`` slots old), state: 'observed', 'carried' or 'missing'.
 
-    The rows of a slot are merged by (source, slot, row_id) first, so a hot source or slot is spread over all tasks;
-    from then on a source has at most one row for each slot of its span.
+    The rows of a slot are merged by (source, slot, row_id) first, so a hot source or slot is spread over all tasks. The line of slots is worked off in chunks of ``chunk`` slots: readings of the last
+    ``max_gap`` slots of a chunk are lent to the next, so a source with a very long span is no single task's work.
     """
+    chunk = max(chunk, max_gap + 1)
     rows = df.select(F.col(source).alias("source"), F.col(slot).cast("long").alias("slot"), F.col(value).alias("v"), F.col(row_id).alias("rid"))
     rows = rows.where("source is not null and slot is not null and v is not null and not isnan(v)")
     once = rows.groupBy("source", "slot", "rid").agg(F.min("v").alias("v"))
     binned = once.groupBy("source", "slot").agg(F.count("v").alias("n"), F.avg("v").alias("value"))
-    binned = materialise(binned, "bins")  # read twice: for the spans and for the join
+    binned = materialise(binned, "bins")  # read three times: for the spans, for the join and for what is lent
     spans = binned.groupBy("source").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
-    slots = spans.select("source", F.explode(F.sequence("lo", "hi")).alias("slot"))
-    joined = slots.join(binned, ["source", "slot"], "left")
-    past = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    of = lambda s: F.floor(s / chunk)
+    chunks = spans.select("source", "lo", "hi", F.explode(F.sequence(of(F.col("lo")), of(F.col("hi")))).alias("chunk"))
+    slots = chunks.select("source", "chunk", F.explode(F.sequence(F.greatest("lo", F.col("chunk") * chunk), F.least("hi", F.col("chunk") * chunk + chunk - 1))).alias("slot"))
+    joined = slots.join(binned, ["source", "slot"], "left").withColumn("lent", F.lit(False))
+    lent = binned.where(F.pmod("slot", F.lit(chunk)) >= chunk - max_gap).withColumns({"chunk": of(F.col("slot")) + 1, "lent": F.lit(True)})
+    past = Window.partitionBy("source", "chunk").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("n").isNotNull(), F.struct("slot", "value")), ignorenulls=True).over(past)
-    carried = joined.withColumn("last", last)
+    carried = joined.unionByName(lent).withColumn("last", last).where("not lent")
     near = F.col("slot") - F.col("last.slot") <= max_gap
     return carried.select(
         F.col("source").alias(source),

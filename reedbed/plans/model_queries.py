@@ -386,36 +386,67 @@ def inseparable_flags(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("veg").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("inseparable_variant_flag").cast("int")).alias("flagged"), F.max("inseparable_variant_details").alias("details"))
 
 
-_U = lambda k: f"((({k} * 7919 + rep * 104729 + 42) % 1000003) * 48271 % 1000003) / 1000003.0"
-_WEIGHT = lambda k: f"CASE WHEN {_U(k)} < 0.367879441 THEN 0 WHEN {_U(k)} < 0.735758882 THEN 1 WHEN {_U(k)} < 0.919698603 THEN 2 WHEN {_U(k)} < 0.981011843 THEN 3 WHEN {_U(k)} < 0.996340153 THEN 4 ELSE 5 END"
-_BOOT = f""", per AS (SELECT location_id, py, veg, {_NUM} AS k, avg(coef) AS v FROM coefs WHERE veg <> 'barren' GROUP BY 1, 2, 3), rep AS (SELECT unnest(generate_series(1, 20)) AS rep),
-al AS (SELECT rep, sum({_WEIGHT(_NUM)}) AS al FROM (SELECT DISTINCT location_id FROM coefs), rep GROUP BY 1), vv AS (SELECT rep, py, veg, sum(v * ({_WEIGHT('k')})) AS s FROM per, rep GROUP BY 1, 2, 3),
-gr AS (SELECT location_id, py, k, sum(v) AS v FROM per GROUP BY 1, 2, 3), bb AS (SELECT rep, py, 'barren' AS veg, sum(greatest(0, least(1 - v, 1)) * ({_WEIGHT('k')})) / nullif(sum({_WEIGHT('k')}), 0) AS value FROM gr, rep GROUP BY 1, 2),
-bt AS (SELECT rep, py, veg, s / al AS value FROM vv JOIN al USING (rep) UNION ALL SELECT * FROM bb)"""
+_W = "list_count(list_filter([" + ", ".join(repr(t) for t in resample.POISSON) + "], lambda top: top <= CAST('0x' || substr(md5({k} || '/' || CAST(rep // 4 AS VARCHAR) || '/42'), CAST(rep % 4 * 8 + 1 AS INTEGER), 8) AS BIGINT) / 4294967296.0))"
 
 
-@query(with_(SQL_COEFS) + _BOOT + f" SELECT py, veg, {sr('avg(value)', 'mean')}, {sr('stddev_samp(value)', 'sd')}, {sr('quantile_cont(value, 0.025)', 'coef_025')}, {sr('quantile_cont(value, 0.975)', 'coef_975')}, count(value) AS n FROM bt GROUP BY 1, 2")
+def _boot(key: str, source: str, reps: int = 100) -> str:
+    return f""", src AS ({source}), rep AS (SELECT unnest(generate_series(1, {reps})) AS rep), ks AS (SELECT {key} AS k, count(DISTINCT location_id) AS n FROM src GROUP BY 1), ws AS (SELECT k, n, rep, {_W.format(k='k')} AS w FROM ks, rep),
+al AS (SELECT rep, sum(w * n) AS al FROM ws GROUP BY 1), per AS (SELECT location_id, py, veg, {key} AS k, avg(coef) AS v FROM src WHERE veg <> 'barren' GROUP BY 1, 2, 3, 4), vv AS (SELECT rep, py, veg, sum(v * w) AS s FROM per JOIN ws USING (k) WHERE w > 0 GROUP BY 1, 2, 3),
+gr AS (SELECT location_id, py, k, greatest(0, least(1 - sum(v), 1)) AS b FROM per GROUP BY 1, 2, 3), bb AS (SELECT rep, py, 'barren' AS veg, sum(b * w) / sum(w) AS value FROM gr JOIN ws USING (k) WHERE w > 0 GROUP BY 1, 2),
+bt AS (SELECT rep, py, veg, s / al AS value FROM vv JOIN al USING (rep) UNION ALL SELECT * FROM bb) SELECT py, veg, {sr('avg(value)', 'mean')}, {sr('stddev_samp(value)', 'sd')}, {sr('quantile_cont(value, 0.025)', 'coef_025')}, {sr('quantile_cont(value, 0.975)', 'coef_975')}, count(value) AS n FROM bt GROUP BY 1, 2"""
+
+
+@query(with_(SQL_COEFS) + _boot("location_id", "SELECT * FROM coefs"))
 def boot_compile(spark: SparkSession, d: str) -> DataFrame:
-    reps = resample.location_bootstrap(coefs(spark, d), _number(), 100)
+    reps = resample.location_bootstrap(coefs(spark, d), 100)
+    return rounded(resample.compiled(reps, ["py", "veg"]), "mean", "sd", "coef_025", "coef_975")
+
+
+_BLOCKS = "SELECT c.*, CASE WHEN p.lat IS NOT NULL THEN CAST(CAST(floor(p.lat / (5/111.32)) AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(floor(p.lon / (5/(111.32*cos(radians(m.m))))) AS BIGINT) AS VARCHAR) END AS block FROM coefs c LEFT JOIN places p USING (location_id), (SELECT avg(lat) AS m FROM places) m"
+
+
+@query(with_(SQL_COEFS, SQL_PLACES) + _boot("coalesce(block, location_id)", _BLOCKS))
+def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """boot_compile with whole spatial blocks of 5 km drawn instead of single locations."""
+    blocks = harmonise.block_cells(places(spark, d), 5.0).select("location_id", "block")
+    reps = resample.location_bootstrap(coefs(spark, d).join(blocks, "location_id", "left"), 100, key="block")
     return rounded(resample.compiled(reps, ["py", "veg"]), "mean", "sd", "coef_025", "coef_975")
 
 
+@query(with_(SQL_COEFS) + _ONE + f""", rep AS (SELECT unnest(generate_series(1, 100)) AS rep), ws AS (SELECT k, rep, {_W.format(k='k')} AS w FROM (SELECT DISTINCT location_id AS k FROM one), rep),
+v AS (SELECT rep, py, veg, sum(coef * w) / sum(w) AS value FROM one JOIN ws ON k = location_id WHERE w > 0 GROUP BY 1, 2, 3) SELECT py, veg, {sr('avg(value)', 'mean')}, {sr('stddev_samp(value)', 'sd')}, {sr('quantile_cont(value, 0.025)', 'coef_025')}, {sr('quantile_cont(value, 0.975)', 'coef_975')}, count(value) AS n FROM v GROUP BY 1, 2""")
+def aggregate_resample(spark: SparkSession, d: str) -> DataFrame:
+    """The resampling half of aggregate_bootstrap for all classes and seasons."""
+    return rounded(resample.compiled(resample.resampled_means(_one(spark, d), ["py", "veg"], "coef"), ["py", "veg"]), "mean", "sd", "coef_025", "coef_975")
+
+
 @query()
 def aggregate_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return resample.aggregate_bootstrap(_one(spark, d), "coef")
+    pairs = stats.PairBlocks(_sites(spark, d), "v")
+    total = pairs.places.agg(F.var_samp("v").alias("v")).first()["v"] or 0.0
+    km = stats.variogram_range([(x, gamma) for _, x, gamma, _ in stats.semivariogram(pairs)], total, 500.0)
+    return resample.aggregate_bootstrap(_one(spark, d), "coef", places(spark, d), km)
 
 
 @query()
 def hier_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    o = obs(spark, d).select("location_id", "veg", "nir")
-    return resample.hierarchical_bootstrap(o, ["veg"], "location_id", "nir", _number(), 1000)
+    o = obs(spark, d).select("obs_id", "location_id", "veg", "nir")
+    return resample.hierarchical_bootstrap(o, ["veg"], "location_id", "nir", "obs_id", 1000)
 
 
 @query()
 def index_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     o = obs(spark, d).where(filters.in_months((7, 8, 9))).select("obs_id", "location_id", "py", "doy_cal", ix.spectral_indices()["ndvi"].alias("ndvi"))
     t = stats.detrend_cubic(o, [], "doy_cal", "ndvi")
-    return resample.hierarchical_bootstrap(t, ["py"], "location_id", "detrended", _number(), 1000)
+    return resample.hierarchical_bootstrap(t, ["py"], "location_id", "detrended", "obs_id", 1000)
+
+
+@query()
+def median_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """sd and bounds of the median summer index of each location and season."""
+    o = obs(spark, d).where(filters.in_months((7, 8, 9))).select("obs_id", "location_id", "py", "doy_cal", ix.spectral_indices()["ndvi"].alias("ndvi"))
+    m = resample.median_bootstrap(stats.detrend_cubic(o, [], "doy_cal", "ndvi"), ["location_id", "py"], "detrended").select("location_id", "py", "n", F.explode("medians").alias("value"))
+    return resample.compiled(m, ["location_id", "py"])
 
 
 _PRED = ", pred AS (SELECT o.location_id, o.py, o.veg, o.coef, p.veg AS actual FROM one o JOIN places p USING (location_id) WHERE p.veg IS NOT NULL)"

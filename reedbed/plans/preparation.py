@@ -17,7 +17,7 @@ BANDS = ["nir", "red", "swir1"]
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     grid = ten_day_grid(table(spark, folder, "observation"))
-    return grid.where("n = 0").select("location_id", "pheno_year", "bin")
+    return grid.where("state <> 'observed'").select("location_id", "pheno_year", "bin")
 
 
 def p1_grid(spark: SparkSession, folder: str) -> DataFrame:

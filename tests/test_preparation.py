@@ -35,6 +35,14 @@ def test_grid_calendar_edges_and_clashing_columns(spark):
     assert ten_day_grid(df.where("false")).count() == 0
 
 
+def test_grid_does_not_depend_on_chunks(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, f"s{i % 3}", int(t), float(i)) for i, t in enumerate(rng.choice(np.arange(-200, 300), 120))]
+    df = spark.createDataFrame(rows, "rid bigint, src string, t int, v double")
+    whole, cut = ({tuple(r) for r in regular_grid(df, "src", "t", "v", "rid", 3, chunk=c).collect()} for c in (10_000, 7))
+    assert whole == cut and {r[5] for r in whole} == {"observed", "carried", "missing"}
+
+
 def test_grid_hot_source(spark):
     df = spark.range(6000).selectExpr("id as rid", "if(id % 3 = 0, 'hot', concat('s', id % 50)) as src", "cast(id % 400 as int) as t", "cast(id as double) as v")
     got = regular_grid(df, "src", "t", "v", "rid", 3).toPandas()

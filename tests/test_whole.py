@@ -53,7 +53,7 @@ def test_queries_draw_the_replicates_of_the_reference(spark, monkeypatch):
         monkeypatch.setattr(model_queries, name, lambda s, d: spark.createDataFrame([], "obs_id int, location_id string, py int, doy_cal int, date date, veg string, " + ", ".join(f"{b} double" for b in BANDS)))
     monkeypatch.setattr(resample, "compiled", lambda reps, keys: reps)
     monkeypatch.setattr(model_queries, "rounded", lambda df, *columns: df)
-    monkeypatch.setattr(resample, "location_bootstrap", lambda df, number, n: seen.update(boot_compile=n))
+    monkeypatch.setattr(resample, "location_bootstrap", lambda df, n: seen.update(boot_compile=n))
     monkeypatch.setattr(unmix, "unmix", lambda *a, draws=0, **k: seen.update(mc_uncertainty=draws))
     monkeypatch.setattr(resample, "hierarchical_bootstrap", lambda df, groups, key, value, number, n: seen.update({{"nir": "hier_bootstrap", "detrended": "index_bootstrap"}[value]: n}))
     for name in ("boot_compile", "mc_uncertainty", "hier_bootstrap", "index_bootstrap"):
