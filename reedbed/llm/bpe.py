@@ -147,10 +147,12 @@ def encoder(path: str) -> Callable[[str | None], list[int]]:
     return encode
 
 
-def spread(df: DataFrame, key: str, per_task: int = 2) -> DataFrame:
-    """Enough partitions for all cores where a table comes in fewer files; rows are dealt out by a hash of ``key``."""
+def spread(df: DataFrame, per_task: int = 2) -> DataFrame:
+    """Enough partitions for all cores where a table comes in fewer files; rows are dealt out by a count, so equal and null ids lie as evenly as others."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * per_task, F.xxhash64(key))
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.withColumn("_deal", F.monotonically_increasing_id()).repartition(cores * per_task, "_deal").drop("_deal")
 
 
 def _batches(table: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -176,5 +178,5 @@ def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[doc_id, "ids"])
 
-    rows = spread(documents.select(F.col(doc_id).cast("bigint").alias(doc_id), F.col(text).cast("string").alias(text)), doc_id)
+    rows = spread(documents.select(F.col(doc_id).cast("bigint").alias(doc_id), F.col(text).cast("string").alias(text)))
     return rows.mapInArrow(work, f"{doc_id} bigint, ids array<int>")

@@ -82,7 +82,7 @@ def placed_documents(documents: DataFrame, doc_id: str, text: str, path: str | N
             key = hilbert_key(_projected(np.array(flat, dtype=np.int64), ends), BITS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(key, pa.int64())], names=["doc", "size", "key"])
 
-    rows = spread(documents.select(F.col(doc_id).cast("bigint").alias(doc_id), F.col(text).cast("string").alias(text)), doc_id)
+    rows = spread(documents.select(F.col(doc_id).cast("bigint").alias(doc_id), F.col(text).cast("string").alias(text)))
     return rows.mapInArrow(work, "doc bigint, size bigint, key bigint").where("size > 0")
 
 
@@ -109,17 +109,21 @@ class _Packer:
             self.mask |= 1 << left
         return container
 
+    def close(self, before: int) -> None:
+        """Containers numbered below ``before`` take nothing more."""
+        for left, containers in list(self.open.items()):
+            kept = [c for c in containers if c >= before]
+            if kept:
+                self.open[left] = kept
+            else:
+                del self.open[left]
+                self.mask &= ~(1 << left)
 
-def pack(
-    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, path: str | None = None, stretch: int = 20_000, window: int = 1_000
-) -> DataFrame:
-    """container, doc_id, piece: which container holds each document; piece (from 0) only where a document exceeds the capacity.
 
-    Documents without tokens (null or empty text) are left out. A document of up to ``capacity`` tokens is never split; a longer one
-    fills containers of its own with whole pieces and its rest is packed like a document. Rows with equal doc_id are packed each for
-    itself. A stretch has about ``stretch`` documents whatever the table's size; a key that many documents share is cut at a
-    hash of their ids. Container numbers are unique, not consecutive. An empty table gives no rows.
-    """
+def packed_line(
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, path: str | None = None, stretch: int = 20_000, window: int = 500, keep: int = 3
+) -> DataFrame:
+    """container, doc_id, piece, tokens, place: as ``pack``, with the tokens that lie in the container and the place of the document in the line of its stretch."""
     items = materialise(placed_documents(documents, doc_id, text, path), "sizes")  # cuts the lineage: the packing below is deterministic over it
     total = items.count()
     stretches = max(1, -(-total // stretch))
@@ -127,22 +131,51 @@ def pack(
     line = placed.repartitionByRange(stretches, "key", "tie", "doc").sortWithinPartitions("key", "tie", "doc")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        packer = _Packer(capacity, TaskContext.get().partitionId() << 40)
+        first = TaskContext.get().partitionId() << 40
+        packer, at, starts = _Packer(capacity, first), 0, []
         for pdf in batches:
             docs, sizes = pdf["doc"].to_numpy(), pdf["size"].to_numpy()
             for start in range(0, len(docs), window):
-                out: list[tuple[int, int, int | None]] = []
+                starts.append(packer.next)
+                if len(starts) > keep:
+                    packer.close(starts[-1 - keep])
+                out: list[tuple[int, int, int | None, int, int]] = []
                 rest = []
                 for doc, size in zip(docs[start : start + window].tolist(), sizes[start : start + window].tolist(), strict=True):
                     whole = size // capacity if size > capacity else 0
                     for piece in range(whole):
-                        out.append((packer.put(capacity), doc, piece))
+                        out.append((packer.put(capacity), doc, piece, capacity, first + at))
                     left = size - whole * capacity
                     if left:
-                        rest.append((left, doc, whole if whole else None))
+                        rest.append((left, doc, whole if whole else None, first + at))
+                    at += 1
                 rest.sort(key=lambda x: -x[0])
-                out += [(packer.put(size), doc, piece) for size, doc, piece in rest]
-                frame = pd.DataFrame(out, columns=["container", doc_id, "piece"])
-                yield frame.astype({"container": "int64", doc_id: "int64", "piece": "Int32"})
+                out += [(packer.put(size), doc, piece, size, place) for size, doc, piece, place in rest]
+                frame = pd.DataFrame(out, columns=["container", doc_id, "piece", "tokens", "place"])
+                yield frame.astype({"container": "int64", doc_id: "int64", "piece": "Int32", "tokens": "int64", "place": "int64"})
 
-    return line.select("doc", "size").mapInPandas(work, f"container bigint, {doc_id} bigint, piece int")
+    return line.select("doc", "size").mapInPandas(work, f"container bigint, {doc_id} bigint, piece int, tokens bigint, place bigint")
+
+
+def pack(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, path: str | None = None, **options) -> DataFrame:
+    """container, doc_id, piece: which container holds each document; piece (from 0) only where a document exceeds the capacity.
+
+    Documents without tokens (null or empty text) are left out. A document of up to ``capacity`` tokens is never split; a longer one
+    fills containers of its own with whole pieces and its rest is packed like a document. Rows with equal doc_id are packed each for
+    itself. A stretch has about ``stretch`` documents whatever the table's size; a key that many documents share is cut at a
+    hash of their ids. A container takes documents of the window in which it was opened and of the ``keep`` - 1 next ones, so what it holds lies within ``keep`` windows of the curve.
+    Container numbers are unique, not consecutive. An empty table gives no rows.
+    """
+    return packed_line(documents, doc_id, text, capacity, path, **options).select("container", doc_id, "piece")
+
+
+def packing_quality(line: DataFrame, capacity: int) -> DataFrame:
+    """One row of packed_line: containers, tokens, fill, over (containers above the capacity), reach (mean distance along the curve, in documents, from a container's first to its last), reach_random (the same if
+    the containers of a stretch were filled in any order: the mean of n random places of it spans (n - 1) / (n + 1) of the stretch)."""
+    per = line.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), (F.max("place") - F.min("place")).alias("reach"), F.shiftright("container", 40).alias("stretch"))
+    length = line.groupBy(F.shiftright("container", 40).alias("stretch")).agg((F.max("place") - F.min("place")).alias("length"))
+    j = per.join(length, "stretch")
+    return j.agg(
+        F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), (F.sum("tokens") / (F.count(F.lit(1)) * capacity)).alias("fill"),
+        F.count(F.when(F.col("tokens") > capacity, 1)).alias("over"), F.avg("reach").alias("reach"), F.avg(F.col("length") * (F.col("n") - 1) / (F.col("n") + 1)).alias("reach_random"),
+    )

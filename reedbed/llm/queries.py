@@ -9,9 +9,9 @@ from reedbed.functions.calendar import pheno_year
 from reedbed.llm.bpe import encode_corpus
 from reedbed.llm.garble import find_garbled
 from reedbed.llm.nearest_time import nearest_in_time
-from reedbed.llm.packing import pack
+from reedbed.llm.packing import pack, packed_line, packing_quality
 from reedbed.llm.quantiles import combine, percentiles, summarise
-from reedbed.session import table
+from reedbed.session import materialise, table
 
 TOLERANCE_S = 345_600
 QUANTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
@@ -59,6 +59,19 @@ def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), capacity=CAPACITY)
 
 
+def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_quality(packed_line(table(spark, folder, "documents"), capacity=CAPACITY), CAPACITY)
+
+
+def p8_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its number of containers below two pieces' worth: each once, pieces counted from 0 without a gap, and no container above the capacity."""
+    line = materialise(packed_line(table(spark, folder, "documents"), capacity=CAPACITY), "packed")
+    full = line.groupBy("container").agg(F.sum("tokens").alias("s")).where(F.col("s") > CAPACITY).select("container")
+    per = line.join(full.withColumn("over", F.lit(1)), "container", "left").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("k"), F.countDistinct(F.coalesce("piece", F.lit(0))).alias("d"), (F.max(F.coalesce("piece", F.lit(0))) + 1).alias("m"), F.count("over").alias("over"))
+    return per.select("doc_id", ((F.col("k") == F.col("d")) & (F.col("k") == F.col("m"))).alias("once"), F.col("over").alias("over"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return find_garbled(table(spark, folder, "documents")).select("doc_id").distinct()
 
@@ -67,7 +80,7 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return find_garbled(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_percentiles, p4_seasons, p4_combined, p7_ids, p8_packed, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_percentiles, p4_seasons, p4_combined, p7_ids, p8_packed, p8_quality, p8_whole, p9_found, p9_restored)}
 
 _PAIRS = """
 WITH s AS (SELECT DISTINCT scan_id, location_id, acquired_at, upper(trim(satellite)) AS family FROM sensor_obs
@@ -87,6 +100,7 @@ _DISC = ", ".join(f"round(min(CASE WHEN upto >= total * {q} THEN v END) + 1e-9,
 SQL = {
     "p2_found": _PAIRS + "SELECT least(left_id, right_id) AS scan_id_1, greatest(left_id, right_id) AS scan_id_2 FROM r WHERE k = 1",
     "p2_pairs": _PAIRS + "SELECT left_id, right_id, gap_us FROM r WHERE k = 1",
+    "p8_whole": "SELECT doc_id, true AS once, 0 AS over FROM documents WHERE text <> ''",
     "p4_percentiles": _VALUES + f"SELECT location_id, count(*) AS n, {_CONT}, 0.0 AS rank_error FROM o GROUP BY 1",
     "p4_seasons": _VALUES + f"SELECT location_id, pheno_year, count(*) AS n, {_CONT}, 0.0 AS rank_error FROM o GROUP BY 1, 2",
     "p4_combined": _VALUES + f""",

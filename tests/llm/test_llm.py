@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from reedbed.llm import bpe, garble, packing, quantiles
+from reedbed.llm import bpe, garble, nearest_time, packing, quantiles
 from reedbed.llm.nearest_time import nearest_in_time
 from reedbed.llm.quantiles import combine, multi_select, percentiles, summarise
 
@@ -37,6 +37,19 @@ def test_nearest_in_time_against_brute_force(spark):
     assert got == want and got[a[0][0]][0] == 4999
 
 
+def test_nearest_in_time_of_dense_entities(spark, monkeypatch):
+    """Entities cut by rank give the pairs of uncut ones: bursts, equal instants, stretches of one table only."""
+    rng = np.random.default_rng(9)
+    burst = lambda i, lo, n, e, x: [(i + k, e, int(t), x) for k, t in enumerate(rng.integers(lo, lo + 3000, n))]
+    a = burst(0, 0, 400, "d", "x") + burst(1000, 9 * DAY, 300, "d", "x") + burst(2000, 0, 50, "s", "x")
+    b = burst(10_000, 1000, 500, "d", "y") + burst(12_000, 5 * DAY, 200, "d", "y") + burst(14_000, 0, 60, "s", "y")
+    pairs = lambda **k: {tuple(r) for r in nearest_in_time(_frame(spark, a), _frame(spark, b), "e", "t", "i", 4 * DAY, **k).collect()}
+    whole = pairs()
+    assert len(whole) == 750 and pairs(cell_rows=40) == whole
+    monkeypatch.setattr(nearest_time, "is_short", lambda df: False)
+    assert pairs(cell_rows=40) == whole
+
+
 def test_nearest_in_time_nulls_and_empty(spark):
     rows = _frame(spark, [(1, "a", 0, None), (2, "b", 5, None)])
     nulls = rows.withColumn("e", F.when(F.col("i") == 1, F.col("e")))
@@ -172,6 +185,16 @@ def test_pack_is_whole_and_tight(spark):
     assert packing.pack(df.where("false")).count() == 0
 
 
+def test_containers_hold_neighbours_of_the_curve(spark):
+    rng = random.Random(8)
+    themes = [[f"{t}{k}" for k in range(40)] for t in ("reed", "band", "salt", "mast", "dune")]
+    docs = [(i, " ".join(rng.choice(themes[i % 5]) for _ in range(rng.randint(10, 60)))) for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {k: packing.packing_quality(packing.packed_line(df, capacity=512, window=100, keep=k), 512).first() for k in (3, 1000)}
+    assert got[3]["over"] == got[1000]["over"] == 0 and got[3]["fill"] > 0.97 and got[3]["tokens"] == got[1000]["tokens"]
+    assert got[3]["reach"] < 300 and got[3]["reach"] < got[3]["reach_random"] / 3 and got[3]["reach"] <= got[1000]["reach"]
+
+
 PHRASES = ["Le relevé de l’été montre une forêt clairsemée près de la rivière.", "Die Lücke wurde nicht geschlossen; die Höhe beträgt über fünf Meter.", "Индекс менялся за сезон, что обычно для поймы и старого русла.", "传感器故障持续多日,该段记录不可用。",
            "Ağaç sayısı düşük, ırmak kıyısı çatladı ve göl küçüldü.", "A estação não funcionou; a copa está seca no verão.", "Ningún sensor funcionó durante la última inundación del año."]
 
