@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reedbed.functions.calendar import pheno_year
 from reedbed.llm.bpe import encode_corpus
-from reedbed.llm.garble import find_garbled
+from reedbed.llm.garble import find_garbled, regained
 from reedbed.llm.nearest_time import nearest_in_time
 from reedbed.llm.packing import pack, packed_line, packing_quality
 from reedbed.llm.quantiles import combine, percentiles, summarise
@@ -80,7 +80,11 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return find_garbled(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_percentiles, p4_seasons, p4_combined, p7_ids, p8_packed, p8_quality, p8_whole, p9_found, p9_restored)}
+def p9_regained(spark: SparkSession, folder: str) -> DataFrame:
+    return regained(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pairs, p4_percentiles, p4_seasons, p4_combined, p7_ids, p8_packed, p8_quality, p8_whole, p9_found, p9_restored, p9_regained)}
 
 _PAIRS = """
 WITH s AS (SELECT DISTINCT scan_id, location_id, acquired_at, upper(trim(satellite)) AS family FROM sensor_obs

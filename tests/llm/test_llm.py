@@ -236,3 +236,49 @@ def test_garble_empty(spark):
 
 def test_margin_prefers_separation():
     assert 8.9 < garble.chosen_margin([0.0] * 50 + [8.9], [20.0, 30.0, 9.6] * 20) <= 9.6
+
+
+def test_chains_over_arrays_equal_their_units():
+    rng = random.Random(1)
+    letters = "abc éèüß–“”€ÐÑдвеИïÃ©æœÂ °±²µ·×ñçõ中文的了РС" + "Ð°Ñ‚ÐµÃ©â€™â€œ" * 2
+    for chain in garble.chains():
+        if chain.fast and not chain.name.endswith("twice"):
+            for _ in range(60):
+                t = "".join(rng.choice(letters) for _ in range(rng.randint(1, 14)))
+                new, kept = chain.fast(*garble.code_points([t]))
+                assert "".join(map(chr, new)) == "".join(n[0] if n else o for o, n in chain.units(t)), (chain.name, t)
+
+
+def test_model_over_arrays_equals_the_model():
+    counts = Counter()
+    garble.count_grams(PHRASES, counts)
+    context = Counter()
+    for g, n in counts.items():
+        if len(g) > 1:
+            context[g[:-1]] += n
+    model = garble.Model(dict(counts), dict(context), sum(n for g, n in counts.items() if len(g) == 1))
+    text = "L’ÉTÉ était là; Индекс МЕНЯЛСЯ 传感器 xyz � ½ 👩‍🌾 Höhe"
+    codes, _ = garble.code_points([text])
+    assert np.allclose(garble.FastModel(model).each(codes), model.each(text))
+    assert counts["é"] == sum(p.count("é") for p in PHRASES) and counts["été"] == sum(p.count("été") for p in PHRASES)
+
+
+def test_restoring_does_not_depend_on_the_order_of_texts(notes):
+    df, was = notes
+    a, b = (garble.find_garbled(df.orderBy(F.col("doc_id") * s)).toPandas().sort_values("doc_id").restored.tolist() for s in (1, -1))
+    assert a == b
+
+
+def test_many_stretches_of_one_text_are_all_restored(notes):
+    df, _ = notes
+    clean = " ".join(PHRASES[i % len(PHRASES)] for i in range(300))
+    broken = " ".join(garble.garbled(PHRASES[i % len(PHRASES)], "utf_8", "latin_1", 0, 200) for i in range(300))
+    spark = df.sparkSession
+    got = garble.find_garbled(df.unionByName(spark.createDataFrame([(9000, broken)], df.schema))).where("doc_id = 9000").first()
+    assert sum(x != y for x, y in zip(got["restored"], clean, strict=False)) < 0.02 * len(clean)
+
+
+def test_share_that_comes_back(notes):
+    df, was = notes
+    got = garble.regained(df.where(~F.col("doc_id").isin(list(was)))).toPandas()
+    assert len(got) >= 6 and (got.found * got.n).sum() / got.n.sum() > 0.97 and (got.exact * got.n).sum() / got.n.sum() > 0.9
