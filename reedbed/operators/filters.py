@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,10 +10,13 @@ from pyspark.sql import functions as F
 from reedbed.functions.indices import EPS
 from reedbed.functions.labels import CLASSES
 from reedbed.functions.numeric import ratio
+from reedbed.operators.ranks import group_percentiles
+from reedbed.session import materialise
 
 FIRST_SEASON = 1986
 TRAINING_SEASONS = (2023, 2024)
 MAD_SCALE, MAD_LIMIT = 1.4826, 3.5
+NDDI_MAX = 0.28
 
 
 def first_season(py: Column, year: int = FIRST_SEASON) -> Column:
@@ -23,14 +24,10 @@ def first_season(py: Column, year: int = FIRST_SEASON) -> Column:
     return py.isNull() | (py >= year)
 
 
-def dust_limit() -> float:
-    return float(os.environ.get("MESMA_NDDI_THRESHOLD", "0.28"))
-
-
-def not_dusty(limit: float | None = None) -> Column:
+def not_dusty(limit: float = NDDI_MAX) -> Column:
     """NDDI at most the limit; a missing index does not pass."""
     red, nir = F.col("red"), F.col("nir")
-    return F.coalesce(ratio(red - nir, red + nir + EPS) <= (dust_limit() if limit is None else limit), F.lit(False))
+    return F.coalesce(ratio(red - nir, red + nir + EPS) <= limit, F.lit(False))
 
 
 def known_class(df: DataFrame, column: str = "veg") -> DataFrame:
@@ -94,9 +91,11 @@ def barren_similarity(df: DataFrame, columns: list[str], label: str = "veg") ->
 
 def without_mad_outliers(df: DataFrame, keys: list[str], columns: list[str], limit: float = MAD_LIMIT, group_min: int = 5, value_min: int = 3) -> DataFrame:
     """Rows of groups of at least group_min, without those that lie off a column's group median by more than limit scaled MADs."""
-    medians = df.groupBy(*keys).agg(*[F.median(c).alias(f"_m_{c}") for c in columns], *[F.count(c).alias(f"_n_{c}") for c in columns], F.count(F.lit(1)).alias("_n"))
-    near = df.join(medians.where(F.col("_n") >= group_min), keys)
-    mads = near.groupBy(*keys).agg(*[F.median(F.abs(F.col(c) - F.col(f"_m_{c}"))).alias(f"_d_{c}") for c in columns])
+    df = materialise(df, "readings")
+    counts = df.groupBy(*keys).agg(*[F.count(c).alias(f"_n_{c}") for c in columns], F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= group_min)
+    medians = group_percentiles(df, keys, {f"_m_{c}": c for c in columns}, [0.5])
+    near = df.join(counts, keys).join(medians, keys)
+    mads = group_percentiles(near, keys, {f"_d_{c}": F.abs(F.col(c) - F.col(f"_m_{c}")) for c in columns}, [0.5])
     out = F.lit(False)
     for c in columns:
         far = (F.col(f"_n_{c}") >= value_min) & (F.abs(F.col(c) - F.col(f"_m_{c}")) > limit * MAD_SCALE * F.col(f"_d_{c}"))
@@ -171,12 +170,13 @@ def robust_pair_mask(df: DataFrame, group: list[str], x: str, y: str, limit: flo
     """Pairs whose x, y and y - x lie within limit (unscaled) MADs of their group medians; a group with fewer than ``enough`` pairs keeps all."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_d", F.col(y) - F.col(x))
     parts = [x, y, "_d"]
-    med = pairs.groupBy(*group).agg(*[F.median(c).alias(f"_m{i}") for i, c in enumerate(parts)], F.count(F.lit(1)).alias("_n"))
-    near = pairs.join(F.broadcast(med), group) if not group else pairs.join(med, group)
-    mad = near.groupBy(*group).agg(*[F.median(F.abs(F.col(c) - F.col(f"_m{i}"))).alias(f"_s{i}") for i, c in enumerate(parts)])
+    with_ = lambda left, right: left.join(right, group) if group else left.crossJoin(F.broadcast(right))  # noqa: E731  # no group: one row
+    pairs = materialise(pairs, "pairs")
+    near = with_(with_(pairs, group_percentiles(pairs, group, {f"_m{i}": c for i, c in enumerate(parts)}, [0.5])), pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")))
+    mad = group_percentiles(near, group, {f"_s{i}": F.abs(F.col(c) - F.col(f"_m{i}")) for i, c in enumerate(parts)}, [0.5])
     ok = F.lit(True)
     for i, c in enumerate(parts):
         ok = ok & (F.abs(F.col(c) - F.col(f"_m{i}")) <= limit * F.col(f"_s{i}"))
-    return near.join(mad, group).where((F.col("_n") < enough) | ok).select(*df.columns)
+    return with_(near, mad).where((F.col("_n") < enough) | ok).select(*df.columns)
 
 

@@ -1,9 +1,10 @@
 """Filling missing values from similar records: low-rank alternating least squares over mixed encoded cells.
 
-Every record is a row of encoded cells: its own numbers (standardised), its class (one cell a class), its season, and cells that
-relate it to the other records of its location, class and season. Records x cells is factored as U V' over the present cells.
+Every record is a row of encoded cells: its own numbers (standardised), its class (one cell a class), its season, and what the other records of its location, class and
+season hold (means without the record itself, and how near its value lies to the mean of each class). Records x cells is factored as U V' over the present cells.
 V has one short row for each kind of cell and is all that moves between the driver and the tasks; a record's row of U follows
-from V and its own present cells. Missing cells are read from U V' and decoded to valid values.
+from V and its own present cells. Missing cells are read from U V' and decoded to valid values: a number from 0 to 1, a class, a season of the range. A location has at most one record of a class and season,
+so the decoded class or season is one that keeps this, if there is one.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from reedbed.session import materialise
 
 FIRST_YEAR, LAST_YEAR = 1986, 2025
 PLAIN = ("coef", "coef_median", "coef_025", "coef_975", "coef_sd", "rmse", "n_obs", "n_summer_obs", "year")
-CONTEXT = ("own_mean", "season_rest", "gap_year")
+CONTEXT = ("class_mean", "season_mean", "place_mean", "place_year")
 CELLS = (*PLAIN, *(f"is_{c}" for c in CLASSES), *CONTEXT, *(f"like_{c}" for c in CLASSES))
-RANK, RIDGE, SWEEPS, WEIGHT_MAX = 6, 0.05, 6, 1000.0
+RANK, RIDGE, SWEEPS, WEIGHT_MAX = 6, 0.05, 5, 30.0
+#: Width of the nearness of a value to the mean of a class.
+NEAR = 0.05
 
 
 def _rows(coefficient: DataFrame) -> DataFrame:
@@ -43,58 +46,52 @@ def _rows(coefficient: DataFrame) -> DataFrame:
 
 
 def _with_context(rows: DataFrame) -> DataFrame:
-    """Adds what the other records of the location and of its season hold; a location's statistics have a fixed size."""
+    """Adds what the records of the location hold, of a fixed size: sums and numbers by class, the seasons of each class as bits, sums by season (40 at most)."""
     c = F.col
     bit = F.expr(f"shiftleft(1L, year - {FIRST_YEAR})")
     of = lambda cls: c("cls") == cls
-    by_location = rows.where("location_id is not null").groupBy("location_id").agg(
-        F.count(F.lit(1)).alias("l_n"),
-        F.count("coef").alias("l_coef"), F.count("cls").alias("l_veg"), F.count("year").alias("l_pheno_year"),
-        F.min("year").alias("l_first"), F.max("year").alias("l_last"),
+    by_season = rows.where("location_id is not null").groupBy("location_id", "year").agg(
+        F.count(F.lit(1)).alias("n"), F.count("coef").alias("n_coef"), F.sum("coef").alias("s_coef"), F.count("cls").alias("n_cls"),
         *[F.sum(F.when(of(k), c("coef"))).alias(f"s_{k}") for k in CLASSES],
         *[F.count(F.when(of(k), c("coef"))).alias(f"n_{k}") for k in CLASSES],
-        *[F.bit_or(F.when(of(k), bit)).alias(f"y_{k}") for k in CLASSES],
+        *[F.max(of(k)).alias(f"h_{k}") for k in CLASSES],
     )
-    by_season = materialise(rows.where("location_id is not null and year is not null").groupBy("location_id", "year").agg(
-        F.count(F.lit(1)).alias("t_n"), F.count("coef").alias("t_held"), F.sum("coef").alias("t_sum"), *[F.max(of(k).cast("int")).alias(f"t_{k}") for k in CLASSES]
-    ), "seasons")  # read by both joins below
-    seasons = by_season.groupBy("location_id").agg(F.collect_list(F.struct("year", "t_sum", "t_held")).alias("seasons"), F.sum("t_n").alias("s_n"))
-    undated = join_key_stats(rows.where("year is null"), seasons, ["location_id"], "s_n").drop("s_n")  # at most 40 seasons each
-    rows = undated.unionByName(rows.where("year is not null"), allowMissingColumns=True)
-    return join_key_stats(join_key_stats(rows, by_location, ["location_id"], "l_n"), by_season, ["location_id", "year"], "t_n")
+    known = c("year").isNotNull()
+    by_location = by_season.groupBy("location_id").agg(
+        F.sum("n").alias("l_n"), F.sum("n_coef").alias("l_coef"), F.sum("s_coef").alias("l_sum"), F.sum("n_cls").alias("l_veg"),
+        F.sum(F.when(known, c("n")).otherwise(0)).alias("l_pheno_year"), F.sum(c("year") * c("n")).alias("l_years"), F.min("year").alias("l_first"), F.max("year").alias("l_last"),
+        *[F.sum(f"s_{k}").alias(f"s_{k}") for k in CLASSES],
+        *[F.sum(f"n_{k}").alias(f"n_{k}") for k in CLASSES],
+        *[F.bit_or(F.when(known & c(f"h_{k}"), bit)).alias(f"y_{k}") for k in CLASSES],
+        F.map_from_entries(F.collect_list(F.when(known & (c("n_coef") > 0), F.struct("year", F.struct(c("n_coef").alias("n"), c("s_coef").alias("s")))))).alias("seasons"),
+    )
+    return join_key_stats(rows, materialise(by_location, "places"), ["location_id"], "l_n")
 
 
 def _encoded(rows: DataFrame) -> DataFrame:
-    """Cells as doubles x0, x1, ..., null where missing; gap_year is completed by _matrix from the bits in ``gaps``."""
+    """Cells as doubles x0, x1, ..., null where missing; gaps: seasons (bits) within the location's span in which the class has no record; free: classes that the season lacks."""
     c = F.col
-    full_year = c("year").cast("double")
-    mine = {k: F.when(c("cls") == k, F.coalesce(c("coef"), F.lit(0.0))).otherwise(0.0) for k in CLASSES}
-    held = {k: F.when((c("cls") == k) & c("coef").isNotNull(), 1).otherwise(0) for k in CLASSES}
-    mean = {k: F.when(c(f"n_{k}") > held[k], (c(f"s_{k}") - mine[k]) / F.nullif(c(f"n_{k}") - held[k], F.lit(0))) for k in CLASSES}
-    own = F.when(F.lit(False), 0.0)
-    gaps = F.when(F.lit(False), F.lit(0).cast("long"))
-    # Seasons of the location's span in which the class has no record: that is where a record without a season belongs.
+    here, zero = c("coef").isNotNull(), F.lit(0).cast("long")
+    less = lambda total, n, value, own: F.when(n > own, (total - value) / F.nullif(n - own, F.lit(0)))  # noqa: E731  # the mean of the others
+    one, mine = F.when(here, 1).otherwise(0), F.coalesce(c("coef"), F.lit(0.0))
+    mean = {k: less(c(f"s_{k}"), c(f"n_{k}"), F.when(c("cls") == k, mine).otherwise(0.0), F.when(c("cls") == k, one).otherwise(0)) for k in CLASSES}
+    own, gaps = F.when(F.lit(False), 0.0), F.when(F.lit(False), zero)
     span = F.expr(f"shiftleft(1L, l_last - {FIRST_YEAR}) * 2 - shiftleft(1L, l_first - {FIRST_YEAR})")
     for k in CLASSES:
         own = own.when(c("cls") == k, mean[k])
-        gaps = gaps.when(c("cls") == k, span.bitwiseAND(F.bitwise_not(F.coalesce(c(f"y_{k}"), F.lit(0).cast("long")))))
-    others = c("t_held") - F.when(c("coef").isNotNull(), 1).otherwise(0)
-    open_ = F.transform(F.split(F.reverse(F.lpad(F.bin(gaps), LAST_YEAR - FIRST_YEAR + 1, "0")), ""), lambda b: b.cast("int"))
-    rest = F.when(c("year").isNotNull() & (others == len(CLASSES) - 1), 1 - (F.coalesce(c("t_sum"), F.lit(0.0)) - F.coalesce(c("coef"), F.lit(0.0))))
-    near = {k: F.when(c("coef").isNotNull() & mean[k].isNotNull(), F.exp(-F.pow((c("coef") - mean[k]) / 0.05, 2) / 2)) for k in CLASSES}
-    # A class that another record of the same season already has is no candidate.
-    taken = {k: F.when((F.coalesce(c(f"t_{k}"), F.lit(0)) == 1) & ~(F.coalesce(c("cls"), F.lit("")) == k), 0.0).otherwise(1.0) for k in CLASSES}
-    # Of the open seasons the one whose other classes leave just this coefficient.
-    fits = F.filter("seasons", lambda s: (s["t_held"] == len(CLASSES) - 1) & (F.abs(1 - s["t_sum"] - c("coef")) < 0.002) & (F.get(open_, s["year"] - FIRST_YEAR) == 1))
-    match = F.array_min(F.transform(fits, lambda s: F.struct(F.abs(1 - s["t_sum"] - c("coef")).alias("d"), s["year"].alias("y"))))["y"]
-    cells = [c("coef"), *[c(n) for n in PLAIN[1:-1]], full_year]
+        gaps = gaps.when(c("cls") == k, span.bitwiseAND(F.bitwise_not(F.coalesce(c(f"y_{k}"), zero))))
+    season = F.try_element_at("seasons", c("year"))
+    dated = F.when(c("year").isNotNull(), 1).otherwise(0)
+    near = {k: F.when(here & mean[k].isNotNull(), F.exp(-F.pow((c("coef") - mean[k]) / NEAR, 2) / 2)) for k in CLASSES}
+    taken = {k: F.expr(f"coalesce(shiftright(y_{k}, year - {FIRST_YEAR}) & 1L, 0L) = 1") for k in CLASSES}
+    cells = [c("coef"), *[c(n) for n in PLAIN[1:-1]], c("year").cast("double")]
     cells += [F.when(c("cls").isNotNull(), (c("cls") == k).cast("double")) for k in CLASSES]
-    cells += [own, rest, F.when(c("year").isNull(), match.cast("double")).otherwise(full_year)]
-    cells += [near[k] * taken[k] for k in CLASSES]
+    cells += [own, less(season["s"], season["n"], mine, one), less(c("l_sum"), c("l_coef"), mine, one), less(c("l_years"), c("l_pheno_year"), F.coalesce(c("year"), F.lit(0)), dated)]
+    cells += [near[k] for k in CLASSES]
+    free = sum((F.when(taken[k], 0).otherwise(1 << i) for i, k in enumerate(CLASSES)), F.lit(0))
     return rows.select(
         "coef_row_id", "location_id", "coef", "cls", "year", "l_coef", "l_veg", "l_pheno_year",
-        *[x.cast("double").alias(f"x{i}") for i, x in enumerate(cells)],
-        F.when(c("year").isNull(), gaps).alias("gaps"), *[(taken[k] == 1.0).alias(f"free{i}") for i, k in enumerate(CLASSES)],
+        *[x.cast("double").alias(f"x{i}") for i, x in enumerate(cells)], F.when(c("year").isNull(), gaps).alias("gaps"), free.cast("int").alias("free"),
     )
 
 
@@ -104,14 +101,7 @@ def _open_years(gaps: np.ndarray) -> np.ndarray:
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    x = pdf[[f"x{i}" for i in range(len(CELLS))]].to_numpy(float, copy=True)
-    rows = np.flatnonzero(pdf["gaps"].notna().to_numpy() & np.isnan(x[:, CELLS.index("gap_year")]))
-    if len(rows):
-        open_ = _open_years(pdf["gaps"].to_numpy(float)[rows].astype(np.int64))
-        n = open_.sum(axis=1)
-        mean = (open_ @ np.arange(FIRST_YEAR, LAST_YEAR + 1)) / np.maximum(n, 1)
-        x[rows, CELLS.index("gap_year")] = np.where(n > 0, mean, np.nan)
-    return x
+    return np.column_stack([pdf[f"x{i}"].to_numpy(float) for i in range(len(CELLS))])
 
 
 def _records(x: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -156,7 +146,7 @@ def _fit(cells: DataFrame, sweeps: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     mean = np.array([row[f"m{i}"] or 0.0 for i in range(width)])
     scale = np.array([row[f"s{i}"] or 0.0 for i in range(width)])
     scale[scale < 1e-9] = 1.0
-    inputs = cells.select("gaps", *[f"x{i}" for i in range(width)])
+    inputs = cells.select(*[f"x{i}" for i in range(width)])
     v, w = np.zeros((width, RANK)), np.ones(width)
 
     def moments(pdf: pd.DataFrame) -> np.ndarray:
@@ -192,9 +182,9 @@ def fill_missing(coefficient: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
 
     Missing: coef that is no number from 0 to 1; veg that names no class; pheno_year null or outside 1986 to 2025.
     Columns: coef_row_id, location_id, coef, veg, pheno_year (all filled) and for each field f: f_imputed (the value was filled) and
-    f_supported (filled, and some other record of the location has the field). A filled coef lies in 0 to 1; a filled veg is one of the
-    classes, one that no other record of that location and season has if there is such a class; a filled pheno_year lies in the range,
-    in a season of the location's span in which the class has no record if there is one. Repeated rows count once; records with a null
+    f_supported (filled, and some other record of the location has the field). A filled coef lies in 0 to 1; a filled veg is the likeliest of the
+    classes that no other record of that location and season has if there is such a class; a filled pheno_year lies in the range, the nearest season to the fitted one
+    of those of the location's span in which the class has no record if there is one. Repeated rows count once; records with a null
     location are filled from all other records (supported: false); an empty table gives an empty table.
     """
     cells = materialise(_encoded(_with_context(materialise(_rows(coefficient), "records"))), "cells")
@@ -210,15 +200,14 @@ def fill_missing(coefficient: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
             no_coef, no_veg, no_year = np.isnan(coef), pdf["cls"].isna().to_numpy(), np.isnan(year)
             coef = np.where(no_coef, np.clip(fitted[:, at["coef"]], 0, 1), coef)
             veg = pdf["cls"].to_numpy(object).copy()
-            scores = fitted[:, first_class : first_class + len(CLASSES)]
-            free = pdf[[f"free{i}" for i in range(len(CLASSES))]].to_numpy(bool)
+            free = (pdf["free"].to_numpy(int)[:, None] >> np.arange(len(CLASSES))) & 1 == 1
             free[~free.any(axis=1)] = True
-            best = np.where(free, scores, -np.inf).argmax(axis=1)
+            best = np.where(free, fitted[:, first_class : first_class + len(CLASSES)], -np.inf).argmax(axis=1)
             veg[no_veg] = np.array(CLASSES, dtype=object)[best[no_veg]]
             guess = np.clip(np.rint(fitted[:, at["year"]]), FIRST_YEAR, LAST_YEAR)
             rows = np.flatnonzero(no_year & pdf["gaps"].notna().to_numpy())
             open_ = _open_years(pdf["gaps"].to_numpy(float)[rows].astype(np.int64))
-            far = np.abs(np.arange(FIRST_YEAR, LAST_YEAR + 1)[None, :] - fitted[rows, at["year"]][:, None]) + np.where(open_, 0, 1e6)
+            far = np.where(open_, np.abs(np.arange(FIRST_YEAR, LAST_YEAR + 1) - fitted[rows, at["year"]][:, None]), np.inf)
             guess[rows] = np.where(open_.any(axis=1), FIRST_YEAR + far.argmin(axis=1), guess[rows])
             out = pd.DataFrame({"coef_row_id": pdf["coef_row_id"], "location_id": pdf["location_id"], "coef": coef, "veg": veg, "pheno_year": np.where(no_year, guess, year).astype("int32")})
             for name, gone in (("coef", no_coef), ("veg", no_veg), ("pheno_year", no_year)):
@@ -230,6 +219,32 @@ def fill_missing(coefficient: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     return cells.mapInPandas(decode, f"coef_row_id bigint, location_id string, coef double, veg string, pheno_year int, {flags}")
 
 
+def held_out(coefficient: DataFrame, every: int = 20) -> DataFrame:
+    """field, n, error, plain_error, spread: how well values come back that were hidden, one in ``every`` of each field by a hash of the row id.
+
+    coef: mean absolute error (its interval columns are hidden with it), against the mean of the location and class; spread is the sd of the true values. veg: share of wrong classes, against the most frequent class of the
+    location. pheno_year: share of wrong seasons, against the median season of the location. Only values that other records of the location support count.
+    """
+    hide = lambda name: F.pmod(F.xxhash64(F.lit(name), "coef_row_id"), F.lit(every)) == 0
+    masked = coefficient.withColumns({n: F.when(~hide("coef"), F.col(n)) for n in ("coef", "coef_median", "coef_025", "coef_975", "coef_interval") if n in coefficient.columns})
+    masked = materialise(masked.withColumns({n: F.when(~hide(n), F.col(n)) for n in ("veg", "pheno_year")}), "masked")
+    truth = _rows(coefficient).dropDuplicates(["coef_row_id"]).select("coef_row_id", F.col("coef").alias("t_coef"), F.col("cls").alias("t_veg"), F.col("year").alias("t_pheno_year"))
+    seen = _rows(masked)
+    by_class = seen.groupBy("location_id", "cls").agg(F.avg("coef").alias("p_coef"))
+    modes = seen.where("cls is not null").groupBy("location_id", "cls").agg(F.count(F.lit(1)).alias("k")).groupBy("location_id").agg(F.min_by("cls", F.struct(-F.col("k"), F.col("cls"))).alias("p_veg"))
+    years = seen.groupBy("location_id").agg(F.percentile_approx("year", 0.5).alias("p_pheno_year"), F.avg("coef").alias("p_any"))
+    j = fill_missing(masked).join(truth, "coef_row_id").join(years, "location_id", "left").join(modes, "location_id", "left")
+    j = materialise(j.join(by_class.withColumnRenamed("cls", "veg"), ["location_id", "veg"], "left").withColumn("p_coef", F.coalesce("p_coef", "p_any")), "judged")
+    out = None
+    for name in ("coef", "veg", "pheno_year"):
+        own = j.where(hide(name) & F.col(f"{name}_supported") & F.col(f"t_{name}").isNotNull())
+        miss = (lambda a: F.abs(F.col(a) - F.col("t_coef"))) if name == "coef" else (lambda a, t=f"t_{name}": (~F.col(a).eqNullSafe(F.col(t))).cast("double"))
+        spread = F.stddev_pop("t_coef") if name == "coef" else F.lit(None).cast("double")
+        one = own.agg(F.lit(name).alias("field"), F.count(F.lit(1)).alias("n"), F.avg(miss(name)).alias("error"), F.avg(miss(f"p_{name}")).alias("plain_error"), spread.alias("spread"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def filled_cells(filled: DataFrame) -> DataFrame:
     """One row for each filled value that other records of the location support: coef_row_id, field."""
     fields = F.array(*[F.when(F.col(f"{n}_supported"), F.lit(n)) for n in ("coef", "veg", "pheno_year")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reedbed.functions.numeric import clamp, ratio
 from reedbed.operators.harmonise import affine_column
+from reedbed.operators.ranks import group_percentiles
 
 
 def sensor_pairs(df: DataFrame, bands: list[str], keys: tuple[str, ...] = ("location_id", "date")) -> DataFrame:
@@ -60,10 +61,8 @@ def bias_stats(pairs: DataFrame, groups: list[str]) -> DataFrame:
     d = F.col("val_89") - F.col("val_457")
     ok = pairs.where(d.isNotNull())
     corr = F.corr("val_457", "val_89")
-    return ok.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), F.median(d).alias("median_bias"), F.stddev_samp(d).alias("sd_bias"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"),
-        (corr * corr).alias("r2"), (F.stddev_samp(d) / F.sqrt(F.count(F.lit(1)))).alias("se"),
-    )
+    return group_percentiles(ok, groups, {"median_bias": d}, [0.5], also={
+        "n": F.count(F.lit(1)), "sd_bias": F.stddev_samp(d), "rmse": F.sqrt(F.avg(d * d)), "mae": F.avg(F.abs(d)), "r2": corr * corr, "se": F.stddev_samp(d) / F.sqrt(F.count(F.lit(1)))})
 
 
 def raw_and_corrected(df: DataFrame, bands: list[str], terms: dict) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from reedbed.functions.indices import CANOPY_MAX, FULL_COVER, LATITUDE_DEFAULT, cos_zenith, ppi
 from reedbed.functions.numeric import clamp
-
+from reedbed.operators.ranks import group_percentiles
+from reedbed.session import materialise
 
 
 def dvi() -> Column:
@@ -16,9 +17,10 @@ def dvi() -> Column:
 
 def low_quantile_baseline(df: DataFrame, key: str = "location_id", p: float = 0.1, at_least: int = 5) -> DataFrame:
     """Soil value of each location: median of the DVI values at or below their p-quantile, of locations with enough values."""
-    v = df.select(key, dvi().alias("v")).where("v is not null")
-    cut = v.groupBy(key).agg(F.percentile("v", F.lit(p)).alias("q"), F.count("v").alias("n")).where(F.col("n") >= at_least)
-    return v.join(cut, key).where("v <= q").groupBy(key).agg(F.median("v").alias("soil"), F.first("n").alias("n"))
+    v = materialise(df.select(key, dvi().alias("v")).where("v is not null"), "dvi")
+    counts = v.groupBy(key).agg(F.count("v").alias("n")).where(F.col("n") >= at_least)
+    cut = group_percentiles(v, [key], {"q": "v"}, [p])
+    return group_percentiles(v.join(cut, key).where("v <= q"), [key], {"soil": "v"}, [0.5]).join(counts, key)
 
 
 def winter_baseline(df: DataFrame, key: str = "location_id", months: tuple[int, ...] = (1, 2, 3), at_least: int = 1) -> DataFrame:
@@ -49,6 +51,7 @@ def barren_floor(peak_ppi: Column, full: float = FULL_COVER) -> Column:
 
 def ppi_scaler(df: DataFrame) -> DataFrame:
     """Median clamped index of each location and season, null as 0."""
-    return df.groupBy("location_id", "py").agg(clamp(F.coalesce(F.median("ppi_norm"), F.lit(0.0))).alias("scaler"))
+    medians = group_percentiles(df, ["location_id", "py"], {"scaler": "ppi_norm"}, [0.5])
+    return medians.withColumn("scaler", clamp(F.coalesce("scaler", F.lit(0.0))))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reedbed.functions.numeric import ratio
 from reedbed.operators.harmonise import haversine_km
+from reedbed.operators.ranks import group_percentiles
 from reedbed.operators.relational import lag_join
 from reedbed.session import materialise
 
@@ -121,8 +122,10 @@ def separability(medians: DataFrame, flag: Column, columns: list[str]) -> DataFr
 
 def signal_to_noise(df: DataFrame, key: str, columns: list[str], eps: float = 1e-9) -> DataFrame:
     """index_name, snr: squared span of the 1st to 99th percentile over the median variance within locations."""
-    span = df.agg(*[F.pow(F.percentile(c, F.lit(0.99)) - F.percentile(c, F.lit(0.01)), F.lit(2.0)).alias(c) for c in columns]).unpivot([], columns, "index_name", "signal")
-    noise = df.groupBy(key).agg(*[F.var_samp(c).alias(c) for c in columns]).agg(*[F.median(c).alias(c) for c in columns]).unpivot([], columns, "index_name", "noise")
+    df = materialise(df.select(key, *columns), "indices")
+    ends = group_percentiles(df, [], {c: c for c in columns}, [0.01, 0.99])
+    span = ends.select(*[F.pow(F.col(f"{c}_1") - F.col(f"{c}_0"), F.lit(2.0)).alias(c) for c in columns]).unpivot([], columns, "index_name", "signal")
+    noise = group_percentiles(df.groupBy(key).agg(*[F.var_samp(c).alias(c) for c in columns]), [], {c: c for c in columns}, [0.5]).unpivot([], columns, "index_name", "noise")
     return span.join(noise, "index_name").withColumn("snr", F.col("signal") / (F.col("noise") + eps))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reedbed.functions.numeric import ratio
+from reedbed.operators.ranks import group_percentiles
 
 
 def trace_vectors(filled: DataFrame, last_bin: int = 36) -> DataFrame:
@@ -56,14 +57,14 @@ def label_groups(df: DataFrame, label: str, place: str, at_least: int) -> DataFr
 def medoids(df: DataFrame, groups: list[str], key: str, x: str = "x") -> DataFrame:
     """groups, key, distance: the vector of each group nearest to its column medians; of equals the smallest key."""
     long = df.select(*groups, key, F.posexplode(x).alias("pos", "v"))
-    med = long.groupBy(*groups, "pos").agg(F.median("v").alias("m"))
+    med = group_percentiles(long, [*groups, "pos"], {"m": "v"}, [0.5])
     d = long.join(med, [*groups, "pos"]).groupBy(*groups, key).agg(F.sum(F.pow(F.coalesce(F.col("v"), F.col("m")) - F.col("m"), F.lit(2.0))).alias("distance"))
     return d.groupBy(*groups).agg(F.min(F.struct("distance", key)).alias("b")).select(*groups, f"b.{key}", "b.distance")
 
 
 def class_templates(bins: DataFrame, columns: list[str]) -> DataFrame:
     """veg, bin, row_id: the standardised row nearest to the column medians of its class and bin. bins: veg, bin, row_id, columns."""
-    med = bins.groupBy("veg", "bin").agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
+    med = group_percentiles(bins, ["veg", "bin"], {f"_m_{c}": c for c in columns}, [0.5])
     d = sum((F.pow(F.coalesce(F.col(c) - F.col(f"_m_{c}"), F.lit(0.0)), F.lit(2.0)) for c in columns[1:]), F.pow(F.coalesce(F.col(columns[0]) - F.col(f"_m_{columns[0]}"), F.lit(0.0)), F.lit(2.0)))
     rows = bins.join(med, ["veg", "bin"]).withColumn("d", F.round(d + 1e-12, 9))
     return rows.groupBy("veg", "bin").agg(F.min(F.struct("d", "row_id")).alias("b")).select("veg", "bin", "b.row_id", F.col("b.d").alias("distance"))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reedbed.operators.ranks import group_percentiles
 from reedbed.operators.soil import barren_floor
 from reedbed.operators.traces import cosine, unit
 from reedbed.session import materialise
@@ -402,7 +403,7 @@ def _greedy(v: DataFrame, sizes: dict[str, int], numbers: dict[str, int], kind:
     """
     long = v.select("cls", F.posexplode("x").alias("pos", "v")).where("v is not null and not isnan(v)")
     med = {}
-    for r in long.groupBy("cls", "pos").agg(F.median("v").alias("m")).collect():  # classes x features
+    for r in group_percentiles(long, ["cls", "pos"], {"m": "v"}, [0.5]).collect():  # classes x features
         med.setdefault(r["cls"], {})[r["pos"]] = r["m"]
     length = v.agg(F.max(F.size("x"))).first()[0]
     med = {c: np.array([med.get(c, {}).get(i, 0.0) for i in range(length)]) for c in sizes}

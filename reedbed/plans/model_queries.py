@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from reedbed.functions import indices as ix
 from reedbed.functions.numeric import r6
 from reedbed.operators import filters, harmonise, relational as rel, resample, soil, stats, traces, unmix
+from reedbed.operators.ranks import group_percentiles
 from reedbed.plans.expression_queries import _PPI, _SOIL, sr
 from reedbed.plans.relational_queries import _BINS, _FILL, _SCALER, _SERIES, BANDS, class_years, rounded, water_years
 from reedbed.plans.views import SQL_COEFS, SQL_INDICES, SQL_LIBRARY, SQL_OBS, SQL_PLACES, SQL_WATER, coefs, library, obs, places, with_
@@ -92,7 +93,7 @@ _IDX = ("ndvi", "ndmi", "psri", "msi")
        + " UNION ALL ".join(f"SELECT '{i}' AS index_name, {sr(f'''(avg(CASE WHEN veg='populus' THEN {i} END) - avg(CASE WHEN veg<>'populus' THEN {i} END)) / sqrt((var_samp(CASE WHEN veg='populus' THEN {i} END) + var_samp(CASE WHEN veg<>'populus' THEN {i} END)) / 2)''', 'separability')} FROM m" for i in _IDX))
 def separability(spark: SparkSession, d: str) -> DataFrame:
     o = ix.with_indices(obs(spark, d).where(filters.in_months((7, 8, 9))).where("veg in ('barren', 'populus')"))
-    medians = o.groupBy("location_id", "veg").agg(*[F.median(i).alias(i) for i in _IDX])
+    medians = group_percentiles(o, ["location_id", "veg"], {i: i for i in _IDX}, [0.5])
     return rounded(stats.separability(medians, F.col("veg") == "populus", list(_IDX)), "separability")
 
 
@@ -227,7 +228,7 @@ def bin_medoid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _class_vectors(spark: SparkSession, d: str) -> list[tuple[str, str, np.ndarray]]:
-    rows = filters.known_class(obs(spark, d)).groupBy("veg").agg(*[F.median(b).alias(b) for b in BANDS]).orderBy("veg").collect()  # four rows
+    rows = group_percentiles(filters.known_class(obs(spark, d)), ["veg"], {b: b for b in BANDS}, [0.5]).orderBy("veg").collect()  # four rows
     return [(r["veg"], f"{r['veg']}_opt_1", np.array([r[b] for b in BANDS])) for r in rows]
 
 
@@ -269,8 +270,9 @@ r AS (SELECT *, 1 - wb AS wv, sqrt(({' + '.join(f'pow({b} - wb * b_{b} - (1 - wb
 @query(with_(SQL_OBS) + _VARIANTS + f" SELECT location_id, py, {sr('rmse', 'rmse')} FROM s")
 def variant_search(spark: SparkSession, d: str) -> DataFrame:
     """Smallest rmse over all pairs of a variant of bare ground and one of a vegetated class; a class has a summer variant and another."""
-    half = F.when(filters.in_months((6, 7, 8, 9)), "summer").otherwise("other").alias("half")
-    rows = obs(spark, d).where("veg in ('barren', 'populus', 'tamarix')").groupBy("veg", half).agg(*[F.median(b).alias(b) for b in BANDS]).orderBy("veg", "half").collect()  # six rows
+    half = F.when(filters.in_months((6, 7, 8, 9)), "summer").otherwise("other")
+    known = obs(spark, d).where("veg in ('barren', 'populus', 'tamarix')").withColumn("half", half)
+    rows = group_percentiles(known, ["veg", "half"], {b: b for b in BANDS}, [0.5]).orderBy("veg", "half").collect()  # six rows
     lib = [(r["veg"], f"{r['veg']}_{r['half']}", np.array([r[b] for b in BANDS])) for r in rows]
     return rounded(unmix.unmix(_season_vectors(spark, d), lib, _KEYS, active=1).where("cls = 'barren'").select("location_id", "py", "rmse"), "rmse")
 
@@ -480,6 +482,6 @@ def true_class(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_(SQL_COEFS) + "SELECT veg, replace(printf('%.3f', round(avg(coef) + 1e-9, 6)), '.', ',') || ' ± ' || replace(printf('%.3f', round((quantile_cont(coef, 0.975) - quantile_cont(coef, 0.025)) / 2 + 1e-9, 6)), '.', ',') AS text FROM coefs GROUP BY 1")
 def summary_text(spark: SparkSession, d: str) -> DataFrame:
-    q = coefs(spark, d).groupBy("veg").agg(F.avg("coef").alias("m"), F.percentile("coef", F.lit(0.025)).alias("l"), F.percentile("coef", F.lit(0.975)).alias("h"))
-    half = r6((F.col("h") - F.col("l")) / 2)
+    q = group_percentiles(coefs(spark, d), ["veg"], {"q": "coef"}, [0.025, 0.975], also={"m": F.avg("coef")})
+    half = r6((F.col("q_1") - F.col("q_0")) / 2)
     return q.select("veg", resample.summary_text(r6(F.col("m")), -half, half).alias("text"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reedbed.operators.control_chart import flag_readings
 from reedbed.operators.grid import ten_day_grid
-from reedbed.operators.impute import fill_missing, filled_cells
+from reedbed.operators.impute import fill_missing, filled_cells, held_out
 from reedbed.operators.neighbours import radius_pairs
 from reedbed.session import table
 
@@ -38,6 +38,10 @@ def p5_filled(spark: SparkSession, folder: str) -> DataFrame:
     return fill_missing(table(spark, folder, "coefficient"))
 
 
+def p5_held_out(spark: SparkSession, folder: str) -> DataFrame:
+    return held_out(table(spark, folder, "coefficient"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_reasons(spark, folder).select("obs_id", "band")
 
@@ -47,7 +51,7 @@ def p6_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return flag_readings(rows, "location_id", "acquired_at", "obs_id", BANDS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p3_found, p5_found, p5_filled, p6_found, p6_reasons)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p3_found, p5_found, p5_filled, p5_held_out, p6_found, p6_reasons)}
 
 _GRID = """
 WITH r AS (SELECT DISTINCT obs_id, location_id, date, nir FROM observation

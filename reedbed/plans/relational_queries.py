@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reedbed.functions import indices as ix
 from reedbed.functions.numeric import r6
 from reedbed.operators import filters, harmonise, relational as rel, soil
+from reedbed.operators.ranks import group_percentiles
 from reedbed.plans.expression_queries import _PPI, _SOIL, sr
 from reedbed.plans.views import SQL_COEFS, SQL_INDICES, SQL_OBS, SQL_PLACES, SQL_SCANS, SQL_WATER, coefs, obs, places, scans, water, with_
 from reedbed.session import table
@@ -135,7 +136,7 @@ def gw_yearly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def water_years(spark: SparkSession, d: str) -> DataFrame:
-    return water(spark, d).groupBy("sheet", "year").agg(F.avg("depth").alias("gw_mean"), F.median("depth").alias("gw_median"), F.count(F.lit(1)).alias("n_obs"))
+    return group_percentiles(water(spark, d), ["sheet", "year"], {"gw_median": "depth"}, [0.5], also={"gw_mean": F.avg("depth"), "n_obs": F.count(F.lit(1))})
 
 
 def class_years(spark: SparkSession, d: str) -> DataFrame:
@@ -209,12 +210,13 @@ def images_per_year(spark: SparkSession, d: str) -> DataFrame:
 SELECT py, """ + ", ".join(sr(f"quantile_cont({c}, {q})", f"{c}_{int(q * 100)}") for c in ("n", "days", "span") for q in (0.25, 0.5, 0.75)) + " FROM c GROUP BY 1")
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     c = obs(spark, d).groupBy("location_id", "py").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doy").alias("days"), (F.max("doy") - F.min("doy")).alias("span"))
-    return c.groupBy("py").agg(*[r6(F.percentile(x, F.lit(q))).alias(f"{x}_{int(q * 100)}") for x in ("n", "days", "span") for q in (0.25, 0.5, 0.75)])
+    got = group_percentiles(c, ["py"], {x: x for x in ("n", "days", "span")}, [0.25, 0.5, 0.75])
+    return got.select("py", *[r6(F.col(f"{x}_{i}")).alias(f"{x}_{q}") for x in ("n", "days", "span") for i, q in enumerate((25, 50, 75))])
 
 
 @query(with_(SQL_COEFS) + f"SELECT location_id, py, lat, lon, veg, {sr('median(coef)', 'coef')}, count(*) AS n FROM coefs GROUP BY 1, 2, 3, 4, 5")
 def collapse_variants(spark: SparkSession, d: str) -> DataFrame:
-    return coefs(spark, d).groupBy("location_id", "py", "lat", "lon", "veg").agg(r6(F.median("coef")).alias("coef"), F.count(F.lit(1)).alias("n"))
+    return rounded(group_percentiles(coefs(spark, d).withColumnRenamed("coef", "c"), ["location_id", "py", "lat", "lon", "veg"], {"coef": "c"}, [0.5], also={"n": F.count(F.lit(1))}), "coef")
 
 
 @query(with_(SQL_COEFS) + f"SELECT py, veg, {sr('avg(coef)', 'mean')}, {sr('stddev_samp(coef)', 'sd')}, count(*) AS n, {sr('stddev_samp(coef) / sqrt(count(*))', 'se')} FROM coefs GROUP BY 1, 2")
@@ -235,12 +237,13 @@ def class_summary(spark: SparkSession, d: str) -> DataFrame:
     o = obs(spark, d).where(F.month("date").isin(1, 2, 3, 7, 8, 9)).withColumns({"season": season, "ndvi": ix.spectral_indices()["ndvi"]})
     per = o.groupBy("location_id", "season").agg(F.avg("ndvi").alias("m"))
     j = per.join(places(spark, d).select("location_id", "veg"), "location_id", "left")
-    return j.groupBy("veg", "season").agg(F.count("m").alias("n"), r6(F.avg("m")).alias("ndvi"), r6(F.median("m")).alias("median"))
+    return rounded(group_percentiles(j, ["veg", "season"], {"median": "m"}, [0.5], also={"n": F.count("m"), "ndvi": F.avg("m")}), "ndvi", "median")
 
 
 @query(with_(SQL_OBS) + _SOIL + _PPI + f" SELECT veg, {sr('quantile_cont(ppi, 0.9)', 'p90')}, count(ppi) AS n FROM p GROUP BY 1")
 def p90_class(spark: SparkSession, d: str) -> DataFrame:
-    return soil.with_ppi(obs(spark, d)).groupBy("veg").agg(r6(F.percentile("ppi", F.lit(0.9))).alias("p90"), F.count("ppi").alias("n"))
+    rows = soil.with_ppi(obs(spark, d)).select("veg", "ppi")
+    return rounded(group_percentiles(rows, ["veg"], {"p90": "ppi"}, [0.9], also={"n": F.count("ppi")}), "p90")
 
 
 _SCALER = ", sc AS (SELECT location_id, py, least(greatest(coalesce(median(CASE WHEN ppi IS NOT NULL THEN least(greatest(ppi,0),1) END), 0), 0), 1) AS scaler FROM p GROUP BY 1, 2)"
@@ -254,7 +257,8 @@ def ppi_scaler(spark: SparkSession, d: str) -> DataFrame:
 @query(with_(SQL_OBS) + "SELECT " + ", ".join(sr(f"median({SQL_INDICES[i]})", i) for i in INDEX4) + ", " + ", ".join(sr(f"quantile_cont({SQL_INDICES[i]}, 0.02)", f"{i}_low") + ", " + sr(f"quantile_cont({SQL_INDICES[i]}, 0.98)", f"{i}_high") for i in INDEX4) + " FROM obs WHERE month(date) IN (7,8,9)")
 def summer_medians(spark: SparkSession, d: str) -> DataFrame:
     o = ix.with_indices(obs(spark, d).where(filters.in_months((7, 8, 9))))
-    return o.agg(*[r6(F.median(i)).alias(i) for i in INDEX4], *[r6(F.percentile(i, F.lit(q))).alias(f"{i}_{end}") for i in INDEX4 for q, end in ((0.02, "low"), (0.98, "high"))])
+    got = group_percentiles(o, [], {i: i for i in INDEX4}, [0.02, 0.5, 0.98])
+    return got.select(*[r6(F.col(f"{i}_{k}")).alias(i + end) for i in INDEX4 for k, end in enumerate(("_low", "", "_high"))])
 
 
 @query(with_(SQL_OBS) + "SELECT py, " + ", ".join(sr(f"avg({SQL_INDICES[i]})", i) for i in INDEX4) + " FROM obs WHERE month(date) BETWEEN 6 AND 9 GROUP BY 1")
