@@ -1,10 +1,11 @@
 """Points within a great-circle distance of each other.
 
-Voronoi partition around pivots with triangle-inequality replication, then a vantage-point tree in each cell.
+Voronoi partition around pivots with triangle-inequality replication, then a vantage-point tree in each cell. Pivots form a tree: cells with many points are split by
+pivots of their own, level by level, so a point is compared with FAN pivots a level however many cells there are.
 
 A point lives in the cell of its nearest pivot and is also copied to every cell whose pivot is at most 2r farther away
 than the nearest one: if d(x, y) <= r and x lives with pivot p, then d(y, p) <= d(x, p) + r <= d(x, q) + r <= d(y, q) + 2r for
-any pivot q. So every partner of x is present in x's own cell, and a pair is reported in the cell of its smaller id.
+any pivot q. So every partner of x is present in x's own cell, and a pair is reported in the cell of its smaller id. The same holds for the points of a cell and its own pivots.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reedbed.operators.skew import is_short
 from reedbed.session import materialise
 
 EARTH_M = 6_371_000.0
-#: Bound of the broadcast pivots (two doubles each).
-MAX_PIVOTS = 4096
+#: Pivots of a cell, and points of a task that deals them out to the cell's pivots.
+FAN, DEAL = 64, 50_000
 #: Added to bounds so that rounding cannot lose a pair; the final comparison is exact.
 SLACK_M = 1e-3
 
@@ -69,56 +71,105 @@ class VantageTree:
             stack.append((outer, q[d + radius + SLACK_M >= least_outside]))
 
 
-def choose_pivots(points: DataFrame, radius_m: float, points_per_cell: int) -> np.ndarray:
-    """At most MAX_PIVOTS positions (radians), in proportion to the density of the points and at least 6 radii apart.
-
-    A sample bounded by 4 x MAX_PIVOTS rows is enough: pivots steer the split of work only, every point is joined whatever they are.
-    """
-    total = points.count()
-    wanted = int(min(MAX_PIVOTS, max(1, total // points_per_cell)))
-    sample = points.select("lat", "lon").orderBy(F.xxhash64("lat", "lon", F.lit(17)), "lat", "lon").limit(4 * wanted).toPandas()
-    lat, lon = np.radians(sample["lat"].to_numpy(float)), np.radians(sample["lon"].to_numpy(float))
+def spaced(lat: np.ndarray, lon: np.ndarray, wanted: int, radius_m: float) -> np.ndarray:
+    """Numbers of at most ``wanted`` positions (radians), each at least 6 radii from the others, in order."""
     chosen: list[int] = []
     for i in range(len(lat)):
         if len(chosen) == wanted:
             break
         if not chosen or great_circle(lat[chosen], lon[chosen], lat[i], lon[i]).min() >= 6 * radius_m:
             chosen.append(i)
-    return np.column_stack([lat[chosen], lon[chosen]]) if chosen else np.zeros((0, 2))
+    return np.array(chosen, dtype=int)
+
+
+def _dealt(pdf: pd.DataFrame, lat: np.ndarray, lon: np.ndarray, radius_m: float) -> pd.DataFrame:
+    """Rows of pdf (id, lat, lon, home) in the cell of their nearest pivot and in all cells that may need them; child: number of the pivot."""
+    a, o = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
+    d = great_circle(a[:, None], o[:, None], lat[None, :], lon[None, :])
+    nearest = d.argmin(axis=1)
+    i, child = np.nonzero(d <= (d[np.arange(len(pdf)), nearest] + 2 * radius_m + SLACK_M)[:, None])
+    rows = pdf.iloc[i]
+    return rows.assign(home=rows["home"].to_numpy() & (nearest[i] == child), child=child)
+
+
+def voronoi_cells(points: DataFrame, radius_m: float, points_per_cell: int, block: int, fan: int = FAN) -> DataFrame:
+    """id, lat, lon, home, cell: every point in its own cell (home) and copies in the cells that may need it.
+
+    The first pivots come from a sample of at most 4 x ``fan`` points and are the only ones sent to all tasks. A cell with more than ``block`` points is split by up to ``fan`` pivots from a sample of its own points
+    (about 4 x ``fan``), as long as two of them are 6 radii apart; its points are dealt out in tasks of DEAL. Pivots steer the split of work only: every point is joined, whatever they are.
+    """
+    wanted = int(min(fan, max(1, points.count() // points_per_cell)))
+    first = points.select("lat", "lon").orderBy(F.xxhash64("lat", "lon", F.lit(17)), "lat", "lon").limit(4 * wanted).toPandas()
+    lat, lon = np.radians(first["lat"].to_numpy(float)), np.radians(first["lon"].to_numpy(float))
+    at = spaced(lat, lon, wanted, radius_m)
+    lat, lon = lat[at], lon[at]
+
+    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                out = _dealt(pdf.assign(home=True), lat, lon, radius_m)
+                yield out.assign(cell=1 + out["child"])[["id", "lat", "lon", "home", "cell"]]
+
+    schema = "id string, lat double, lon double, home boolean, cell bigint"
+    placed, level = materialise(points.mapInPandas(to_cells, schema), "cells"), 0
+    whole: list[DataFrame] = []
+    while True:
+        counts = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        big = materialise(counts.where(F.col("n") > block), "big")
+        if big.isEmpty() or level == 9:  # numbers of cells have room for ten levels, 64 ** 10 cells
+            whole.append(placed)
+            break
+        hint = lambda d: F.broadcast(d) if is_short(d) else d
+        joined = placed.join(hint(big), "cell")
+        some = joined.where(F.pmod(F.xxhash64("id", F.lit(17 + level)), F.col("n")) < 4 * fan)
+
+        def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("id").drop_duplicates(["lat", "lon"])
+            chosen = pdf.iloc[spaced(np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy()), fan, radius_m)]
+            return chosen[["cell", "n", "lat", "lon"]] if len(chosen) > 1 else chosen[["cell", "n", "lat", "lon"]].iloc[:0]
+
+        pivots = materialise(some.groupBy("cell").applyInPandas(pick, "cell bigint, n bigint, lat double, lon double"), "pivots")
+        split = pivots.select("cell").distinct()
+        whole.append(placed.join(hint(split), "cell", "left_anti"))
+        if split.isEmpty():
+            break
+        tasks = F.ceil(F.col("n") / DEAL).cast("int")
+        inside = joined.join(hint(split), "cell", "left_semi").withColumn("deal", F.pmod(F.xxhash64("id"), tasks).cast("int")).drop("n")
+        guides = pivots.select(F.lit(None).cast("string").alias("id"), "lat", "lon", F.lit(False).alias("home"), "cell", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("deal"))
+
+        def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+            guide = pdf["id"].isna().to_numpy()
+            p = pdf[guide].sort_values(["lat", "lon"])
+            out = [_dealt(part, np.radians(p["lat"].to_numpy()), np.radians(p["lon"].to_numpy()), radius_m) for part in np.array_split(pdf[~guide], max(1, int((~guide).sum()) // 20_000))] if not guide.all() else []
+            if not out:
+                return pdf.iloc[:0][["id", "lat", "lon", "home", "cell"]]
+            made = pd.concat(out)
+            return made.assign(cell=made["cell"] * FAN + made["child"])[["id", "lat", "lon", "home", "cell"]]
+
+        placed, level = materialise(inside.unionByName(guides).groupBy("cell", "deal").applyInPandas(deal, schema), "cells"), level + 1
+    out = whole[0]
+    for part in whole[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def radius_pairs(
-    df: DataFrame, key: str, radius_m: float, lat: str = "lat", lon: str = "lon", points_per_cell: int = 1500, block: int = 20_000
+    df: DataFrame, key: str, radius_m: float, lat: str = "lat", lon: str = "lon", points_per_cell: int = 200, block: int = 4_000
 ) -> DataFrame:
     """All pairs of different keys at most ``radius_m`` apart, each once: ``key``_1 < ``key``_2 (byte order), distance_m.
 
     A key in several rows counts once (its smallest position; where positions are given they agree in this data). Rows with a null
     key, a null or NaN coordinate, an impossible one or both 0 have no position. Keys at the same position are a pair; an empty
-    table gives no rows. Cells with more than ``block`` points are worked off in blocks of queries against blocks of points.
+    table gives no rows. Cells of more than ``block`` points that no further pivots split, because all lie within a few radii, are worked off in blocks of queries against blocks of points.
     """
-    spark = df.sparkSession
     points = df.select(F.col(key).cast("string").alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
     points = points.where("id is not null and lat between -90 and 90 and lon between -180 and 360 and not (lat = 0 and lon = 0)")
     points = materialise(points.groupBy("id").agg(F.min(F.struct("lat", "lon")).alias("p")).select("id", "p.lat", "p.lon"), "points")
-    pivots = spark.sparkContext.broadcast(choose_pivots(points, radius_m, points_per_cell))
-
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where = pivots.value
-        for pdf in batches:
-            a, o = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lon"].to_numpy())
-            for part in np.array_split(np.arange(len(pdf)), max(1, len(pdf) * len(where) // 4_000_000)):
-                d = great_circle(a[part][:, None], o[part][:, None], where[:, 0][None, :], where[:, 1][None, :])
-                home = d.argmin(axis=1)
-                near = d[np.arange(len(part)), home]
-                i, cell = np.nonzero(d <= (near + 2 * radius_m + SLACK_M)[:, None])
-                rows = pdf.iloc[part[i]]
-                yield pd.DataFrame({"id": rows["id"].to_numpy(), "lat": rows["lat"].to_numpy(), "lon": rows["lon"].to_numpy(), "cell": cell.astype("int32"), "home": home[i] == cell})
-
-    placed = materialise(points.mapInPandas(to_cells, "id string, lat double, lon double, cell int, home boolean"), "cells")
+    placed = voronoi_cells(points, radius_m, points_per_cell, block)
 
     # Cells over the block size: queries (home points) and points in blocks, every block of one against every block of the other.
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")).where("parts > 1")
-    placed = placed.join(F.broadcast(sizes), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # one row a pivot at most
+    placed = placed.join(F.broadcast(sizes) if is_short(sizes) else sizes, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     asking = placed.where("home").select("cell", part.alias("qb"), F.explode(every).alias("pb"), "id", "lat", "lon", F.lit(True).alias("asks"))

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from reedbed.operators import control_chart
+from reedbed.operators import control_chart, neighbours
 from reedbed.operators.control_chart import flag_readings, judge
 from reedbed.operators.grid import regular_grid, ten_day_grid
 from reedbed.operators.impute import fill_missing, filled_cells
@@ -207,3 +207,28 @@ def test_fit_from_sums_equals_fit_in_one_place(spark):
         own = pdf[pdf[column].notna()]
         want = control_chart._fitted(np.zeros(len(own), int), own["t"].to_numpy() / 86_400e6, own[column].to_numpy(float), 1)[0]
         assert np.allclose(got[band], want, rtol=1e-9, atol=1e-12)
+
+
+def _brute_pairs(rows, radius):
+    ids, lat, lon = zip(*rows, strict=True)
+    a, o = np.radians(lat), np.radians(lon)
+    i, j = np.triu_indices(len(ids), 1)
+    near = great_circle(a[i], o[i], a[j], o[j]) <= radius
+    return {tuple(sorted((ids[x], ids[y]))) for x, y in zip(i[near], j[near], strict=True)}
+
+
+def test_radius_pairs_of_split_cells(spark, monkeypatch):
+    """A line of points, a crowd that pivots can split, and a cluster within a few radii that they cannot."""
+    rng = np.random.default_rng(6)
+    rows = [(f"r{i}", 36 + i * 4e-4, 73.0) for i in range(300)] + [(f"c{i}", *xy) for i, xy in enumerate(rng.normal([36.05, 73.1], 0.01, (600, 2)))] + [(f"d{i}", *xy) for i, xy in enumerate(rng.uniform([36.2, 73.3], [36.2006, 73.3006], (150, 2)))]
+    df = spark.createDataFrame([(k, float(a), float(o)) for k, a, o in rows], "location_id string, lat double, lon double")
+    want = _brute_pairs(rows, 90.0)
+    for short in (True, False):
+        if not short:
+            monkeypatch.setattr(neighbours, "is_short", lambda d: False)
+        got = radius_pairs(df, "location_id", 90.0, points_per_cell=100, block=40).select("location_id_1", "location_id_2").collect()
+        assert len(got) == len(set(got)) and {tuple(sorted(r)) for r in got} == want
+    points = df.select(F.col("location_id").alias("id"), "lat", "lon")
+    cells = neighbours.voronoi_cells(points, 90.0, 100, 40).toPandas()
+    assert cells[cells.home].groupby("id").cell.count().eq(1).all() and cells.home.sum() == len(rows) and len(cells) < 6 * len(rows)
+    assert cells[~cells.id.str.startswith("d")].groupby("cell").id.count().max() <= 120
