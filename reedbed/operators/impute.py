@@ -22,11 +22,13 @@ from reedbed.session import materialise
 
 FIRST_YEAR, LAST_YEAR = 1986, 2025
 PLAIN = ("coef", "coef_median", "coef_025", "coef_975", "coef_sd", "rmse", "n_obs", "n_summer_obs", "year")
-CONTEXT = ("class_mean", "season_mean", "place_mean", "place_year")
+CONTEXT = ("class_mean", "season_sum", "season_n", "place_mean", "place_year", "year_mean")
 CELLS = (*PLAIN, *(f"is_{c}" for c in CLASSES), *CONTEXT, *(f"like_{c}" for c in CLASSES))
 RANK, RIDGE, SWEEPS, WEIGHT_MAX = 6, 0.05, 5, 30.0
 #: Width of the nearness of a value to the mean of a class.
 NEAR = 0.05
+#: Patterns of present cells whose second moments go to the driver.
+MAX_PATTERNS = 4096
 
 
 def _rows(coefficient: DataFrame) -> DataFrame:
@@ -46,53 +48,61 @@ def _rows(coefficient: DataFrame) -> DataFrame:
 
 
 def _with_context(rows: DataFrame) -> DataFrame:
-    """Adds what the records of the location hold, of a fixed size: sums and numbers by class, the seasons of each class as bits, sums by season (40 at most)."""
+    """Adds what the records of the location hold, of a fixed size: sums and numbers, by class as well, and the seasons of each class as bits; sums of its season; and the mean of class and season over all locations."""
     c = F.col
     bit = F.expr(f"shiftleft(1L, year - {FIRST_YEAR})")
     of = lambda cls: c("cls") == cls
-    by_season = rows.where("location_id is not null").groupBy("location_id", "year").agg(
-        F.count(F.lit(1)).alias("n"), F.count("coef").alias("n_coef"), F.sum("coef").alias("s_coef"), F.count("cls").alias("n_cls"),
+    by_location = rows.where("location_id is not null").groupBy("location_id").agg(
+        F.count(F.lit(1)).alias("l_n"), F.count("coef").alias("l_coef"), F.sum("coef").alias("l_sum"), F.count("cls").alias("l_veg"),
+        F.count("year").alias("l_pheno_year"), F.sum("year").alias("l_years"), F.min("year").alias("l_first"), F.max("year").alias("l_last"),
         *[F.sum(F.when(of(k), c("coef"))).alias(f"s_{k}") for k in CLASSES],
         *[F.count(F.when(of(k), c("coef"))).alias(f"n_{k}") for k in CLASSES],
-        *[F.max(of(k)).alias(f"h_{k}") for k in CLASSES],
+        *[F.bit_or(F.when(of(k), bit)).alias(f"y_{k}") for k in CLASSES],
     )
-    known = c("year").isNotNull()
-    by_location = by_season.groupBy("location_id").agg(
-        F.sum("n").alias("l_n"), F.sum("n_coef").alias("l_coef"), F.sum("s_coef").alias("l_sum"), F.sum("n_cls").alias("l_veg"),
-        F.sum(F.when(known, c("n")).otherwise(0)).alias("l_pheno_year"), F.sum(c("year") * c("n")).alias("l_years"), F.min("year").alias("l_first"), F.max("year").alias("l_last"),
-        *[F.sum(f"s_{k}").alias(f"s_{k}") for k in CLASSES],
-        *[F.sum(f"n_{k}").alias(f"n_{k}") for k in CLASSES],
-        *[F.bit_or(F.when(known & c(f"h_{k}"), bit)).alias(f"y_{k}") for k in CLASSES],
-        F.map_from_entries(F.collect_list(F.when(known & (c("n_coef") > 0), F.struct("year", F.struct(c("n_coef").alias("n"), c("s_coef").alias("s")))))).alias("seasons"),
-    )
-    return join_key_stats(rows, materialise(by_location, "places"), ["location_id"], "l_n")
+    by_season = rows.where("location_id is not null and year is not null").groupBy("location_id", "year").agg(F.count(F.lit(1)).alias("t_n"), F.count("coef").alias("t_held"), F.sum("coef").alias("t_sum"))
+    by_year = rows.where("cls is not null and year is not null").groupBy("cls", "year").agg(F.avg("coef").alias("year_mean"))  # classes x seasons, 160 rows at most
+    joined = join_key_stats(join_key_stats(rows, materialise(by_location, "places"), ["location_id"], "l_n"), materialise(by_season, "seasons"), ["location_id", "year"], "t_n")
+    return joined.join(F.broadcast(by_year), ["cls", "year"], "left")
 
 
 def _encoded(rows: DataFrame) -> DataFrame:
-    """Cells as doubles x0, x1, ..., null where missing; gaps: seasons (bits) within the location's span in which the class has no record; free: classes that the season lacks."""
-    c = F.col
-    here, zero = c("coef").isNotNull(), F.lit(0).cast("long")
-    less = lambda total, n, value, own: F.when(n > own, (total - value) / F.nullif(n - own, F.lit(0)))  # noqa: E731  # the mean of the others
-    one, mine = F.when(here, 1).otherwise(0), F.coalesce(c("coef"), F.lit(0.0))
-    mean = {k: less(c(f"s_{k}"), c(f"n_{k}"), F.when(c("cls") == k, mine).otherwise(0.0), F.when(c("cls") == k, one).otherwise(0)) for k in CLASSES}
-    own, gaps = F.when(F.lit(False), 0.0), F.when(F.lit(False), zero)
-    span = F.expr(f"shiftleft(1L, l_last - {FIRST_YEAR}) * 2 - shiftleft(1L, l_first - {FIRST_YEAR})")
-    for k in CLASSES:
-        own = own.when(c("cls") == k, mean[k])
-        gaps = gaps.when(c("cls") == k, span.bitwiseAND(F.bitwise_not(F.coalesce(c(f"y_{k}"), zero))))
-    season = F.try_element_at("seasons", c("year"))
-    dated = F.when(c("year").isNotNull(), 1).otherwise(0)
-    near = {k: F.when(here & mean[k].isNotNull(), F.exp(-F.pow((c("coef") - mean[k]) / NEAR, 2) / 2)) for k in CLASSES}
-    taken = {k: F.expr(f"coalesce(shiftright(y_{k}, year - {FIRST_YEAR}) & 1L, 0L) = 1") for k in CLASSES}
-    cells = [c("coef"), *[c(n) for n in PLAIN[1:-1]], c("year").cast("double")]
-    cells += [F.when(c("cls").isNotNull(), (c("cls") == k).cast("double")) for k in CLASSES]
-    cells += [own, less(season["s"], season["n"], mine, one), less(c("l_sum"), c("l_coef"), mine, one), less(c("l_years"), c("l_pheno_year"), F.coalesce(c("year"), F.lit(0)), dated)]
-    cells += [near[k] for k in CLASSES]
-    free = sum((F.when(taken[k], 0).otherwise(1 << i) for i, k in enumerate(CLASSES)), F.lit(0))
-    return rows.select(
-        "coef_row_id", "location_id", "coef", "cls", "year", "l_coef", "l_veg", "l_pheno_year",
-        *[x.cast("double").alias(f"x{i}") for i, x in enumerate(cells)], F.when(c("year").isNull(), gaps).alias("gaps"), free.cast("int").alias("free"),
-    )
+    """Cells as doubles x0, x1, ..., null where missing; gaps: seasons (bits) within the location's span in which the class has no record; free: classes (bits) that the season lacks."""
+    names = [f"x{i}" for i in range(len(CELLS))]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            col = {n: pdf[n].to_numpy(float) for n in pdf.columns if n not in ("coef_row_id", "location_id", "cls")}
+            zero = lambda n: np.nan_to_num(col[n])
+            coef, year, label = col["coef"], col["year"], pdf["cls"].to_numpy(object)
+            here, mine, dated = (~np.isnan(coef)).astype(float), np.nan_to_num(coef), (~np.isnan(year)).astype(float)
+            of = np.stack([label == k for k in CLASSES], axis=1)
+            some = of.any(axis=1)
+
+            def others(total: np.ndarray, n: np.ndarray, value: np.ndarray, own: np.ndarray) -> np.ndarray:
+                """Mean without the record itself; NaN without another."""
+                return np.where(n > own, (total - value) / np.where(n > own, n - own, 1.0), np.nan)
+
+            mean = np.stack([others(zero(f"s_{k}"), zero(f"n_{k}"), np.where(of[:, i], mine, 0.0), np.where(of[:, i], here, 0.0)) for i, k in enumerate(CLASSES)], axis=1)
+            seasons = np.stack([zero(f"y_{k}") for k in CLASSES], axis=1).astype(np.int64)  # 40 bits
+            at = np.nan_to_num(year, nan=FIRST_YEAR).astype(np.int64) - FIRST_YEAR
+            taken = (dated[:, None] > 0) & ((seasons >> at[:, None]) & 1 == 1)
+            first, last = (np.nan_to_num(col[n], nan=FIRST_YEAR).astype(np.int64) - FIRST_YEAR for n in ("l_first", "l_last"))
+            span = np.where(np.isnan(col["l_first"]), 0, (np.int64(2) << last) - (np.int64(1) << first))
+            cells = [coef, *[col[n] for n in PLAIN[1:-1]], year, *[np.where(some, of[:, i], np.nan) for i in range(len(CLASSES))]]
+            cells += [np.where(some, np.where(of, np.nan_to_num(mean), 0.0).sum(axis=1) + np.where((of & np.isnan(mean)).any(axis=1), np.nan, 0.0), np.nan)]
+            cells += [np.where(np.isnan(col["t_n"]), np.nan, zero("t_sum") - mine), np.where(np.isnan(col["t_n"]), np.nan, col["t_held"] - here)]
+            cells += [others(zero("l_sum"), zero("l_coef"), mine, here), others(zero("l_years"), zero("l_pheno_year"), np.nan_to_num(year), dated), col["year_mean"]]
+            cells += [np.where(here > 0, np.exp(-(((coef - mean[:, i]) / NEAR) ** 2) / 2), np.nan) for i in range(len(CLASSES))]
+            gaps = span & ~np.where(of, seasons, 0).sum(axis=1)
+            out = pdf[["coef_row_id", "location_id", "coef", "cls", "year", "l_coef", "l_veg", "l_pheno_year"]].assign(**dict(zip(names, cells, strict=True)))
+            out["gaps"] = pd.array(np.where(dated > 0, 0, gaps), dtype="Int64")
+            out.loc[(dated > 0) | ~some | np.isnan(col["l_n"]), "gaps"] = pd.NA
+            out["free"] = (~taken @ (1 << np.arange(len(CLASSES)))).astype("int32")
+            yield out
+
+    kinds = dict(rows.dtypes)
+    kept = ", ".join(f"{n} {kinds[n]}" for n in ("coef_row_id", "location_id", "coef", "cls", "year", "l_coef", "l_veg", "l_pheno_year"))
+    return rows.mapInPandas(work, f"{kept}, {', '.join(f'{n} double' for n in names)}, gaps bigint, free int")
 
 
 def _open_years(gaps: np.ndarray) -> np.ndarray:
@@ -135,10 +145,40 @@ def _summed(inputs: DataFrame, part: Callable[[pd.DataFrame], np.ndarray]) -> np
     return np.array([total[i] for i in range(len(total))]) if total else None
 
 
+def _patterns(inputs: DataFrame, mean: np.ndarray, scale: np.ndarray) -> dict[int, tuple[int, np.ndarray]] | None:
+    """Number of records and second moments (cells x cells) of each pattern of present cells; None if there are more than MAX_PATTERNS patterns."""
+    width = len(CELLS)
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for pdf in batches:
+            x = (_matrix(pdf) - mean) / scale
+            here = ~np.isnan(x)
+            code, x = here @ (1 << np.arange(width, dtype=np.int64)), np.nan_to_num(x)
+            kinds, which = np.unique(code, return_inverse=True)
+            order = np.argsort(which, kind="stable")
+            for kind, rows in zip(kinds.tolist(), np.split(order, np.cumsum(np.bincount(which))[:-1]), strict=True):
+                own = held.setdefault(kind, [0, np.zeros((width, width))])
+                own[0] += len(rows)
+                own[1] += x[rows].T @ x[rows]
+            if len(held) > 1000:
+                yield pd.DataFrame([(k, n, m.ravel()) for k, (n, m) in held.items()], columns=["code", "n", "s"])
+                held = {}
+        yield pd.DataFrame([(k, n, m.ravel()) for k, (n, m) in held.items()], columns=["code", "n", "s"]).astype({"code": "int64", "n": "int64"})
+
+    said = materialise(inputs.mapInPandas(moments, "code bigint, n bigint, s array<double>"), "moments")
+    if said.select("code").distinct().limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
+        return None
+    cells = said.select("code", "n", F.posexplode("s").alias("i", "v")).groupBy("code", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    whole = cells.groupBy("code").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("s"))
+    return {r["code"]: (r["n"], np.array(r["s"]).reshape(width, width)) for r in whole.collect()}  # at most MAX_PATTERNS
+
+
 def _fit(cells: DataFrame, sweeps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Means, scales, V and the weights of the cells (inverse residual variances, so that a telling cell outweighs a noisy one).
 
-    V starts from the leading axes of the pairwise-complete second moments; each sweep then reads the table once.
+    V starts from the leading axes of the pairwise-complete second moments. A record's row of U is a linear function of its present cells, the same for all records with the same pattern of them, so a sweep needs
+    only the second moments of each pattern: the table is read once for these. If there are too many patterns, every sweep reads the table and sums in the tasks.
     """
     width = len(CELLS)
     at = lambda i: F.col(f"x{i}")
@@ -148,14 +188,19 @@ def _fit(cells: DataFrame, sweeps: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     scale[scale < 1e-9] = 1.0
     inputs = cells.select(*[f"x{i}" for i in range(width)])
     v, w = np.zeros((width, RANK)), np.ones(width)
+    patterns = _patterns(inputs, mean, scale)
 
-    def moments(pdf: pd.DataFrame) -> np.ndarray:
+    def pairs(pdf: pd.DataFrame) -> np.ndarray:
         x = (_matrix(pdf) - mean) / scale
         here = (~np.isnan(x)).astype(float)
         x = np.nan_to_num(x)
         return np.concatenate([(x.T @ x).ravel(), (here.T @ here).ravel()])
 
-    flat = _summed(inputs, moments)
+    on = lambda code: (code >> np.arange(width)) & 1 == 1
+    if patterns is None:
+        flat = _summed(inputs, pairs)
+    else:
+        flat = sum((np.concatenate([s.ravel(), n * np.outer(on(code), on(code)).ravel()]) for code, (n, s) in patterns.items()), np.zeros(2 * width * width)) if patterns else None
     if flat is None:
         return mean, scale, v, w
     values, vectors = np.linalg.eigh(flat[: width * width].reshape(width, width) / np.maximum(flat[width * width :].reshape(width, width), 1))
@@ -169,7 +214,10 @@ def _fit(cells: DataFrame, sweeps: int) -> tuple[np.ndarray, np.ndarray, np.ndar
             outer = (u[:, :, None] * u[:, None, :]).reshape(len(u), -1)
             return np.concatenate([(here.T.astype(float) @ outer).ravel(), (np.nan_to_num(x).T @ u).ravel(), np.nansum((x - u @ v.T) ** 2, axis=0), here.sum(axis=0)])
 
-        flat = _summed(inputs, normal)
+        if patterns is None:
+            flat = _summed(inputs, normal)
+        else:
+            flat = sum(_normal_of(on(code), n, s, v, w) for code, (n, s) in patterns.items())
         a, b, squares, n = np.split(flat, np.cumsum([width * RANK * RANK, width * RANK, width]))
         if sweep >= 2:
             w = np.clip(1 / np.maximum(squares / np.maximum(n, 1), 1e-12), 1.0, WEIGHT_MAX)
@@ -177,6 +225,15 @@ def _fit(cells: DataFrame, sweeps: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return mean, scale, v, w
 
 
+def _normal_of(on: np.ndarray, n: int, s: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What the records of one pattern add to the normal equations of V: sums of u u' and x u' by cell, squared residuals and numbers."""
+    wo = np.where(on, w, 0.0)[:, None] * v
+    u = np.linalg.solve(v.T @ wo + RIDGE * np.eye(v.shape[1]), wo.T)  # rank x cells: U is this times x
+    xu, uu = s @ u.T, u @ s @ u.T
+    squares = np.where(on, np.diag(s) - 2 * (xu * v).sum(axis=1) + ((v @ uu) * v).sum(axis=1), 0.0)
+    return np.concatenate([(on[:, None] * uu.ravel()).ravel(), np.where(on[:, None], xu, 0.0).ravel(), np.maximum(squares, 0.0), on * float(n)])
+
+
 def fill_missing(coefficient: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     """Every record once, with missing coef, veg and pheno_year filled and marked.
 
