@@ -32,6 +32,14 @@ def r6(c: Column) -> Column:
     return F.round(c + 1e-9, 6)
 
 
+def cover_of(x: Column, slope: float | None, intercept: float | None, a: float | None = None, b: float | None = None) -> Column:
+    """Cover within 0 to 1 predicted from an index by a line, over (a + x) / (b + x) if a and b are given; null without a model or where the index is null or the ratio undefined."""
+    if slope is None or intercept is None:
+        return F.lit(None).cast("double")
+    value = ratio(F.lit(a) + x, F.lit(b) + x) if a is not None and b is not None else x
+    return clamp(F.lit(intercept) + F.lit(slope) * value)
+
+
 def number_of(text: Column) -> Column:
     """A number from text; true and t count as 1, false and f as 0; null if it is none."""
     low = F.lower(F.trim(text))

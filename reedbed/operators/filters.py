@@ -34,6 +34,14 @@ def known_class(df: DataFrame, column: str = "veg") -> DataFrame:
     return df.where(F.lower(column).isin(*CLASSES))
 
 
+def skip_classes(df: DataFrame, excluded: tuple[str, ...] = (), variants: bool = True, column: str = "veg") -> DataFrame:
+    """Without the excluded classes and, with ``variants``, without rows of single variants (class_opt_1, ...); rows without a label are kept."""
+    name = F.lower(F.trim(column))
+    out = name.isin(*[e.lower() for e in excluded]) if excluded else F.lit(False)
+    out = out | name.rlike("_opt_[0-9]+$") if variants else out
+    return df.where(F.coalesce(~out, F.lit(True)))
+
+
 def valid_class(df: DataFrame, column: str = "veg", exclude_barren: bool = False) -> DataFrame:
     """Label not null, blank or NA; without bare ground on request."""
     kept = df.where((F.trim(column) != "") & (F.upper(F.trim(column)) != "NA"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reedbed.functions.numeric import clamp, ratio
+from reedbed.functions.numeric import ratio
 from reedbed.operators.harmonise import affine_column
 from reedbed.operators.ranks import group_percentiles
+from reedbed.operators.resample import uniform
 
 
 def sensor_pairs(df: DataFrame, bands: list[str], keys: tuple[str, ...] = ("location_id", "date")) -> DataFrame:
@@ -57,12 +58,13 @@ def lag_join(series: DataFrame, water: DataFrame, low: int = -2, high: int = 3,
 
 
 def bias_stats(pairs: DataFrame, groups: list[str]) -> DataFrame:
-    """n, median, sd, rmse, mae, r2 and se of val_89 - val_457 by group."""
+    """n, median, sd, rmse, mae, r2 and se of val_89 - val_457 by group; no r2 below three pairs or where a side does not vary (sd up to 1e-9)."""
     d = F.col("val_89") - F.col("val_457")
     ok = pairs.where(d.isNotNull())
+    moves = (F.count(F.lit(1)) >= 3) & (F.stddev_samp("val_457") > 1e-9) & (F.stddev_samp("val_89") > 1e-9)
     corr = F.corr("val_457", "val_89")
     return group_percentiles(ok, groups, {"median_bias": d}, [0.5], also={
-        "n": F.count(F.lit(1)), "sd_bias": F.stddev_samp(d), "rmse": F.sqrt(F.avg(d * d)), "mae": F.avg(F.abs(d)), "r2": corr * corr, "se": F.stddev_samp(d) / F.sqrt(F.count(F.lit(1)))})
+        "n": F.count(F.lit(1)), "sd_bias": F.stddev_samp(d), "rmse": F.sqrt(F.avg(d * d)), "mae": F.avg(F.abs(d)), "r2": F.when(moves, corr * corr), "se": F.stddev_samp(d) / F.sqrt(F.count(F.lit(1)))})
 
 
 def raw_and_corrected(df: DataFrame, bands: list[str], terms: dict) -> DataFrame:
@@ -198,8 +200,19 @@ def class_shares(df: DataFrame, keys: list[str], classes: list[str], value: str
     return shared.unpivot(keys, classes, label, "share")
 
 
-def cap_scaled(coef: Column, scaler: Column) -> Column:
-    return clamp(coef * scaler)
+def sample_by(df: DataFrame, group: list[str], key: str, cap: int, seed: int = 42) -> DataFrame:
+    """At most ``cap`` rows of each group: those with the smallest hashed number of their key (resample.uniform), of equal ones the smallest keys.
+
+    Groups are counted by 1,024 ranges of that number first, so that only the range that the limit falls into is put in order.
+    """
+    rows = df.withColumn("_u", uniform(F.col(key), F.lit(0), seed)).withColumn("_b", F.floor(F.col("_u") * 1024))
+    counts = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.withColumn("_before", before).where(F.col("_before") < cap)
+    near = rows.join(ranges, [*group, "_b"])
+    whole, border = near.where(F.col("_before") + F.col("_n") <= cap), near.where(F.col("_before") + F.col("_n") > cap)
+    cut = border.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy("_u", key))).where(F.col("_before") + F.col("_r") <= cap)
+    return whole.select(*df.columns).unionByName(cut.select(*df.columns))
 
 
 def running_width(df: DataFrame, group: list[str], order: str, width: str) -> DataFrame:

@@ -67,9 +67,15 @@ def best_lag(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.best_lag(_lags(spark, d), ["veg", "sheet"]).select("veg", "sheet", "lag", "n", "r"), "r")
 
 
-@query()
+# Student's t of a whole number of degrees of freedom k is a finite sum in the angle a = atan(t / sqrt(k)).
+_TERM = "coalesce(list_aggregate(list_transform(generate_series(1, j), lambda i: {f}), 'product'), 1) * pow(cos(a), {p})"
+_SUM = lambda top, f, p: f"coalesce(list_sum(list_transform(generate_series(0, {top}), lambda j: {_TERM.format(f=f, p=p)})), 0)"
+_SHARE = f"CASE WHEN k % 2 = 1 THEN 2 / pi() * (a + sin(a) * CASE WHEN k > 1 THEN {_SUM('(k - 3) // 2', '2.0 * i / (2 * i + 1)', '2 * j + 1')} ELSE 0 END) ELSE sin(a) * {_SUM('(k - 2) // 2', '(2.0 * i - 1) / (2 * i)', '2 * j')} END"
+
+
+@query(with_(SQL_COEFS, SQL_WATER) + _LAGS + f", t AS (SELECT *, n - 2 AS k, CASE WHEN r IS NOT NULL AND abs(r) < 1 THEN atan(abs(r) / sqrt(1 - r * r)) END AS a FROM s) SELECT veg, sheet, lag, n, {sr('r', 'r')}, {sr('CASE WHEN n >= 3 THEN 1 - ' + _SHARE + ' END', 'p')} FROM t")
 def lag_p_values(spark: SparkSession, d: str) -> DataFrame:
-    return _lags(spark, d).select("veg", "sheet", "lag", "n", "r", "p")
+    return rounded(_lags(spark, d).select("veg", "sheet", "lag", "n", "r", "p"), "r", "p")
 
 
 _NDVI = SQL_INDICES["ndvi"]
@@ -227,6 +233,18 @@ def bin_medoid(spark: SparkSession, d: str) -> DataFrame:
     return traces.class_templates(b, ["nir", "red"])
 
 
+_CURVE = np.linalg.inv(np.eye(36) + 1600.0 * np.diff(np.eye(36), n=2, axis=0).T @ np.diff(np.eye(36), n=2, axis=0) + 1e-12 * np.eye(36))
+_ROW = lambda v: "[" + ", ".join(f"{u:.15g}" for u in v) + "]"
+
+
+@query(with_(SQL_OBS) + _BINS + _FILL + f", v AS (SELECT location_id, py, index_name, list(value ORDER BY bin) AS y FROM filled GROUP BY 1, 2, 3) SELECT location_id, py, index_name, {sr(f'list_dot_product(y, {_ROW(_CURVE[0])})', 'first')}, {sr(f'list_dot_product(y, {_ROW(_CURVE[17])})', 'middle')}, {sr(f'list_dot_product(y, {_ROW(_CURVE.sum(axis=0))})', 'total')} FROM v")
+def whittaker_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Smoothed traces without gaps, for which the curve is a fixed matrix times the trace."""
+    s = stats.smooth_traces(rel.fill_bins(_bins(spark, d)).select("location_id", "py", "index_name", "bin", "value"))
+    v = F.col("values")
+    return s.select("location_id", "py", "index_name", r6(F.element_at(v, 1)).alias("first"), r6(F.element_at(v, 18)).alias("middle"), r6(F.aggregate(v, F.lit(0.0), lambda a, u: a + u)).alias("total"))
+
+
 def _class_vectors(spark: SparkSession, d: str) -> list[tuple[str, str, np.ndarray]]:
     rows = group_percentiles(filters.known_class(obs(spark, d)), ["veg"], {b: b for b in BANDS}, [0.5]).orderBy("veg").collect()  # four rows
     return [(r["veg"], f"{r['veg']}_opt_1", np.array([r[b] for b in BANDS])) for r in rows]
@@ -443,6 +461,23 @@ def index_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return resample.hierarchical_bootstrap(t, ["py"], "location_id", "detrended", "obs_id", 1000)
 
 
+_INTERVAL = f""", per AS (SELECT location_id, CASE WHEN month(date) IN (7,8,9) THEN 'summer' ELSE 'winter' END AS season, avg({SQL_INDICES['ndvi']}) AS m FROM obs WHERE month(date) IN (1,2,3,7,8,9) GROUP BY 1, 2),
+j AS (SELECT per.*, p.veg FROM per JOIN places p USING (location_id) WHERE m IS NOT NULL AND p.veg IS NOT NULL), rep AS (SELECT unnest(generate_series(1, 1000)) AS rep), ws AS (SELECT k, rep, {_W.format(k='k')} AS w FROM (SELECT DISTINCT location_id AS k FROM j), rep),
+v AS (SELECT rep, veg, season, sum(m * w) / sum(w) AS value FROM j JOIN ws ON k = location_id WHERE w > 0 GROUP BY 1, 2, 3), b AS (SELECT veg, season, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high FROM v GROUP BY 1, 2),
+c AS (SELECT veg, season, count(*) AS n, avg(m) AS mean FROM j GROUP BY 1, 2)"""
+
+
+@query(with_(SQL_OBS, SQL_PLACES) + _INTERVAL + f" SELECT veg, season, n, {sr('mean', 'mean')}, {sr('low', 'low')}, {sr('high', 'high')} FROM c JOIN b USING (veg, season)")
+def class_interval(spark: SparkSession, d: str) -> DataFrame:
+    """Mean index of a class in summer and winter over its locations, with the interval of 1,000 bootstrap replicates."""
+    season = F.when(F.month("date").isin(7, 8, 9), "summer").otherwise("winter")
+    o = obs(spark, d).where(F.month("date").isin(1, 2, 3, 7, 8, 9)).withColumns({"season": season, "ndvi": ix.spectral_indices()["ndvi"]})
+    per = o.groupBy("location_id", "season").agg(F.avg("ndvi").alias("m")).where("m is not null")
+    j = materialise(per.join(places(spark, d).where("veg is not null").select("location_id", "veg"), "location_id"), "means")
+    ends = resample.compiled(resample.resampled_means(j, ["veg", "season"], "m", 1000), ["veg", "season"]).select("veg", "season", F.col("coef_025").alias("low"), F.col("coef_975").alias("high"))
+    return rounded(j.groupBy("veg", "season").agg(F.count(F.lit(1)).alias("n"), F.avg("m").alias("mean")).join(ends, ["veg", "season"]), "mean", "low", "high")
+
+
 @query()
 def median_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """sd and bounds of the median summer index of each location and season."""

@@ -108,7 +108,14 @@ g AS (SELECT location_id, py, z.x AS y, b.x AS b, p.x AS p, {_LDOT('b.x', 'b.x')
   FROM z, e b, e p WHERE b.cls = 'barren' AND p.cls = 'populus' AND {_LDOT('z.x', 'z.x')} >= 1e-18),
 h AS (SELECT *, (yb + dd) * (pp + dd) - (yp + dd) * (bp + dd) AS xb, (yp + dd) * (bb + dd) - (yb + dd) * (bp + dd) AS xp FROM g), w AS (SELECT *, CASE WHEN xb < 0 THEN 0 WHEN xp < 0 THEN 1 ELSE xb / (xb + xp) END AS wb FROM h),
 r AS (SELECT *, sqrt(list_sum(list_transform(list_zip(y, b, p), lambda t: pow(t[1] - wb * t[2] - (1 - wb) * t[3], 2))) / 72) AS rmse FROM w)"""
+_OVER = "OVER (PARTITION BY scope)"
+_CUBIC = f""", s AS (SELECT coalesce(veg, 'unknown') AS scope, location_id, py, doy_cal AS x, {_NDVI} AS y FROM obs WHERE month(date) IN (7,8,9)), o AS (SELECT * FROM s WHERE y IS NOT NULL),
+m AS (SELECT *, x - avg(x) {_OVER} AS p1, count(*) {_OVER} AS n FROM o), a AS (SELECT *, coalesce(x - sum(x*p1*p1) {_OVER} / nullif(sum(p1*p1) {_OVER}, 0), 0) * p1 - sum(p1*p1) {_OVER} / n AS p2 FROM m),
+b AS (SELECT *, coalesce(x - sum(x*p2*p2) {_OVER} / nullif(sum(p2*p2) {_OVER}, 0), 0) * p2 - coalesce(sum(p2*p2) {_OVER} / nullif(sum(p1*p1) {_OVER}, 0), 0) * p1 AS p3 FROM a),
+t AS (SELECT *, y - p1 * coalesce(sum(y*p1) {_OVER} / nullif(sum(p1*p1) {_OVER}, 0), 0) - p2 * coalesce(sum(y*p2) {_OVER} / nullif(sum(p2*p2) {_OVER}, 0), 0) - p3 * coalesce(sum(y*p3) {_OVER} / nullif(sum(p3*p3) {_OVER}, 0), 0) AS f FROM b),
+k AS (SELECT scope, count(DISTINCT x) AS k FROM o GROUP BY 1), q AS (SELECT t.scope, py, location_id, avg(CASE WHEN n >= 50 AND k >= 3 THEN f ELSE y END) AS v FROM t JOIN k USING (scope) GROUP BY 1, 2, 3)"""
 SQL = {
+    "scope_trends": with_(SQL_OBS) + _CUBIC + f" SELECT scope, py, count(v) AS n_locations, {sr('avg(v)', 'mean')}, {sr('stddev_samp(v) / sqrt(count(v))', 'se')} FROM q GROUP BY 1, 2 HAVING count(v) >= 5",
     "fit_two": with_(SQL_OBS) + ", many AS (SELECT location_id, py FROM obs GROUP BY 1, 2 HAVING count(*) >= 8)" + _TWO + f" SELECT location_id, py, 'barren' AS cls, {sr('wb', 'coef')}, {sr('rmse', 'rmse')} FROM r UNION ALL SELECT location_id, py, 'populus', {sr('1 - wb', 'coef')}, {sr('rmse', 'rmse')} FROM r",
     "known_positions": with_(SQL_OBS, SQL_COEFS, SQL_PLACES) + """, k AS (SELECT DISTINCT location_id FROM coefs), o AS (SELECT location_id, min({'lat': lat, 'lon': lon}) AS p FROM obs WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1),
 c AS (SELECT location_id, min({'lat': lat, 'lon': lon}) AS p FROM coefs WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1), z AS (SELECT location_id, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN {'lat': lat, 'lon': lon} END AS p FROM places),

@@ -51,7 +51,12 @@ def p6_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return flag_readings(rows, "location_id", "acquired_at", "obs_id", BANDS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p3_found, p5_found, p5_filled, p5_held_out, p6_found, p6_reasons)}
+def p6_certain(spark: SparkSession, folder: str) -> DataFrame:
+    """Impossible and stuck readings."""
+    return p6_reasons(spark, folder).where("reason <> 'spike'")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p3_found, p5_found, p5_filled, p5_held_out, p6_found, p6_reasons, p6_certain)}
 
 _GRID = """
 WITH r AS (SELECT DISTINCT obs_id, location_id, date, nir FROM observation
@@ -93,4 +98,12 @@ SELECT a.id AS location_id_1, b.id AS location_id_2 FROM q a JOIN q b ON a.id <
 WHERE 2 * 6371000 * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2)
       + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) <= 90""",
     "p5_found": _P5,
+    "p6_certain": """
+WITH o AS (SELECT DISTINCT obs_id, location_id, acquired_at, nir, red, swir1 FROM observation WHERE location_id IS NOT NULL AND date IS NOT NULL AND acquired_at IS NOT NULL),
+l AS (SELECT obs_id, location_id, acquired_at, 'nir' AS band, nir AS v FROM o UNION ALL SELECT obs_id, location_id, acquired_at, 'red', red FROM o UNION ALL SELECT obs_id, location_id, acquired_at, 'swir1', swir1 FROM o),
+m AS (SELECT *, CASE WHEN v >= 0 AND v <= 1 AND NOT isnan(v) THEN v END AS p FROM l),
+g AS (SELECT *, lag(p) OVER w AS before, row_number() OVER w AS r FROM m WINDOW w AS (PARTITION BY location_id, band ORDER BY acquired_at, obs_id)),
+s AS (SELECT *, sum(CASE WHEN p = before THEN 0 ELSE 1 END) OVER (PARTITION BY location_id, band ORDER BY r) AS run FROM g),
+c AS (SELECT *, count(p) OVER (PARTITION BY location_id, band, run) AS n FROM s)
+SELECT obs_id, band, 'impossible' AS reason FROM c WHERE isfinite(v) AND (v < 0 OR v > 1) UNION ALL SELECT obs_id, band, 'stuck' FROM c WHERE p IS NOT NULL AND n >= 6""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reedbed.functions import indices as ix
-from reedbed.functions.numeric import r6
+from reedbed.functions.numeric import cover_of, r6
 from reedbed.operators import filters, harmonise, relational as rel, soil
 from reedbed.operators.ranks import group_percentiles
 from reedbed.plans.expression_queries import _PPI, _SOIL, sr
@@ -73,7 +73,7 @@ def pair_mask(spark: SparkSession, d: str) -> DataFrame:
 def _stats_sql(groups: str) -> str:
     d = "(val_89 - val_457)"
     return f"""SELECT {groups}, count(*) AS n, {sr(f'median({d})', 'median_bias')}, {sr(f'stddev_samp({d})', 'sd_bias')}, {sr(f'sqrt(avg({d}*{d}))', 'rmse')}, {sr(f'avg(abs({d}))', 'mae')},
-      {sr('CASE WHEN stddev_samp(val_457) > 0 AND stddev_samp(val_89) > 0 THEN pow(corr(val_457, val_89), 2) END', 'r2')}, {sr(f'stddev_samp({d})/sqrt(count(*))', 'se')} FROM long WHERE val_457 IS NOT NULL AND val_89 IS NOT NULL GROUP BY ALL"""
+      {sr('CASE WHEN count(*) >= 3 AND stddev_samp(val_457) > 1e-9 AND stddev_samp(val_89) > 1e-9 THEN pow(corr(val_457, val_89), 2) END', 'r2')}, {sr(f'stddev_samp({d})/sqrt(count(*))', 'se')} FROM long WHERE val_457 IS NOT NULL AND val_89 IS NOT NULL GROUP BY ALL"""
 
 
 _STATS = ("median_bias", "sd_bias", "rmse", "mae", "r2", "se")
@@ -84,9 +84,17 @@ def bias_stats(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rel.bias_stats(_long(spark, d), ["band"]), *_STATS)
 
 
-@query(with_(_PAIRS) + _stats_sql("year, band").replace("CASE WHEN stddev_samp(val_457) > 0 AND stddev_samp(val_89) > 0 THEN pow(corr(val_457, val_89), 2) END", "NULL::DOUBLE"))
+@query(with_(_PAIRS) + _stats_sql("year, band"))
 def bias_by_year(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rel.bias_stats(_long(spark, d), ["year", "band"]), *_STATS).withColumn("r2", F.lit(None).cast("double"))
+    return rounded(rel.bias_stats(_long(spark, d), ["year", "band"]), *_STATS)
+
+
+@query(with_(_PAIRS) + """, u AS (SELECT *, CAST('0x' || substr(md5(location_id || '|' || CAST(date AS VARCHAR) || '/0/42'), 1, 8) AS BIGINT) AS u FROM long),
+r AS (SELECT *, row_number() OVER (PARTITION BY band ORDER BY u, location_id || '|' || CAST(date AS VARCHAR)) AS r FROM u) SELECT location_id, CAST(date AS VARCHAR) AS day, band FROM r WHERE r <= 100""")
+def pair_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred pairs of each band."""
+    long = _long(spark, d).withColumn("k", F.concat_ws("|", "location_id", F.col("date").cast("string")))
+    return rel.sample_by(long, ["band"], "k", 100).select("location_id", F.col("date").cast("string").alias("day"), "band")
 
 
 @query(with_(_PAIRS) + ", q AS (SELECT location_id, CASE WHEN doy <= 360 THEN CAST(ceil(doy/30.0) AS INTEGER) END AS bin30, band, val_89 - val_457 AS d FROM long) SELECT bin30, band, count(d) AS n, " + sr("avg(d)", "bias") + " FROM q WHERE d IS NOT NULL GROUP BY 1, 2")
@@ -148,6 +156,28 @@ def lag_join(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rel.lag_join(class_years(spark, d), water_years(spark, d)).select("veg", "sheet", "lag", "py", "coef", "gw_mean"), "coef", "gw_mean")
 
 
+@query(with_(SQL_COEFS, SQL_WATER) + _SERIES + f"SELECT py, veg, {sr('coef', 'coef')}, n_sites FROM v")
+def region_years(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(class_years(spark, d).select("py", "veg", "coef", "n_sites"), "coef")
+
+
+@query(with_(SQL_COEFS) + "SELECT veg, count(*) AS n FROM (SELECT CASE WHEN coef_row_id % 7 = 0 THEN veg || '_opt_1' ELSE veg END AS veg FROM coefs) WHERE veg NOT IN ('barren', 'herbs') AND NOT regexp_matches(veg, '_opt_[0-9]+$') GROUP BY 1")
+def skip_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that a comparison with groundwater keeps: no single variants, no excluded classes (a seventh of the labels is made a variant here)."""
+    label = F.when(F.col("coef_row_id") % 7 == 0, F.concat("veg", F.lit("_opt_1"))).otherwise(F.col("veg"))
+    return filters.skip_classes(coefs(spark, d).withColumn("veg", label), ("barren", "HERBS")).groupBy("veg").agg(F.count(F.lit(1)).alias("n"))
+
+
+_COVER = "CASE WHEN msavi IS NOT NULL AND 0.9 + msavi <> 0 THEN least(greatest(-0.2 + 1.1 * (0.1 + msavi) / (0.9 + msavi), 0), 1) END"
+
+
+@query(with_(SQL_OBS) + f", m AS (SELECT location_id, {SQL_INDICES['msavi']} AS msavi FROM obs) SELECT location_id, count(msavi) AS n, {sr(f'avg({_COVER})', 'cover')}, {sr('avg(CASE WHEN msavi IS NOT NULL THEN least(greatest(0.1 + 1.5 * msavi, 0), 1) END)', 'plain')} FROM m GROUP BY 1")
+def cover_model(spark: SparkSession, d: str) -> DataFrame:
+    m = obs(spark, d).select("location_id", ix.spectral_indices()["msavi"].alias("msavi"))
+    cover, plain = cover_of(F.col("msavi"), 1.1, -0.2, 0.1, 0.9), cover_of(F.col("msavi"), 1.5, 0.1)
+    return rounded(m.groupBy("location_id").agg(F.count("msavi").alias("n"), F.avg(cover).alias("cover"), F.avg(plain).alias("plain")), "cover", "plain")
+
+
 _BINS = ", bins AS (" + " UNION ALL ".join(f"SELECT location_id, py, '{i}' AS index_name, bin, avg({SQL_INDICES[i]}) AS value FROM obs WHERE bin < 37 GROUP BY ALL HAVING count({SQL_INDICES[i]}) > 0" for i in ("ndmi", "psri")) + ")"
 
 
