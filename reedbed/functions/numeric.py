@@ -32,6 +32,11 @@ def r6(c: Column) -> Column:
     return F.round(c + 1e-9, 6)
 
 
+def flag_of(text: Column) -> Column:
+    """A flag as 1 or 0 from text or a boolean; null if it is none."""
+    return number_of(text.cast("string")).cast("int")
+
+
 def cover_of(x: Column, slope: float | None, intercept: float | None, a: float | None = None, b: float | None = None) -> Column:
     """Cover within 0 to 1 predicted from an index by a line, over (a + x) / (b + x) if a and b are given; null without a model or where the index is null or the ratio undefined."""
     if slope is None or intercept is None:

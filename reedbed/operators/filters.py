@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,9 +38,8 @@ def known_class(df: DataFrame, column: str = "veg") -> DataFrame:
 
 def skip_classes(df: DataFrame, excluded: tuple[str, ...] = (), variants: bool = True, column: str = "veg") -> DataFrame:
     """Without the excluded classes and, with ``variants``, without rows of single variants (class_opt_1, ...); rows without a label are kept."""
-    name = F.lower(F.trim(column))
-    out = name.isin(*[e.lower() for e in excluded]) if excluded else F.lit(False)
-    out = out | name.rlike("_opt_[0-9]+$") if variants else out
+    patterns = [f"^{re.escape(e.lower())}$" for e in excluded] + ["_opt_[0-9]+$"] * variants
+    out = F.lower(F.trim(column)).rlike("|".join(patterns)) if patterns else F.lit(False)
     return df.where(F.coalesce(~out, F.lit(True)))
 
 

@@ -38,6 +38,11 @@ def affine(df: DataFrame, bias: DataFrame, only_significant: bool = True) -> Dat
     return df.withColumns({b: affine_column(b, terms) for b in BANDS if b in df.columns})
 
 
+def with_raw(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Keeps the present values of columns as <name>_raw."""
+    return df.withColumns({f"{c}_raw": F.col(c) for c in columns if c in df.columns})
+
+
 def snapped(c: Column, size: float = 0.01) -> Column:
     """Centre of the grid cell."""
     return F.round(F.floor(c / size) * size + size / 2 + 1e-9, 6)

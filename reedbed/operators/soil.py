@@ -35,9 +35,11 @@ def canopy_max(df: DataFrame, flag: Column, months: tuple[int, ...] = (7, 8, 9),
     return df.agg(F.when(F.count(v) >= at_least, F.max(v)).alias("canopy_max"), F.count(v).alias("n"))
 
 
-def with_ppi(df: DataFrame, soil: DataFrame | None = None, canopy: float = CANOPY_MAX) -> DataFrame:
-    """Adds soil, zenith, ppi and ppi_norm (clamped to 0 to 1). Locations without a soil value are dropped."""
+def with_ppi(df: DataFrame, soil: DataFrame | None = None, canopy: float = CANOPY_MAX, strict: bool = False) -> DataFrame:
+    """Adds soil, zenith, ppi and ppi_norm (clamped to 0 to 1). Locations without a soil value are dropped; with ``strict`` a reading with a DVI at one of them is an error."""
     soil = (low_quantile_baseline(df) if soil is None else soil).select("location_id", "soil")
+    if strict and not df.where(dvi().isNotNull()).join(soil.where("soil is not null"), "location_id", "left_anti").isEmpty():
+        raise ValueError("readings at locations without a soil value")
     cosz = cos_zenith(F.coalesce("lat", F.lit(LATITUDE_DEFAULT)), F.col("doy_cal"))
     joined = df.join(soil, "location_id").withColumn("cosz", cosz)
     value = ppi(dvi(), F.col("cosz"), F.col("soil"), canopy)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from reedbed.functions import indices as ix
 from reedbed.functions import labels
 from reedbed.functions.calendar import capped_bin, day_bin
-from reedbed.functions.numeric import number_of, r6
+from reedbed.functions.numeric import finite, number_of, r6
 from reedbed.operators import filters, harmonise, soil
 from reedbed.plans.views import SQL_COEFS, SQL_INDICES, SQL_OBS, SQL_PLACES, SQL_SCANS, coefs, obs, places, scans, with_
 from reedbed.session import table
-from reedbed.sources.ingest import canonical_result, sensor_bias, unite
+from reedbed.sources.ingest import canonical_result, normalise_bands, rename_fixed, sensor_bias, unite
 
 QUERIES, SQL = {}, {}
 
@@ -132,6 +132,27 @@ def affine_correction(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("satellite").agg(*means)
 
 
+@query(with_(SQL_OBS) + ", w AS (SELECT max(ols_slope) AS s, max(ols_intercept) AS i FROM sensor_bias WHERE band = 'nir' AND coalesce(ols_significant, true)) SELECT satellite, " + sr("avg(nir)", "nir_raw") + ", " + sr("avg(CASE WHEN satellite = 'LANDSAT_89' AND s IS NOT NULL THEN nir * s + i ELSE nir END)", "nir") + " FROM obs, w GROUP BY 1")
+def raw_backup(spark: SparkSession, d: str) -> DataFrame:
+    """A band before and after the sensor correction, the former kept beside it."""
+    o = harmonise.affine(harmonise.with_raw(obs(spark, d), ["nir"]), sensor_bias(table(spark, d, "sensor_bias")))
+    return o.groupBy("satellite").agg(r6(F.avg("nir_raw")).alias("nir_raw"), r6(F.avg("nir")).alias("nir"))
+
+
+@query("SELECT count(*) AS n, " + ", ".join(sr(f"avg(CASE WHEN NOT isnan({b}) THEN {b} END)", b) for b in ("blue", "green", "red", "nir", "swir1", "swir2")) + ", " + sr("avg(CASE WHEN NOT isnan(lat) THEN lat END)", "lat") + " FROM observation")
+def band_names(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of other spellings brought to their names."""
+    o = table(spark, d, "observation").select(F.col("blue").alias("BLUE"), F.col("green").alias("Green"), F.col("red").alias("band_red"), F.col("nir").alias("BAND_NIR"), F.col("swir1").alias("Band_swir1"), F.col("swir2").alias("SWIR2"), F.col("lat").alias("target_lat"))
+    named = rename_fixed(normalise_bands(o))
+    return named.agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg(finite(F.col(c)))).alias(c) for c in (*_BANDS, "lat")])
+
+
+@query(with_(SQL_OBS) + "SELECT count(*) AS n, sum(CASE WHEN lower(veg) <> 'barren' THEN 1 ELSE 0 END)::BIGINT AS vegetated FROM obs WHERE trim(veg) <> '' AND upper(trim(veg)) <> 'NA'")
+def valid_class(spark: SparkSession, d: str) -> DataFrame:
+    o = obs(spark, d)
+    return filters.valid_class(o).agg(F.count(F.lit(1)).alias("n")).crossJoin(filters.valid_class(o, exclude_barren=True).agg(F.count(F.lit(1)).alias("vegetated")))
+
+
 @query(with_(SQL_COEFS) + f"""SELECT py, veg, {sr('floor(lat / 0.01) * 0.01 + 0.005', 'cell_lat')}, {sr('floor(lon / 0.01) * 0.01 + 0.005', 'cell_lon')}, {sr('avg(coef)', 'coef')}, count(*) AS n
   FROM coefs WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY ALL""")
 def grid_snap(spark: SparkSession, d: str) -> DataFrame:

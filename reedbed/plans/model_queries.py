@@ -109,17 +109,11 @@ def snr(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.signal_to_noise(ix.with_indices(obs(spark, d)), "location_id", list(_IDX)).select("index_name", "snr"), "snr")
 
 
-_NUM = "CAST(coalesce(nullif(regexp_extract(location_id, '([0-9]+)$', 1), ''), '0') AS BIGINT)"
-_SITES = f""", sites0 AS (SELECT location_id, min(lat) AS lat, min(lon) AS lon, avg(nir) AS v FROM obs WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1 HAVING avg(nir) IS NOT NULL),
-sites AS (SELECT * FROM sites0 ORDER BY ({_NUM} * 7919 + 42) % 10007, location_id LIMIT 300),
+_SITES = """, sites AS (SELECT location_id, min(lat) AS lat, min(lon) AS lon, avg(nir) AS v FROM obs WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY 1 HAVING avg(nir) IS NOT NULL),
 pairs AS (SELECT a.location_id AS a, b.location_id AS b, a.v AS va, b.v AS vb, 2*6371*asin(sqrt(least(1, pow(sin(radians(b.lat-a.lat)/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin(radians(b.lon-a.lon)/2),2)))) AS km
   FROM sites a JOIN sites b ON a.location_id < b.location_id)"""
 
 
-def _number():
-    return F.coalesce(F.regexp_extract("location_id", "([0-9]+)$", 1).try_cast("bigint"), F.lit(0))
-
-
 def _sites(spark: SparkSession, d: str) -> DataFrame:
     o = obs(spark, d).where("lat is not null and lon is not null")
     return o.groupBy("location_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.avg("nir").alias("v")).where("v is not null")
@@ -154,6 +148,14 @@ def moran_i(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.moran_of_lags(stats.PairBlocks(_sites(spark, d), "v").lags()), "i", "expected")
 
 
+@query(with_(SQL_OBS) + _SITES + f", m AS (SELECT avg(exp(-km / 20)) AS m FROM pairs), n AS (SELECT count(*) AS n FROM sites) SELECT n, {sr('n / (1 + (n - 1) * m)', 'n_eff')} FROM n, m")
+def effective_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Number of independent locations under a correlation range of 20 km."""
+    pairs = stats.PairBlocks(_sites(spark, d), "v")
+    n = pairs.places.where("v is not null").count()
+    return rounded(spark.createDataFrame([(n, stats.effective_n(pairs, 20.0, n))], "n bigint, n_eff double"), "n_eff")
+
+
 @query()
 def moran_blocks(spark: SparkSession, d: str) -> DataFrame:
     pairs = stats.PairBlocks(_sites(spark, d), "v")
@@ -327,6 +329,56 @@ def library_search(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(sorted(unmix.library_size(v, 2, "0").items()), "cls string, k int")
 
 
+@query(with_(SQL_LIBRARY) + _LONG + f"SELECT CAST(a.pos AS INTEGER) AS i, CAST(b.pos AS INTEGER) AS j, {sr('sum(a.v * b.v)', 's')} FROM long a JOIN long b USING (vec_id) GROUP BY 1, 2")
+def gram(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix whose axes the feature model rotates to."""
+    v = library(spark, d)
+    m, _ = traces.gram_matrix(v, "x", 64)
+    return rounded(spark.createDataFrame([(i, j, float(m[i, j])) for i in range(64) for j in range(64)], "i int, j int, s double"), "s")
+
+
+@query(with_(SQL_LIBRARY) + _LONG + f", w AS (SELECT 'part' || (pos // 16) AS index_name, abs(avg(v)) AS weight FROM long GROUP BY pos, 1), g AS (SELECT index_name, avg(weight) AS mean, max(weight) AS max FROM w GROUP BY 1) SELECT index_name, {sr('mean', 'mean')}, {sr('max', 'max')}, CAST(row_number() OVER (ORDER BY mean DESC, index_name) AS INTEGER) AS rank FROM g")
+def weight_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of features by index; the mean of a feature stands for its weight here."""
+    long = library(spark, d).select(F.posexplode("x").alias("pos", "v"))
+    w = long.groupBy("pos").agg(F.abs(F.avg("v")).alias("weight")).withColumn("index_name", F.concat(F.lit("part"), (F.col("pos") / 16).cast("int").cast("string")))
+    return rounded(traces.weight_summary(w), "mean", "max")
+
+
+@query(with_(SQL_LIBRARY) + f"SELECT vec_id, len(list_filter(x, lambda v, i: (i - 1) % 3 < 2)) AS n, {sr('list_sum(list_filter(x, lambda v, i: (i - 1) % 3 < 2))', 'total')} FROM library")
+def pruned_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors without the features of no weight, which are every third here."""
+    x = traces.pruned(F.col("x"), [i for i in range(64) if i % 3 < 2])
+    return library(spark, d).select("vec_id", F.size(x).cast("bigint").alias("n"), r6(F.aggregate(x, F.lit(0.0), lambda a, u: a + u)).alias("total"))
+
+
+@query(with_(SQL_OBS) + ", c AS (SELECT veg, location_id, count(*) AS n FROM obs GROUP BY 1, 2) SELECT CASE WHEN n >= 50 THEN veg || '__' || location_id ELSE veg END AS part, sum(n)::BIGINT AS n FROM c WHERE veg IS NOT NULL GROUP BY 1")
+def label_groups(spark: SparkSession, d: str) -> DataFrame:
+    g = traces.label_groups(obs(spark, d).where("veg is not null"), "veg", "location_id", 50)
+    return g.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+_DIAG = f""", k AS (SELECT *, bb + vv AS tr, sqrt(pow(bb - vv, 2) + 4 * bv * bv) AS root, ({' + '.join(BANDS)}) / 6 AS mean FROM r WHERE veg = 'populus')
+SELECT location_id, py, {sr('ln(sqrt((tr + root) / (tr - root)))', 'log_condition')}, {sr('rmse * rmse * 6 * 1e4', 'rss')}, {sr('1 - rmse * rmse * 6 / (' + ' + '.join(f'pow({b} - mean, 2)' for b in BANDS) + ')', 'r2')} FROM k"""
+
+
+@query(with_(SQL_OBS) + _TWO + _DIAG)
+def fit_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Condition number (log), residual sum of squares (x 1e4) and r2 of the two-endmember fits."""
+    two = [v for v in _class_vectors(spark, d) if v[0] in ("barren", "populus")]
+    y = _season_vectors(spark, d)
+    w = unmix.unmix(y, two, _KEYS).groupBy("location_id", "py").pivot("cls", ["barren", "populus"]).agg(F.max("coef"))
+    e = np.column_stack([v for _, _, v in two])
+
+    def work(batches):
+        for pdf in batches:
+            rows = [unmix.diagnostics(np.asarray(x, float), e, np.array([a, b])) for x, a, b in zip(pdf["x"], pdf["barren"], pdf["populus"], strict=True)]
+            yield pdf[["location_id", "py"]].assign(log_condition=[np.log(r["condition"]) for r in rows], rss=[r["rss"] * 1e4 for r in rows], r2=[r["r2"] for r in rows])
+
+    got = y.join(w, ["location_id", "py"]).mapInPandas(work, "location_id string, py int, log_condition double, rss double, r2 double")
+    return rounded(got, "log_condition", "rss", "r2")
+
+
 @query()
 def pca_lda(spark: SparkSession, d: str) -> DataFrame:
     m = traces.feature_model(library(spark, d), "cls")

@@ -40,13 +40,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Scratch tables written by this process and not yet released.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the scratch tables written so far and gives their number: for long sessions, once the results that read them have been written."""
+    paths, hadoop = [_WRITTEN.pop() for _ in range(len(_WRITTEN))], spark._jsc.hadoopConfiguration()
+    for path in paths:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(hadoop).delete(jvm_path, True)
+    return len(paths)
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes ``df`` once into the shared folder and reads it back; the files go when the application ends."""
+    """Writes ``df`` once into the shared folder and reads it back; the files go with ``release`` or when the application ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/reedbed-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from pyspark.sql import types as T
 from reedbed.functions.indices import BANDS
 from reedbed.functions.labels import scope_token, source_tag
 
-#: Column names that mean the same.
+#: Fixed values, which the files of users follow: column names that mean the same; patterns that tell the coordinate and groundwater columns; metric columns taken and refused, in their order; order of result columns.
 RENAMES = {"vegetation": "veg", "Veg": "veg", "Blue": "blue", "NIR": "nir", "Red": "red", "Green": "green", "SWIR1": "swir1", "SWIR2": "swir2", "target_lon": "lon", "target_lat": "lat"}
 LON_NAME, LAT_NAME = r"(^|_)(lon|longitude|x)(_|$)", r"(^|_)(lat|latitude|y)(_|$)"
 WATER_NAMES = {"date": "date|day|time", "year": "year|yr", "depth": "depth|gwd|groundwater|waterlevel|wl|gw|level", "lat": "lat", "lon": "lon"}
@@ -53,19 +52,31 @@ def unite(frames: list[DataFrame]) -> DataFrame:
 
 def scan_sheet(spark: SparkSession, folder: str, sheet: str) -> DataFrame:
     """A sheet kept as parquet or CSV under its name; else the only file whose name holds the sheet's name."""
-    base = Path(folder)
-    for path in (base / f"{sheet}.parquet", base / f"{sheet}.csv", *sorted(base.glob(f"*{sheet}*"))):
-        if path.exists():
+    there = _names(spark, folder)
+    for name in (f"{sheet}.parquet", f"{sheet}.csv", *[n for n in there if sheet in n]):
+        if name in there:
             reader = spark.read.option("header", True).option("inferSchema", True)
-            return spark.read.parquet(str(path)) if path.suffix == ".parquet" else reader.csv(str(path))
+            return spark.read.parquet(f"{folder}/{name}") if name.endswith(".parquet") else reader.csv(f"{folder}/{name}")
     raise FileNotFoundError(f"no sheet {sheet} in {folder}")
 
 
+def _storage(spark: SparkSession, path: str) -> tuple:
+    """Path and file system of any storage that the cluster can reach."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in order; none if there is no such folder."""
+    path, fs = _storage(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
 def normalise_bands(df: DataFrame, bands: tuple[str, ...] = BANDS) -> DataFrame:
     """For each band without a column of its name, the first present of its spellings is renamed to it."""
     have, renames = set(df.columns), {}
     for band in bands:
-        spellings = (band[0] + band[1:].upper() if band.startswith("swir") else band, band.upper(), band.title(), f"band_{band}", f"BAND_{band.upper()}", f"Band_{band}")
+        spellings = (band.upper(), band.title(), f"band_{band}", f"BAND_{band.upper()}", f"Band_{band}")
         if band not in have and (hit := next((s for s in spellings if s in have), None)):
             renames[hit] = band
     return df.withColumnsRenamed(renames)
@@ -167,15 +178,21 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
 
 
 def save_params(params: dict, path: str) -> None:
-    """Small model parameters as JSON."""
-    Path(path).write_text(json.dumps(params, sort_keys=True))
+    """Small model parameters as JSON, on any storage that the session can reach; what was there before is replaced."""
+    target, fs = _storage(SparkSession.active(), path)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(json.dumps(params, sort_keys=True).encode()))
+    finally:
+        out.close()
 
 
 def load_params(path: str) -> dict:
-    return json.loads(Path(path).read_text())
+    return json.loads(SparkSession.active().read.text(path, wholetext=True).first()[0])
 
 
 def sibling_scopes(path: str) -> list[str]:
     """Existing files of the sequence mid, low, kon that differ from ``path`` in that token only."""
     made = [re.sub(r"(?<![A-Za-z0-9])mid(?![A-Za-z0-9])", scope, path) for scope in ("mid", "low", "kon")]
-    return [p for p in dict.fromkeys(made) if Path(p).exists()]
+    found = ((p, *_storage(SparkSession.active(), p)) for p in dict.fromkeys(made))
+    return [p for p, at, fs in found if fs.exists(at)]

@@ -38,3 +38,13 @@ def test_cover_and_skipped_classes(spark):
     labels = spark.createDataFrame([(v,) for v in ("herbs", "Herbs_opt_2", None, "barren ", "populus")], "veg string")
     assert [r[0] for r in filters.skip_classes(labels, ("Barren",)).collect()] == ["herbs", None, "populus"]
     assert filters.skip_classes(labels, variants=False).count() == 5
+
+
+def test_scratch_tables_can_be_released(spark):
+    from reedbed import session
+
+    session.release(spark)
+    kept = [session.materialise(spark.range(10), "a"), session.materialise(spark.range(5), "b")]
+    assert [d.count() for d in kept] == [10, 5] and session.release(spark) == 2 and session.release(spark) == 0
+    with pytest.raises(Exception):  # noqa: B017
+        session.materialise(spark.range(3), "c").unionByName(kept[0]).count()
