@@ -9,6 +9,7 @@ from reedbed.functions.numeric import ratio
 from reedbed.operators.harmonise import affine_column
 from reedbed.operators.ranks import group_percentiles
 from reedbed.operators.resample import uniform
+from reedbed.session import materialise
 
 
 def sensor_pairs(df: DataFrame, bands: list[str], keys: tuple[str, ...] = ("location_id", "date")) -> DataFrame:
@@ -163,22 +164,37 @@ def hash_order(key: Column, seed: int = 42) -> Column:
     return F.pmod(key * 7919 + seed, F.lit(10007))
 
 
+def _leading(keys: DataFrame, label: str, key: str, limits: DataFrame) -> DataFrame:
+    """keys (key, label, _o) with _lead: whether the key is among the first _limit of its label in order of _o and key.
+
+    Keys are counted by the numbers of their order first (hash_order has 10,007), so that only those with the number at the limit are put in order.
+    """
+    counts = keys.groupBy(label, "_o").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("_before", before).join(F.broadcast(limits), label, "left")  # a row a label
+    joined = keys.join(placed, [label, "_o"])
+    at_limit = (F.col("_before") < F.col("_limit")) & (F.col("_before") + F.col("_n") > F.col("_limit"))
+    plain = joined.where(F.coalesce(~at_limit, F.lit(True))).withColumn("_lead", F.coalesce(F.col("_before") + F.col("_n") <= F.col("_limit"), F.lit(False)))
+    border = joined.where(at_limit).withColumn("_r", F.row_number().over(Window.partitionBy(label, "_o").orderBy(key)))
+    border = border.withColumn("_lead", F.col("_before") + F.col("_r") <= F.col("_limit"))
+    return plain.select(key, label, "_lead").unionByName(border.select(key, label, "_lead"))
+
+
 def balanced_sample(df: DataFrame, key: str, label: str, number: Column, seed: int = 42) -> DataFrame:
     """Keys of each vegetated class cut to the number of the smallest class; bare ground is kept whole."""
-    keys = df.select(key, label, number.alias("_k")).distinct()
-    counts = keys.where(F.col(label) != "barren").groupBy(label).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_least"))
-    order = Window.partitionBy(label).orderBy(hash_order(F.col("_k"), seed), key)
-    ranked = keys.withColumn("_r", F.row_number().over(order)).crossJoin(F.broadcast(counts))
-    return ranked.where((F.col(label) == "barren") | (F.col("_r") <= F.col("_least"))).select(key, label)
+    keys = materialise(df.select(key, label, hash_order(number, seed).alias("_o")).distinct(), "keys")
+    counts = keys.groupBy(label).agg(F.count(F.lit(1)).alias("_m"))
+    least = counts.where(F.col(label) != "barren").agg(F.min("_m").alias("_least"))
+    limits = counts.crossJoin(F.broadcast(least)).select(label, F.when(F.col(label) == "barren", F.col("_m")).otherwise(F.col("_least")).alias("_limit"))
+    return _leading(keys.where(F.col(label).isNotNull()), label, key, limits).where("_lead").select(key, label)
 
 
 def holdout(df: DataFrame, key: str, label: str, number: Column, fraction: float = 0.3, seed: int = 42) -> DataFrame:
     """key, label, held: min(ceil(fraction x n), n - 1) keys of each class are held out, none of a class of one."""
-    keys = df.select(key, label, number.alias("_k")).distinct()
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    order = Window.partitionBy(label).orderBy(hash_order(F.col("_k"), seed), key)
-    take = F.when(n > 1, F.least(F.ceil(n * fraction), n - 1)).otherwise(0)
-    return keys.select(key, label, (F.row_number().over(order) <= take).alias("held"))
+    keys = materialise(df.select(key, label, hash_order(number, seed).alias("_o")).distinct(), "keys")
+    n = F.count(F.lit(1))
+    limits = keys.groupBy(label).agg(F.when(n > 1, F.least(F.ceil(n * fraction), n - 1)).otherwise(0).alias("_limit"))
+    return _leading(keys, label, key, limits).select(key, label, F.col("_lead").alias("held"))
 
 
 def complete_classes(df: DataFrame, whole: DataFrame, classes: list[str], order: Column, label: str = "veg") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from reedbed.functions.indices import BANDS
 from reedbed.functions.labels import scope_token, source_tag
+from reedbed.operators.skew import with_block
 
 #: Fixed values, which the files of users follow: column names that mean the same; patterns that tell the coordinate and groundwater columns; metric columns taken and refused, in their order; order of result columns.
 RENAMES = {"vegetation": "veg", "Veg": "veg", "Blue": "blue", "NIR": "nir", "Red": "red", "Green": "green", "SWIR1": "swir1", "SWIR2": "swir2", "target_lon": "lon", "target_lat": "lat"}
@@ -167,8 +168,9 @@ def write_result(df: DataFrame, path: str, tag: str | None = None) -> list[str]:
 
 
 def write_by_location(df: DataFrame, path: str) -> None:
-    """One folder for each location; what was there before is replaced."""
-    df.repartition("location_id").write.mode("overwrite").partitionBy("location_id").option("header", True).csv(path)
+    """One folder for each location; what was there before is replaced. A location with more than a million rows is written by several tasks."""
+    placed = with_block(df, ["location_id"], F.xxhash64(*df.columns), 1_000_000).repartition("location_id", "_block").drop("_block", "_many")
+    placed.write.mode("overwrite").partitionBy("location_id").option("header", True).csv(path)
 
 
 def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
