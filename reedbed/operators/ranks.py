@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reedbed.operators.skew import is_short
 from reedbed.session import materialise
 
-LIMIT, BUCKETS = 50_000, 2048
+LIMIT, BUCKETS = 200_000, 2048
 
 
 def group_percentiles(df: DataFrame, groups: list[str], values: dict[str, Column | str], shares: list[float], also: dict[str, Column] | None = None, limit: int | None = None) -> DataFrame:
@@ -36,21 +36,21 @@ def group_percentiles(df: DataFrame, groups: list[str], values: dict[str, Column
     label = lambda name, k: name if len(shares) == 1 else f"{name}_{k}"
     plain = lambda d: d.groupBy(*groups).agg(*[F.percentile(f"_v{i}", F.lit(q)).alias(label(n, k)) for i, n in enumerate(names) for k, q in enumerate(shares)])
     counts = rows.groupBy(*groups).agg(*[F.count(f"_v{i}").alias(f"_n{i}") for i in range(len(names))])
-    big = materialise(counts.where(F.greatest(*[F.col(f"_n{i}") for i in range(len(names))], F.lit(0)) > limit).select(F.struct(F.lit(0), *groups).alias("_g"), *[f"_n{i}" for i in range(len(names))]), "large")
+    big = materialise(counts.where(F.greatest(*[F.col(f"_n{i}") for i in range(len(names))], F.lit(0)) > limit).select(F.struct(F.lit(0), *groups).alias("_g"), F.monotonically_increasing_id().alias("_id"), *[f"_n{i}" for i in range(len(names))]), "large")
     if big.isEmpty():
         return plain(rows)
     keyed = rows.withColumn("_g", F.struct(F.lit(0), *groups))
-    near = F.broadcast(big.select("_g")) if is_short(big) else big.select("_g")
-    long = keyed.join(near, "_g", "left_semi").select("_g", F.posexplode(F.array(*[f"_v{i}" for i in range(len(names))])).alias("_c", "_v")).where("_v is not null")
-    found = _ranked(materialise(long, "long"), big.select("_g", F.posexplode(F.array(*[f"_n{i}" for i in range(len(names))])).alias("_c", "_n")).where("_n > 0"), shares, limit)
-    wide = found.groupBy("_g").agg(*[F.max(F.when(F.col("_c") == i, F.col(f"_p{k}"))).alias(label(n, k)) for i, n in enumerate(names) for k in range(len(shares))])
-    large = wide.select(*[F.col(f"_g.{g}").alias(g) for g in groups], *[label(n, k) for n in names for k in range(len(shares))])
-    return large if not groups else large.unionByName(plain(keyed.join(near, "_g", "left_anti").drop("_g")))
+    near = F.broadcast(big.select("_g", "_id")) if is_short(big) else big.select("_g", "_id")
+    long = keyed.join(near, "_g").select("_id", F.posexplode(F.array(*[f"_v{i}" for i in range(len(names))])).alias("_c", "_v")).where("_v is not null")
+    found = _ranked(materialise(long, "long"), big.select("_id", F.posexplode(F.array(*[f"_n{i}" for i in range(len(names))])).alias("_c", "_n")).where("_n > 0"), shares, limit)
+    wide = found.groupBy("_id").agg(*[F.max(F.when(F.col("_c") == i, F.col(f"_p{k}"))).alias(label(n, k)) for i, n in enumerate(names) for k in range(len(shares))])
+    large = wide.join(big.select("_id", "_g"), "_id").select(*[F.col(f"_g.{g}").alias(g) for g in groups], *[label(n, k) for n in names for k in range(len(shares))])
+    return large if not groups else large.unionByName(plain(keyed.join(near.drop("_id"), "_g", "left_anti").drop("_g")))
 
 
 def _ranked(long: DataFrame, sizes: DataFrame, shares: list[float], limit: int) -> DataFrame:
-    """_g, _c, _p0, _p1, ...: percentiles of the values _v of each _g and _c (_n of them)."""
-    key = ["_g", "_c"]
+    """_id, _c, _p0, _p1, ...: percentiles of the values _v of each _id and _c (_n of them)."""
+    key = ["_id", "_c"]
     hint = lambda d: F.broadcast(d) if is_short(d) else d
     place = lambda q: F.col("_n").cast("double") - 1 if q == 1 else (F.col("_n") - 1) * F.lit(q)
     ranks = F.array_distinct(F.array(*[r.cast("bigint") for q in shares for r in (F.floor(place(q)), F.ceil(place(q)))]))
