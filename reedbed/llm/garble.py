@@ -15,11 +15,13 @@ import json
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import accumulate, product
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -42,6 +44,8 @@ LOST = "\ufffd"
 LOST_LOG = -40.0
 #: Chains whose gain lies this near the largest are worked out exactly.
 CLOSE = 3.0
+#: Characters around a stretch whose windows depend on it, with some to spare (windows end at gaps of more than nine).
+REACH = 24
 #: Results of parts that a task keeps for equal ones.
 DONE_MAX = 200_000
 
@@ -347,10 +351,17 @@ def chains() -> list[Chain]:
 class Model:
     """Interpolated trigram model; probabilities are kept once computed."""
 
-    grams: dict[str, int]
-    context: dict[str, int]
+    grams: dict[str, int] | Counts
+    context: dict[str, int] | Counts
     total: int
     known: dict[str, float] = field(default_factory=dict)
+    fast: FastModel | None = None
+
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> Model:
+        """From packed n-grams; their tables are those of the FastModel."""
+        fast = FastModel((keys, counts))
+        return cls(Counts(fast, 0), Counts(fast, 1), fast.total, fast=fast)
 
     def logp(self, gram: str) -> float:
         """Log-probability of the last of three characters after the other two."""
@@ -406,25 +417,39 @@ def gram_keys(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return two, codes[:-2] << 42 | two[1:]
 
 
-def count_grams(texts: list[str], counts: Counter) -> None:
-    """Adds the 1- to 3-grams around characters outside ASCII."""
+def packed(gram: str) -> int:
+    """An n-gram as one number: each code point plus one in 21 bits, so that shorter ones come first and those of one beginning lie together."""
+    key = 0
+    for c in gram:
+        key = key << 21 | ord(c) + 1
+    return key
+
+
+def unpacked(key: int) -> str:
+    return (unpacked(key >> 21) if key >> 21 else "") + chr((key & 0x1FFFFF) - 1)
+
+
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The 1- to 3-grams around characters outside ASCII (packed), and how often each occurs."""
     codes, rows = code_points(texts)
     begin, end = windows(codes, rows)
-    if not len(begin):
-        return
-    # Windows one after another with a mark between them that no text holds.
+    # Windows one after another with a zero between them, which no code point plus one is.
     size = end - begin
     place = np.cumsum(size + 1) - size - 1
-    line = np.full(int((size + 1).sum()), 0x1FFFFF, dtype=np.int64)
+    line = np.zeros(int((size + 1).sum()), dtype=np.int64)
     at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    line[np.repeat(place, size) + at] = codes[np.repeat(begin, size) + at]
+    line[np.repeat(place, size) + at] = codes[np.repeat(begin, size) + at] + 1
     two, three = gram_keys(line)
-    for keys, width in ((line, 1), (two, 2), (three, 3)):
-        seen = pd.Series(keys).value_counts(sort=False)
-        for key, n in zip(seen.index.tolist(), seen.tolist(), strict=True):
-            parts = [key >> 21 * k & 0x1FFFFF for k in range(width - 1, -1, -1)]
-            if 0x1FFFFF not in parts:
-                counts["".join(map(chr, parts))] += n
+    one = line > 0
+    both = one[:-1] & one[1:]
+    said = pd.Series(np.concatenate([line[one], two[both], three[both[:-1] & one[2:]]])).value_counts(sort=False)
+    return said.index.to_numpy(np.int64), said.to_numpy(np.int64)
+
+
+def count_grams(texts: list[str], counts: Counter) -> None:
+    """Adds gram_counts of texts."""
+    for key, n in zip(*(a.tolist() for a in gram_counts(texts)), strict=True):
+        counts[unpacked(key)] += n
 
 
 _RUNS = re.compile(r"[^\x00-\x7f]+[\x00-\x7f]?")
@@ -445,55 +470,56 @@ def _run_is_plain(run: str) -> bool:
     return STRUCTURAL.search(run) is None and not (len(run) > 1 and any(_UTF8.search(run.translate(t)) for t in _TELLING))
 
 
-def train(documents: DataFrame, text: str = "text") -> Model:
-    """Counts over all records without structural signs."""
+def train(documents: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams (packed, ascending) of all records without structural signs, and their counts: 16 bytes for each different n-gram."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
         for pdf in batches:
-            count_grams([v for v in pdf["t"] if v and NON_ASCII.search(v) and is_plain(v)], counts)
-            if len(counts) > 1_000_000:
-                yield pd.DataFrame({"gram": list(counts), "n": list(counts.values())})
-                counts = Counter()
-        yield pd.DataFrame({"gram": list(counts), "n": list(counts.values())}).astype({"gram": object, "n": "int64"})
+            plain = [v for v in pdf["t"] if v and NON_ASCII.search(v) and is_plain(v)]
+            for own in _by_size(plain, 8_000_000):
+                yield pd.DataFrame(dict(zip(("gram", "n"), gram_counts([plain[i] for i in own]), strict=True)))
 
-    kept = documents.select(F.col(text).alias("t")).mapInPandas(work, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
-    counts = dict(zip(kept["gram"], kept["n"].astype(int), strict=True))
-    context: Counter = Counter()
-    for g, n in counts.items():
-        if len(g) > 1:
-            context[g[:-1]] += n
-    return Model(counts, dict(context), sum(n for g, n in counts.items() if len(g) == 1))
+    kept = documents.select(F.col(text).alias("t")).mapInPandas(work, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+    keys, counts = kept["gram"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
 
 class FastModel:
-    """The probabilities of Model for whole arrays of code points: counts of pairs and triples in hash tables, those of single characters in arrays."""
-
-    def __init__(self, model: Model):
-        self.total = model.total
-        self.single, self.after = np.zeros(0x110000, dtype=np.float32), np.zeros(0x110000, dtype=np.float32)
-        pairs: dict[int, list[float]] = {}
-        triples: dict[int, float] = {}
-        for g, n in model.grams.items():
-            if len(g) == 1:
-                self.single[ord(g)] = n
-            elif len(g) == 2:
-                pairs.setdefault(ord(g[0]) << 21 | ord(g[1]), [0.0, 0.0])[0] = n
-            else:
-                triples[ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])] = n
-        for g, n in model.context.items():
-            if len(g) == 1:
-                self.after[ord(g)] = n
-            else:
-                pairs.setdefault(ord(g[0]) << 21 | ord(g[1]), [0.0, 0.0])[1] = n
-        self.pairs = _Hash(np.array(list(pairs), dtype=np.int64), np.array(list(pairs.values()), dtype=np.float64).reshape(-1, 2))
-        self.triples = _Hash(np.array(list(triples), dtype=np.int64), np.array(list(triples.values()), dtype=np.float64).reshape(-1, 1))
+    """The probabilities of Model for whole arrays of code points: counts of pairs and triples in hash tables, those of single characters in arrays.
+
+    Made from packed n-grams (ascending) and their counts, or from a Model of dictionaries."""
+
+    def __init__(self, model: Model | tuple[np.ndarray, np.ndarray]):
+        if isinstance(model, Model):
+            said = sorted((packed(g), n) for g, n in model.grams.items())
+            model = np.array([k for k, _ in said], dtype=np.int64), np.array([n for _, n in said], dtype=np.int64)
+        self.keys, counts = model
+        ends = np.searchsorted(self.keys, [1 << 21, 1 << 42])
+        (one, two, three), (n1, n2, n3) = np.split(self.keys, ends), np.split(counts, ends)
+        self.total = int(n1.sum())
+        self.single, self.after = np.zeros(0x110000), np.zeros(0x110000)
+        self.single[one - 1] = n1
+        before, n = _sums(two >> 21, n2)
+        self.after[before - 1] = n
+        before, n = _sums(three >> 21, n3)
+        pairs = np.union1d(two, before)
+        values = np.zeros((len(pairs), 2))  # occurrences, and those with a character behind
+        values[np.searchsorted(pairs, two), 0] = n2
+        values[np.searchsorted(pairs, before), 1] = n
+        self.pairs = _Hash(pairs - (1 << 21 | 1), values)
+        self.triples = _Hash(three - (1 << 42 | 1 << 21 | 1), n3.astype(np.float64).reshape(-1, 1))
         self.low = np.arange(0x110000)
         for code in range(0x10000):
             small = chr(code).lower() if not 0xD800 <= code < 0xE000 else ""
             if len(small) == 1:
                 self.low[code] = ord(small)
 
+    def following(self, context: str) -> list[str]:
+        """Characters outside ASCII seen after one or two others; all of them for an empty context."""
+        begin, end = np.searchsorted(self.keys, [packed(context) << 21, packed(context) + 1 << 21])
+        return [c for c in map(chr, (self.keys[begin:end] & 0x1FFFFF) - 1) if ord(c) > 127 and not LEFTOVER.match(c)]
+
     def _log(self, codes: np.ndarray) -> np.ndarray:
         two, three = gram_keys(codes)
         pair = self.pairs.get(two)
@@ -516,6 +542,26 @@ class FastModel:
         return out
 
 
+class Counts:
+    """Counts of single n-grams, or (column 1) of their occurrences with a character behind, out of the tables of a FastModel."""
+
+    def __init__(self, fast: FastModel, column: int):
+        self.fast, self.column = fast, column
+
+    def get(self, gram: str, default: int = 0) -> float:
+        if len(gram) == 1:
+            return (self.fast.after if self.column else self.fast.single).item(ord(gram))
+        if len(gram) == 2:
+            return self.fast.pairs.one(ord(gram[0]) << 21 | ord(gram[1]), self.column, default)
+        return self.fast.triples.one(ord(gram[0]) << 42 | ord(gram[1]) << 21 | ord(gram[2]), 0, default)
+
+
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys (ascending) and the sum of the values of each."""
+    different, first = np.unique(keys, return_index=True)
+    return different, np.add.reduceat(values, first) if len(first) else values
+
+
 class _Hash:
     """Rows of numbers by whole-number keys: open addressing with whole arrays; absent keys give zeros."""
 
@@ -534,6 +580,14 @@ class _Hash:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def one(self, key: int, column: int, default: float) -> float:
+        at = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while (held := self.keys.item(at)) != key:
+            if held == -1:
+                return default
+            at = at + 1 & (1 << self.bits) - 1
+        return self.values.item(at, column)
+
     def get(self, keys: np.ndarray) -> np.ndarray:
         at = self._slot(keys)
         out, held = self.values[at], self.keys[at]
@@ -560,6 +614,8 @@ class Part:
     end: int
     before: str
     part: str
+    low: int  # its window
+    high: int
 
 
 Edit = tuple[int, int, str, float, str]  # begin, end, new text, gain, chain
@@ -577,9 +633,9 @@ class Restorer:
     """Scores every chain on the improbable parts of texts."""
 
     def __init__(self, model: Model, margin: float):
-        self.model, self.fast, self.margin, self.chains = model, FastModel(model), margin, chains()
+        self.model, self.fast, self.margin, self.chains = model, model.fast or FastModel(model), margin, chains()
         self.by_name = {c.name: c for c in self.chains}
-        self.after: dict[str, list[str]] | None = None
+        self.all_letters = self.fast.following("")
         self.guessed: dict[tuple[str, str, str], tuple[float, str, bool]] = {}
         self.done: dict[tuple[str, str], tuple[float, str, str]] = {}  # results, which follow from the part alone
         self.touch = np.zeros((len(self.chains), 0x10000), dtype=bool)
@@ -613,9 +669,9 @@ class Restorer:
         lows, highs = base + np.maximum(head[odd] - 8, 0), base + np.minimum(tail[odd] + 9, size[odd])
         context = np.maximum(lows - 2, base)
         out = []
-        for t, c, a, z in zip(of.tolist(), context.tolist(), lows.tolist(), highs.tolist(), strict=True):
+        for t, c, a, z, low, high in zip(*(x.tolist() for x in (of, context, lows, highs, base, base + size[odd])), strict=True):
             text = texts[t]
-            out.append(Part(t, a, z, text[c:a].rjust(2), text[a:z]))
+            out.append(Part(t, a, z, text[c:a].rjust(2), text[a:z], low, high))
         return out
 
     def gains(self, parts: list[Part]) -> np.ndarray:
@@ -729,10 +785,18 @@ class Restorer:
                     out[i] = (*done, self.chains[c].name)
         return out
 
-    def first(self, texts: list[str]) -> list[list[Edit]]:
-        """Parts of each text with a gain of at least MARGINS[0], and what they become by one undoing."""
+    def first(self, texts: list[str], near: list[list[tuple[int, int]]] | None = None) -> list[list[Edit]]:
+        """Parts of each text with a gain of at least MARGINS[0], and what they become by one undoing; if ``near`` gives stretches (ascending), only parts whose windows can have changed by these."""
         out: list[list[Edit]] = [[] for _ in texts]
         parts = self.parts(texts)
+        if near is not None:
+            kept = []
+            for p in parts:
+                spans = near[p.text]
+                i = bisect_right(spans, p.low - REACH, key=itemgetter(1))
+                if i < len(spans) and spans[i][0] < p.high + REACH:
+                    kept.append(p)
+            parts = kept
         for p, (gain, new, name) in zip(parts, self.best(parts), strict=True):
             if gain >= MARGINS[0]:
                 out[p.text].append((p.begin, p.end, new, gain, name))
@@ -760,8 +824,9 @@ class Restorer:
         """Every text with all stretches undone that pass the margin, one of each window at a time, until there is none. What ``first`` gives may be known already."""
         out = [Restored(t, [], 0.0) for t in texts]
         open_ = list(range(len(texts)))
+        near: list[list[tuple[int, int]]] | None = None
         while open_:
-            found, first = first or self.first([out[i].text for i in open_]), None
+            found, first = first or self.first([out[i].text for i in open_], near), None
             changes: dict[int, list[tuple[int, int, str]]] = {}
             for i, edits in zip(open_, found, strict=True):
                 for begin, end, new, gain, name in edits:
@@ -769,13 +834,16 @@ class Restorer:
                         out[i].gain += gain
                         out[i].chains.append(name)
                         changes.setdefault(i, []).append((begin, end, new))
-            for i, edits in changes.items():
-                text, end, pieces = out[i].text, 0, []
-                for b, e, new in sorted(edits):
+            open_, near = sorted(changes), []
+            for i in open_:
+                text, end, pieces, size, spans = out[i].text, 0, [], 0, []
+                for b, e, new in sorted(changes[i]):
                     pieces += [text[end:b], new]
+                    size += b - end + len(new)
+                    spans.append((size - len(new), size))
                     end = e
                 out[i].text = "".join(pieces) + text[end:]
-            open_ = sorted(changes)
+                near.append(spans)  # what lies elsewhere has been looked at
         for r in out:
             if LEFTOVER.search(r.text):
                 self._lost(r)
@@ -784,13 +852,8 @@ class Restorer:
 
     def _letters(self, context: str) -> list[str]:
         """Characters outside ASCII that the model has seen after a context or after its last character, else all of them."""
-        if self.after is None:
-            self.after = {"": []}
-            for g in self.model.grams:
-                if ord(g[-1]) > 127 and not LEFTOVER.match(g[-1]):
-                    self.after.setdefault(g[:-1], []).append(g[-1])
-        some = {*self.after.get(context, ()), *self.after.get(context[1:], ())}
-        return list(some) if len(some) > 1 else self.after[""]
+        some = {*self.fast.following(context), *self.fast.following(context[1:])}
+        return list(some) if len(some) > 1 else self.all_letters
 
     def _lost(self, r: Restored) -> None:
         """Lost characters: the rise in likelihood if the likeliest one stood there is a gain like any other; it is written only where it is clearly likeliest."""
@@ -814,7 +877,11 @@ class Restorer:
         found = self.guessed.get((before, c, behind))
         if found is None:
             logp = self.model.logp
-            scored = sorted(((sum(logp((before + x + behind)[k : k + 3]) for k in range(len(behind) + 1)), x) for x in self._letters(before)), reverse=True)[:2]
+            letters = np.array([ord(x) for x in self._letters(before)], dtype=np.int64)
+            lines = np.tile(code_points([before + c + behind])[0], (len(letters), 1))
+            lines[:, 2] = letters
+            logs = self.fast.each(lines.ravel()).reshape(lines.shape)[:, 2:].sum(axis=1)
+            scored = [(float(logs[i]), chr(letters[i])) for i in np.lexsort((letters, logs))[::-1][:2]]
             now = LOST_LOG + sum(self._floor([logp((before + c + behind)[k : k + 3]) for k in range(1, len(behind) + 1)]))
             gain = (scored[0][0] if scored else FLOOR * (len(behind) + 1)) - now
             alone = not (LEFTOVER.search(before) or LEFTOVER.match(behind[:1]))
@@ -894,7 +961,7 @@ def _scored(rows: DataFrame, shared: Broadcast) -> DataFrame:
     and numbers n of clean records, as they are and garbled on purpose (made), by the number of margins that their gain reaches."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        probe = Restorer(Model(*shared.value), MARGINS[0])
+        probe = Restorer(Model.of(*shared.value), MARGINS[0])
         counts = np.zeros((2, len(MARGINS) + 1), dtype=np.int64)
         for pdf in batches:
             pdf = pdf[[bool(t) and NON_ASCII.search(t) is not None for t in pdf["t"]]]
@@ -917,8 +984,7 @@ def _scored(rows: DataFrame, shared: Broadcast) -> DataFrame:
 
 def _trained(rows: DataFrame) -> tuple[Broadcast, float, DataFrame]:
     """The model of all records (column t), its margin, validated on all clean records, and the records (doc, t, edits) that pass the margin or hold leftovers."""
-    model = train(rows, "t")
-    shared = rows.sparkSession.sparkContext.broadcast((model.grams, model.context, model.total))
+    shared = rows.sparkSession.sparkContext.broadcast(train(rows, "t"))
     scored = materialise(_scored(rows, shared), "garble")
     counts = np.zeros((2, len(MARGINS) + 1), dtype=np.int64)
     for r in scored.where("n > 0").groupBy("made", "reached").agg(F.sum("n").alias("n")).collect():
@@ -936,7 +1002,7 @@ def regained(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     shared, margin, _ = _trained(rows)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(Model(*shared.value), margin)
+        restorer = Restorer(Model.of(*shared.value), margin)
         for pdf in batches:
             plain = [t for t in pdf["t"] if t and NON_ASCII.search(t) and is_plain(t)]
             for own in _by_size(plain):
@@ -960,7 +1026,7 @@ def find_garbled(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     shared, margin, open_ = _trained(rows)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(Model(*shared.value), margin)
+        restorer = Restorer(Model.of(*shared.value), margin)
         for pdf in batches:
             for own in _by_size(pdf["t"].tolist()):
                 out = [(doc, r.text, r.chains, r.gain, r.lost) for doc, r in zip(pdf["doc"].iloc[own], restorer.restore(pdf["t"].iloc[own].tolist(), [json.loads(e) for e in pdf["edits"].iloc[own]]), strict=True) if r.chains]

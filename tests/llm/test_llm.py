@@ -290,7 +290,7 @@ def test_model_and_margin_take_all_records(spark):
     shared, margin, _ = garble._trained(df)
     counts = Counter()
     garble.count_grams([t for _, t in rows if garble.is_plain(t)], counts)
-    assert shared.value[0] == dict(counts)
+    assert {garble.unpacked(int(k)): n for k, n in zip(*shared.value, strict=True)} == counts
     scored = garble._scored(df, shared).where("n is not null").groupBy("made").agg(F.sum("n").alias("n")).toPandas().set_index("made").n
     made = [garble.garbled_on_purpose(r.t, abs(r.h)) for r in df.withColumn("h", F.xxhash64("t")).collect() if garble.is_plain(r.t)]
     assert scored[False] == len(made) > 3000 and scored[True] == sum(m is not None for m in made)
@@ -309,3 +309,20 @@ def test_texts_garbled_in_a_known_way_reach_the_same_margins():
     fast = garble.Restorer(model, 6.0).top_gains_of_made(made, garble.MARGINS[-1])
     all_chains = [max((e[3] for e in edits), default=0.0) for edits in garble.Restorer(model, 6.0).first([t for t, _ in made])]
     assert len(made) > 200 and (garble.margins_reached(fast) == garble.margins_reached(np.array(all_chains))).all()
+
+
+def test_packed_model_equals_the_model_of_dictionaries():
+    counts = Counter()
+    garble.count_grams([*PHRASES, "\x00é\x00 👩‍🌾"], counts)
+    context = Counter()
+    for g, n in counts.items():
+        if len(g) > 1:
+            context[g[:-1]] += n
+    plain = garble.Model(dict(counts), dict(context), sum(n for g, n in counts.items() if len(g) == 1))
+    said = sorted((garble.packed(g), n) for g, n in counts.items())
+    model = garble.Model.of(*(np.array(x, dtype=np.int64) for x in zip(*said, strict=True)))
+    text = "L’ÉTÉ était là; Индекс МЕНЯЛСЯ 传感器 xyz � ½ \x00é👩‍🌾 Höhe"
+    assert model.total == plain.total and np.allclose(model.each(text), plain.each(text))
+    for before in ("", "é", "ét", "传感", "q"):
+        seen = {g[-1] for g in counts if g[:-1] == before and ord(g[-1]) > 127 and not garble.LEFTOVER.match(g[-1])}
+        assert set(model.fast.following(before)) == seen
